@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernel.llm import bpe, decontaminate, fixity, html_text, language_id, line_dedup, quality, secrets, url_rules
+from quernel.llm import bpe, decontaminate, fixity, html_text, jaccard, language_id, line_dedup, quality, secrets, url_rules
 from quernel.llm.shared import table
 
 
@@ -29,6 +29,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
@@ -48,9 +52,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_language_id, op2_quality_rules, op3_warc_fixity, op4_byte_bpe, op5_secret_scan, op7_url_filter, op8_decontamination, op9_html_extraction, op10_line_dedup)
+        for f in (op1_language_id, op2_quality_rules, op3_warc_fixity, op4_byte_bpe, op5_secret_scan, op6_jaccard_join, op7_url_filter, op8_decontamination, op9_html_extraction, op10_line_dedup)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_fixity": fixity.AUDIT_SQL}
+    return {"op3_warc_fixity": fixity.AUDIT_SQL, "op6_jaccard_join": jaccard.COMPONENTS_SQL}
