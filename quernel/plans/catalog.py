@@ -1,19 +1,868 @@
-"""The named queries over the driver's tables, each with its SQL for the oracle."""
+"""The named queries over the driver's tables, each with its SQL for the oracle.
+
+The driver's tables stand for entities; absent values, dangling keys, shares and deltas are derived from their keys by
+fixed rules that both engines can state.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel.functions import predicates, scalars
+from quernel.operators import access, aggregate, constraints, listing, mutate
+from quernel.plans.model import Config, Filter, ForeignKey, ListRequest, Missing, NotNull, OnDelete, Relationship, Schema, Unique
+from quernel.sources import backup, export, stores
+from quernel.streaming import routing, streams
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.filter((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000)).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+    return add
 
 
 def queries() -> dict:
-    return {"list_full": flagship}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder where spark.checkpoint.dir says; where that is unset, as in tests, a temporary one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quernel-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def text_id(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("id", F.col(key).cast("string"))
+
+
+RELATIONS = {
+    (a, b): Relationship(a, b, c, d)
+    for a, b, c, d in (
+        ("lineitem", "order", "orders", "l_orderkey"),
+        ("orders", "customer", "customer", "o_custkey"),
+        ("customer", "nation", "nation", "c_nationkey"),
+        ("nation", "region", "region", "n_regionkey"),
+    )
+}
+KEYS = {"orders": "o_orderkey", "customer": "c_custkey", "nation": "n_nationkey", "region": "r_regionkey", "supplier": "s_suppkey", "part": "p_partkey"}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, str]]:
+    return {name: (t(spark, sf_dir, name), key) for name, key in KEYS.items()}
+
+
+@query("""
+SELECT o.o_orderkey, o.o_totalprice, c.c_name AS customer__c_name, c.c_mktsegment AS customer__c_mktsegment
+FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000 ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10) o
+LEFT JOIN customer c ON c.c_custkey = o.o_custkey""")
+def list_full(spark, sf_dir):
+    request = ListRequest("orders").where("o_orderstatus", "eq", "F").where("o_totalprice", ">", 100000).order("o_totalprice", True).page(10).include("customer").project("o_totalprice", "customer")
+    rows = listing.plan(t(spark, sf_dir, "orders"), request, "o_orderkey", relations=RELATIONS, tables=tables(spark, sf_dir))
+    return rows.select("o_orderkey", "o_totalprice", F.col("customer.c_name").alias("customer__c_name"), F.col("customer.c_mktsegment").alias("customer__c_mktsegment"))
+
+
+flagship = list_full
+
+# filters: one query per operator, on orders with a status that is null where the key is a multiple of 7
+
+_NULLED = "(SELECT o_orderkey, o_totalprice, o_orderpriority, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS status FROM orders)"
+
+
+def nulled(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("status"))
+
+
+def _filter_query(name: str, field: str, op: str, value, where: str) -> None:
+    def run(spark, sf_dir):
+        return listing.where(nulled(spark, sf_dir), [Filter.of(field, op, value)])
+
+    run.__name__ = name
+    query(f"SELECT * FROM {_NULLED} WHERE {where}")(run)
+
+
+for _name, _field, _op, _value, _where in (
+    ("filter_eq", "status", "eq", "F", "status = 'F'"),
+    ("filter_eq_null", "status", "=", None, "status IS NULL"),
+    ("filter_neq", "status", "neq", "F", "status IS DISTINCT FROM 'F'"),
+    ("filter_lt", "o_totalprice", "lt", 50000, "o_totalprice < 50000"),
+    ("filter_lte", "o_orderkey", "<=", 1000, "o_orderkey <= 1000"),
+    ("filter_gt", "o_totalprice", ">", 250000.5, "o_totalprice > 250000.5"),
+    ("filter_gte", "o_orderpriority", "gte", "3", "o_orderpriority >= '3'"),
+    ("filter_range_mixed_types", "status", "gt", 5, "false"),
+    ("filter_in", "status", "in", ["F", "P"], "status IN ('F', 'P')"),
+    ("filter_in_empty", "status", "in", [], "false"),
+    ("filter_in_null", "status", "in", ["P", None], "status = 'P' OR status IS NULL"),
+    ("filter_is_null", "status", "?", None, "status IS NULL"),
+    ("filter_is_not_null", "status", "!?", None, "status IS NOT NULL"),
+):
+    _filter_query(_name, _field, _op, _value, _where)
+
+
+def _glob_query(name: str, glob: str, pattern: str) -> None:
+    def run(spark, sf_dir):
+        return listing.where(t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), [Filter.of("p_name", "like", glob)])
+
+    run.__name__ = name
+    query(f"SELECT p_partkey, p_name, p_type FROM part WHERE regexp_full_match(p_name, '{pattern}', 's')")(run)
+
+
+for _name, _glob, _pattern in (
+    ("filter_like_prefix", "cold*", "cold.*"),
+    ("filter_like_suffix", "*widget", ".*widget"),
+    ("filter_like_infix", "*l*", ".*l.*"),
+    ("filter_like_multi", "*o*d*t", ".*o.*d.*t"),
+    ("filter_like_exact", "cold widget", "cold widget"),
+    ("filter_like_literal", "c_ld%", "c_ld%"),
+):
+    _glob_query(_name, _glob, _pattern)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 1000 AND o_totalprice < 90000 AND o_orderpriority <> '1-URGENT' AND regexp_full_match(o_orderpriority, '.*-.*')")
+def filter_conjunction(spark, sf_dir):
+    filters = predicates.parse_filters("o_orderstatus=O,o_totalprice>=1000,o_totalprice<90000,o_orderpriority<>1-URGENT,o_orderpriority~*-*")
+    return listing.where(t(spark, sf_dir, "orders"), filters).select("o_orderkey", "o_totalprice")
+
+
+_DOCS = """(SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{}' WHEN 1 THEN '{"k": null}' WHEN 2 THEN '{"k": "5"}' WHEN 3 THEN '{"k": true}' ELSE props END AS doc FROM events)"""
+
+
+@query(f"""
+SELECT event_id,
+       j IS NOT NULL AND ty = 'NULL' AS list_is_null,
+       ty IS NULL OR ty = 'NULL' AS document_is_null,
+       ty IS NOT NULL AND ty <> 'NULL' AS list_is_not_null,
+       ty IS NOT NULL AND NOT (num AND CAST(v AS DOUBLE) = 5) AS list_neq,
+       NOT coalesce(num AND CAST(v AS DOUBLE) = 5, false) AS cursor_neq,
+       coalesce(ty = 'VARCHAR' AND v = '5', false) AS eq_text,
+       coalesce(num AND CAST(v AS DOUBLE) > 20, false) AS gt,
+       coalesce(ty = 'BOOLEAN', false) AND v = 'true' AS eq_true,
+       coalesce(num AND CAST(v AS DOUBLE) = 7, false) OR coalesce(ty = 'NULL', false) AS list_in_null,
+       coalesce(num AND CAST(v AS DOUBLE) = 7, false) OR coalesce(ty = 'NULL', true) AS cursor_in_null,
+       coalesce(ty = 'NULL', true) AS watch_eq_null
+FROM (SELECT event_id, json_extract(doc, '$.k') AS j, json_type(doc, '$.k') AS ty, CASE WHEN json_type(doc, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN json_extract_string(doc, '$.k') WHEN json_type(doc, '$.k') IN ('VARCHAR', 'BOOLEAN') THEN json_extract_string(doc, '$.k') END AS v,
+             coalesce(json_type(doc, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE'), false) AS num FROM {_DOCS})""".replace("CAST(v AS DOUBLE)", "TRY_CAST(v AS DOUBLE)").replace("AND v = 'true' AS eq_true", "AND coalesce(v, '') = 'true' AS eq_true"))
+def filter_json_missing_vs_null(spark, sf_dir):
+    kind = F.col("event_id") % 5
+    doc = F.when(kind == 0, "{}").when(kind == 1, '{"k": null}').when(kind == 2, '{"k": "5"}').when(kind == 3, '{"k": true}').otherwise(F.col("props"))
+    rows = t(spark, sf_dir, "events").select("event_id", F.parse_json(doc).alias("data"))
+    say = lambda op, value, missing: predicates.variant(Filter.of("k", op, value), F.col("data"), missing)
+    return rows.select(
+        "event_id",
+        say("is_null", None, Missing.LIST).alias("list_is_null"),
+        say("is_null", None, Missing.DOCUMENT).alias("document_is_null"),
+        say("is_not_null", None, Missing.LIST).alias("list_is_not_null"),
+        say("neq", 5, Missing.LIST).alias("list_neq"),
+        say("neq", 5, Missing.CURSOR).alias("cursor_neq"),
+        say("eq", "5", Missing.LIST).alias("eq_text"),
+        say("gt", 20, Missing.LIST).alias("gt"),
+        say("eq", True, Missing.LIST).alias("eq_true"),
+        say("in", [7, None], Missing.LIST).alias("list_in_null"),
+        say("in", [7, None], Missing.CURSOR).alias("cursor_in_null"),
+        say("eq", None, Missing.WATCH).alias("watch_eq_null"),
+    )
+
+
+# scans, pages, sorts
+
+
+@query("SELECT * FROM orders")
+def scan_full(spark, sf_dir):
+    return listing.plan(t(spark, sf_dir, "orders"), ListRequest("orders"), "o_orderkey")
+
+
+@query("SELECT * FROM orders WHERE o_orderkey = 77")
+def read_point(spark, sf_dir):
+    return listing.read(t(spark, sf_dir, "orders"), 77, "o_orderkey")
+
+
+@query("SELECT k AS o_orderkey, o_custkey, o_totalprice FROM (SELECT unnest([1, 5, 9, 999999999])::BIGINT AS k) LEFT JOIN orders ON o_orderkey = k")
+def read_many(spark, sf_dir):
+    wanted = spark.range(1).select(F.explode(F.array(*(F.lit(x).cast("bigint") for x in (1, 5, 9, 999999999)))).alias("o_orderkey"))
+    return listing.read_many(t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), wanted, "o_orderkey")
+
+
+@query("SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'")
+def index_equality(spark, sf_dir):
+    return listing.lookup(t(spark, sf_dir, "customer"), "c_mktsegment", "BUILDING")
+
+
+@query("SELECT * FROM part WHERE p_size > 5 AND p_size <= 20 AND p_brand <> 'Brand#11'")
+def index_range(spark, sf_dir):
+    return listing.where(listing.lookup_range(t(spark, sf_dir, "part"), "p_size", 5, 20, low_open=True), [Filter.of("p_brand", "<>", "Brand#11")])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 10000 AND o_totalprice > 200000 AND o_totalprice < 240000")
+def range_tightest(spark, sf_dir):
+    return listing.where(t(spark, sf_dir, "orders"), predicates.parse_filters("o_totalprice>10000,o_totalprice>200000,o_totalprice<240000")).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT id, o_totalprice FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice FROM orders) ORDER BY id LIMIT 25 OFFSET 50")
+def list_default_order_page(spark, sf_dir):
+    return listing.plan(text_id(t(spark, sf_dir, "orders"), "o_orderkey"), ListRequest("orders").page(25, 50).project("o_totalprice"))
+
+
+@query("SELECT id, o_totalprice FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice FROM orders) WHERE id > '1200' ORDER BY id LIMIT 40")
+def list_keyset_page(spark, sf_dir):
+    return listing.keyset_page(text_id(t(spark, sf_dir, "orders"), "o_orderkey").select("id", "o_totalprice"), "1200", 40)
+
+
+@query("SELECT * FROM (SELECT * FROM orders WHERE o_totalprice > 1000 ORDER BY o_totalprice NULLS FIRST, o_orderkey LIMIT 20 OFFSET 30)")
+def list_capped(spark, sf_dir):
+    return listing.plan(t(spark, sf_dir, "orders"), ListRequest("orders", limit=100, offset=30, cap=50).where("o_totalprice", ">", 1000).order("o_totalprice"), "o_orderkey")
+
+
+@query("SELECT * FROM orders WHERE false")
+def list_past_the_end(spark, sf_dir):
+    return listing.plan(t(spark, sf_dir, "orders"), ListRequest("orders", limit=10, offset=10_000_000).order("o_orderdate"), "o_orderkey")
+
+
+@query("SELECT c_custkey, c_mktsegment, c_acctbal, CAST(row_number() OVER (ORDER BY c_mktsegment NULLS FIRST, c_acctbal DESC NULLS LAST, c_custkey) AS BIGINT) AS place FROM customer")
+def sort_multi(spark, sf_dir):
+    rows = t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return mutate.sequenced(rows, listing.ordering(ListRequest("c").order("c_mktsegment").order("c_acctbal", True).sort, "c_custkey")).withColumnRenamed("sequence", "place")
+
+
+@query(f"SELECT o_orderkey, status, CAST(row_number() OVER (ORDER BY status DESC NULLS LAST, o_orderkey) AS BIGINT) AS place FROM {_NULLED}")
+def sort_nulls(spark, sf_dir):
+    return mutate.sequenced(nulled(spark, sf_dir).select("o_orderkey", "status"), listing.ordering(ListRequest("o").order("status", True).sort, "o_orderkey")).withColumnRenamed("sequence", "place")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 100")
+def top_k(spark, sf_dir):
+    return listing.plan(t(spark, sf_dir, "orders"), ListRequest("orders").order("o_totalprice", True).page(100).project("o_totalprice"), "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_totalprice, CAST(o_orderkey % 4 AS INT) AS partition FROM orders WHERE (o_orderkey % 4 <> 0 OR o_orderkey > 100) AND (o_orderkey % 4 <> 2 OR o_orderkey > 2) ORDER BY o_orderkey % 4, o_orderkey LIMIT 500")
+def partition_cursor(spark, sf_dir):
+    return listing.partition_page(t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), {0: 100, 2: 2}, 500, 4, "o_orderkey", F.col("o_orderkey") % 4)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey = 10 AND o_totalprice > 5000")
+def list_owned(spark, sf_dir):
+    return listing.plan(t(spark, sf_dir, "orders"), ListRequest("orders").where("o_totalprice", "gt", 5000).project("o_custkey", "o_orderstatus", "no_such_field"), "o_orderkey", owner=("o_custkey", 10))
+
+
+@query("SELECT c_custkey AS id, c_name, count(*) OVER () > 50 AS has_more FROM (SELECT * FROM customer WHERE c_custkey > 20 ORDER BY c_custkey LIMIT 51) QUALIFY row_number() OVER (ORDER BY c_custkey) <= 50")
+def store_query(spark, sf_dir):
+    return stores.query(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name"), None, 50, 20)
+
+
+# includes and keys
+
+
+@query("SELECT o_orderkey, o_custkey, c_name AS customer__c_name, c_nationkey AS customer__c_nationkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND o_orderkey % 5 <> 0".replace("AND o_orderkey % 5 <> 0", ""))
+def include_1(spark, sf_dir):
+    rows = listing.include_path(t(spark, sf_dir, "orders"), "customer", RELATIONS, "orders", tables(spark, sf_dir))
+    return rows.select("o_orderkey", "o_custkey", F.col("customer.c_name").alias("customer__c_name"), F.col("customer.c_nationkey").alias("customer__c_nationkey"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, o_totalprice AS order__o_totalprice, c_name AS order__customer__c_name, n_name AS order__customer__nation__n_name
+FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey
+WHERE l_quantity < 10""")
+def include_3(spark, sf_dir):
+    rows = listing.where(t(spark, sf_dir, "lineitem"), [Filter.of("l_quantity", "<", 10)])
+    rows = listing.include_path(rows, "order.customer.nation", RELATIONS, "lineitem", tables(spark, sf_dir))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.col("order.o_totalprice").alias("order__o_totalprice"), F.col("order__customer.c_name").alias("order__customer__c_name"), F.col("order__customer__nation.n_name").alias("order__customer__nation__n_name"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS o_custkey FROM orders WHERE o_orderkey % 11 = 0")
+def fk_missing(spark, sf_dir):
+    rows = t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 == 0, F.col("o_custkey") + 1000000).otherwise(F.col("o_custkey")).alias("o_custkey"))
+    return constraints.missing_targets(rows, t(spark, sf_dir, "customer"), ForeignKey("orders", "o_custkey", "customer", "c_custkey"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal < 0)")
+def fk_reverse_lookup(spark, sf_dir):
+    gone = listing.where(t(spark, sf_dir, "customer"), predicates.parse_filters("c_mktsegment=MACHINERY,c_acctbal<0"))
+    return constraints.referencing(t(spark, sf_dir, "orders"), gone, ForeignKey("orders", "o_custkey", "customer", "c_custkey")).select("o_orderkey", "o_custkey")
+
+
+def _rules(on_delete=OnDelete.CASCADE, leaf=OnDelete.CASCADE):
+    return [ForeignKey("nation", "n_regionkey", "region", "r_regionkey", on_delete), ForeignKey("customer", "c_nationkey", "nation", "n_nationkey", on_delete), ForeignKey("supplier", "s_nationkey", "nation", "n_nationkey", on_delete), ForeignKey("orders", "o_custkey", "customer", "c_custkey", leaf)]
+
+
+def _flat(plan: dict[str, DataFrame]) -> DataFrame:
+    return mutate.union_all([df.select(F.lit(e).alias("entity"), "id") for e, df in plan.items() if e != "set_null"])
+
+
+@query("""
+WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 0), c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (FROM n))
+SELECT 'region' AS entity, '0' AS id UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM n UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM c
+UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_nationkey IN (FROM n) UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey IN (FROM c)""")
+def cascade_closure(spark, sf_dir):
+    return _flat(constraints.cascade(tables(spark, sf_dir), _rules(), "region", t(spark, sf_dir, "region").filter("r_regionkey = 0")))
+
+
+@query("""
+WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1))
+SELECT 'orders' AS entity, 'o_custkey' AS field, CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_custkey IN (FROM c)""")
+def set_null_plan(spark, sf_dir):
+    return constraints.cascade(tables(spark, sf_dir), _rules(leaf=OnDelete.SET_NULL), "region", t(spark, sf_dir, "region").filter("r_regionkey = 1"))["set_null"]
+
+
+@query("""
+WITH c AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 3)
+SELECT 'delete' AS action, 'nation' AS entity, '3' AS id
+UNION ALL SELECT 'delete', 'customer', CAST(c_custkey AS VARCHAR) FROM c WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT 'set_null', 'customer', CAST(c_custkey AS VARCHAR) FROM c WHERE c_mktsegment <> 'BUILDING'
+UNION ALL SELECT 'delete', 'supplier', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_nationkey = 3
+UNION ALL SELECT 'delete', 'orders', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c WHERE c_mktsegment = 'BUILDING')""")
+def owner_aware_cascade(spark, sf_dir):
+    plan = constraints.cascade(tables(spark, sf_dir), _rules(), "nation", t(spark, sf_dir, "nation").filter("n_nationkey = 3"), ({"customer": "c_mktsegment"}, "BUILDING"))
+    return _flat(plan).select(F.lit("delete").alias("action"), "entity", "id").unionByName(plan["set_null"].select(F.lit("set_null").alias("action"), "entity", "id"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 10")
+def fk_restrict_block(spark, sf_dir):
+    """The rows because of which customer 10 cannot be deleted."""
+    return constraints.referencing(t(spark, sf_dir, "orders"), t(spark, sf_dir, "customer").filter("c_custkey = 10"), ForeignKey("orders", "o_custkey", "customer", "c_custkey")).select("o_orderkey", "o_custkey")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT p_partkey // 3 AS parent, p_partkey AS child FROM part WHERE p_partkey >= 3 UNION ALL SELECT 40, 1),
+r AS (SELECT 1::BIGINT AS id UNION SELECT e.child FROM r JOIN e ON e.parent = r.id WHERE e.child <= 200)
+SELECT id FROM r""")
+def share_closure(spark, sf_dir):
+    parts = t(spark, sf_dir, "part").filter("p_partkey >= 3 and p_partkey <= 200").select(F.expr("p_partkey div 3").alias("parent"), F.col("p_partkey").alias("child"))
+    cycle = spark.range(1).select(F.lit(40).cast("bigint").alias("parent"), F.lit(1).cast("bigint").alias("child"))
+    return access.closure(parts.unionByName(cycle), spark.range(1, 2))
+
+
+@query("""
+WITH RECURSIVE r AS (SELECT p_partkey AS root, p_partkey AS id FROM part WHERE p_partkey IN (2, 5, 7)
+UNION SELECT r.root, p.p_partkey FROM r JOIN part p ON p.p_partkey // 4 = r.id) SELECT root, id FROM r""")
+def closure_all(spark, sf_dir):
+    part = t(spark, sf_dir, "part")
+    return access.closure_all(part.select(F.expr("p_partkey div 4").alias("parent"), F.col("p_partkey").alias("child")), part.filter("p_partkey in (2, 5, 7)").select(F.col("p_partkey").alias("id")))
+
+
+# counts and distinct
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 150000")
+def count_filtered(spark, sf_dir):
+    return aggregate.count(t(spark, sf_dir, "orders"), predicates.parse_filters("o_orderstatus=O,o_totalprice>150000"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS entity, count(*) AS record_count FROM {n}" for n in ("customer", "nation", "orders", "part", "region", "supplier")))
+def catalog_counts(spark, sf_dir):
+    return aggregate.catalog({n: df for n, (df, _) in tables(spark, sf_dir).items()})
+
+
+@query("SELECT DISTINCT event_type AS entity FROM events")
+def entity_names(spark, sf_dir):
+    return t(spark, sf_dir, "events").select(F.col("event_type").alias("entity")).distinct().orderBy("entity")
+
+
+@query("SELECT p AS percent, v[least(CAST(floor(len(v) * p / 100.0) AS BIGINT), len(v) - 1) + 1] AS value FROM (SELECT list_sort(list(value)) AS v FROM events), (SELECT unnest([50, 95, 99]) AS p)")
+def percentile_floor(spark, sf_dir):
+    return aggregate.percentile_floor(t(spark, sf_dir, "events"), "value", [50, 95, 99])
+
+
+@query("SELECT CAST(count(*) FILTER (WHERE event_type <> 'error') AS BIGINT) AS n_ok, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS n_failed FROM events")
+def op_counters(spark, sf_dir):
+    return aggregate.counters(t(spark, sf_dir, "events"), F.col("event_type") != "error")
+
+
+@query("SELECT c_custkey, min(c_acctbal) AS c_acctbal, min(src) AS src FROM (SELECT c_custkey, c_acctbal, 0 AS src FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, c_acctbal, 1 FROM customer WHERE c_custkey % 2 = 0) GROUP BY 1")
+def distinct_by_id(spark, sf_dir):
+    rows = t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return aggregate.distinct_union([rows.filter("c_custkey % 3 <> 0").withColumn("src", F.lit(0)), rows.filter("c_custkey % 2 = 0").withColumn("src", F.lit(1))], "c_custkey")
+
+
+@query("SELECT event_type AS share_group, count(DISTINCT user_id) AS members FROM events GROUP BY 1")
+def group_members(spark, sf_dir):
+    return t(spark, sf_dir, "events").groupBy(F.col("event_type").alias("share_group")).agg(F.countDistinct("user_id").alias("members"))
+
+
+@query("SELECT CAST(p % 3 AS INT) AS node, count(*) AS partitions FROM (SELECT unnest(range(256)) AS p) GROUP BY 1")
+def partitions_per_node(spark, sf_dir):
+    return spark.range(256).groupBy((F.col("id") % 3).cast("int").alias("node")).agg(F.count(F.lit(1)).alias("partitions"))
+
+
+@query("SELECT CAST(p AS INT) AS partition FROM (SELECT unnest(range(16)) AS p) WHERE p NOT IN (SELECT DISTINCT o_orderkey % 16 FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey < 60)")
+def missing_partitions(spark, sf_dir):
+    got = t(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0 and o_orderkey < 60").select((F.col("o_orderkey") % 16).alias("id")).distinct()
+    return spark.range(16).join(got, "id", "left_anti").select(F.col("id").cast("int").alias("partition"))
+
+
+@query("""
+SELECT user_id, event_type, 'add' AS change FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0 EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 3 = 0)
+UNION ALL SELECT user_id, event_type, 'remove' FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 0 EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 2 = 0)""")
+def reconcile_subscriptions(spark, sf_dir):
+    events = t(spark, sf_dir, "events")
+    return routing.reconcile(events.filter("event_id % 2 = 0"), events.filter("event_id % 3 = 0"), ["user_id", "event_type"])
+
+
+# constraints
+
+
+@query("SELECT 'l_orderkey' AS field, CAST(l_orderkey AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1 UNION ALL SELECT 'l_linenumber', CAST(l_linenumber AS VARCHAR), count(*) FROM lineitem GROUP BY l_linenumber HAVING count(*) > 1")
+def unique_field_violations(spark, sf_dir):
+    return constraints.unique_violations(t(spark, sf_dir, "lineitem"), Unique("lineitem", ("l_orderkey", "l_linenumber")))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def unique_tuple_violations(spark, sf_dir):
+    return constraints.unique_violations(t(spark, sf_dir, "lineitem"), Unique("lineitem", ("l_orderkey", "l_linenumber"), each=False))
+
+
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1 AS won FROM orders")
+def unique_first_claim(spark, sf_dir):
+    return constraints.first_claims(t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_custkey", "won")
+
+
+@query("""
+SELECT c_custkey, c_name, CASE WHEN c_custkey % 6 = 0 THEN 'established' WHEN c_custkey % 6 = 1 THEN 'already_committed' WHEN c_custkey % 6 = 2 THEN 'repaired' WHEN c_custkey % 6 = 3 THEN 'pending' ELSE 'conflict' END AS outcome FROM customer""")
+def unique_reconcile(spark, sf_dir):
+    rows = t(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    k = F.col("c_custkey") % 6
+    claims = rows.filter(k != 0).select("c_name", F.when(k <= 2, F.col("c_custkey")).otherwise(F.col("c_custkey") + 1).alias("claim_id"), F.when(k.isin(2, 3), "reserved").otherwise("committed").alias("state"))
+    return constraints.reconcile_claims(rows, claims, "c_name", "c_custkey")
+
+
+@query(f"SELECT o_orderkey, 'status' AS field FROM {_NULLED} WHERE status IS NULL")
+def not_null_violations(spark, sf_dir):
+    return constraints.null_violations(nulled(spark, sf_dir), NotNull("orders", "status"), "o_orderkey")
+
+
+@query("""
+SELECT event_id, 'k' AS field, CASE event_id % 5 WHEN 0 THEN 'required' ELSE 'type' END AS violation FROM events WHERE event_id % 5 <> 4""")
+def schema_violations(spark, sf_dir):
+    kind = F.col("event_id") % 5
+    doc = F.when(kind == 0, "{}").when(kind == 1, '{"k": null}').when(kind == 2, '{"k": "5"}').when(kind == 3, '{"k": true}').otherwise(F.col("props"))
+    rows = t(spark, sf_dir, "events").select("event_id", F.parse_json(doc).alias("data"))
+    return constraints.document_violations(rows, Schema("events", {"k": scalars.field("number", required=True)}), id_col="event_id")
+
+
+@query(f"SELECT o_orderkey, 'status' AS field, 'required' AS violation FROM {_NULLED} WHERE status IS NULL UNION ALL SELECT o_orderkey, 'o_totalprice', 'type' FROM orders")
+def schema_violations_typed(spark, sf_dir):
+    return constraints.schema_violations(nulled(spark, sf_dir), Schema("orders", {"status": scalars.field("string", True), "o_totalprice": scalars.field("string")}), "o_orderkey")
+
+
+@query(f"SELECT o_orderkey, coalesce(status, 'new') AS status, 1 AS priority FROM {_NULLED}")
+def schema_defaults(spark, sf_dir):
+    return scalars.with_defaults(nulled(spark, sf_dir).select("o_orderkey", "status"), Schema("orders", {"status": scalars.field("string", default="new"), "priority": scalars.field("number", default=1)}))
+
+
+@query("SELECT l_orderkey AS id, l_linenumber FROM lineitem WHERE l_orderkey % 13 = 0")
+def stale_index_entries(spark, sf_dir):
+    index = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber")
+    return constraints.stale_entries(index, t(spark, sf_dir, "orders").filter("o_orderkey % 13 <> 0").select(F.col("o_orderkey").alias("id")))
+
+
+# writes: a state of orders and a delta of it
+
+_STATE = "(SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(3 AS BIGINT) AS _version FROM orders)"
+
+
+def state(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit(3).cast("bigint").alias("_version"))
+
+
+@query(f"""
+SELECT o_orderkey, o_orderstatus, o_totalprice, _version, CAST(NULL AS BIGINT) AS _expires_at FROM {_STATE} WHERE o_orderkey % 10 <> 0
+UNION ALL SELECT CASE WHEN o_orderkey % 20 = 0 THEN o_orderkey + 10000000 ELSE o_orderkey END, 'N', o_totalprice + 1, CAST(1 AS BIGINT), CASE WHEN o_orderkey % 30 = 0 THEN CAST(1000 + o_orderkey % 100 AS BIGINT) END FROM orders WHERE o_orderkey % 10 = 0
+UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice, _version, NULL FROM {_STATE} WHERE o_orderkey % 20 = 0""")
+def upsert_apply(spark, sf_dir):
+    k = F.col("o_orderkey")
+    incoming = t(spark, sf_dir, "orders").filter(k % 10 == 0).select(F.when(k % 20 == 0, k + 10000000).otherwise(k).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"), F.when(k % 30 == 0, k % 100).alias("ttl_secs"))
+    return mutate.create(state(spark, sf_dir), incoming, "o_orderkey", now=1000)
+
+
+@query(f"""
+SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+       CASE WHEN o_orderkey % 30 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 10 = 0 THEN _version + 1 ELSE _version END AS _version FROM {_STATE}""")
+def update_merge(spark, sf_dir):
+    k = F.col("o_orderkey")
+    delta = t(spark, sf_dir, "orders").filter(k % 10 == 0).select("o_orderkey", F.lit(None).cast("string").alias("o_orderstatus"), F.when(k % 30 == 0, F.col("o_totalprice") + 1).alias("o_totalprice"))
+    return mutate.update(state(spark, sf_dir), delta, "o_orderkey", given=lambda new, c: F.lit(True) if c == "o_orderstatus" else new[c].isNotNull())
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 20 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 20 = 0 THEN _version + 1 ELSE _version END AS _version FROM {_STATE}")
+def update_optimistic(spark, sf_dir):
+    k = F.col("o_orderkey")
+    delta = t(spark, sf_dir, "orders").filter(k % 10 == 0).select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.when(k % 20 == 0, 3).otherwise(2).alias("seen"))
+    return mutate.update(state(spark, sf_dir), delta, "o_orderkey", expected="seen")
+
+
+@query(f"SELECT * FROM {_STATE} WHERE o_orderkey % 10 <> 0")
+def delete_apply(spark, sf_dir):
+    return mutate.delete(state(spark, sf_dir), t(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0"), "o_orderkey")
+
+
+@query("""
+SELECT entity, id, operation, status, CAST(row_number() OVER (ORDER BY operation, id) AS BIGINT) AS sequence FROM (
+  SELECT 'orders' AS entity, CAST(o_orderkey AS VARCHAR) AS id, 'Delete' AS operation, o_orderstatus AS status FROM orders WHERE o_orderkey % 10 = 0
+  UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), 'Update', 'U' FROM orders WHERE o_orderkey % 10 = 1 AND o_orderstatus <> 'U'
+  UNION ALL SELECT 'orders', CAST(o_orderkey + 10000000 AS VARCHAR), 'Create', o_orderstatus FROM orders WHERE o_orderkey % 10 = 2)""")
+def change_feed(spark, sf_dir):
+    k = F.col("o_orderkey")
+    old = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    new = old.filter(k % 10 != 0).withColumn("o_orderstatus", F.when(k % 10 == 1, "U").otherwise(F.col("o_orderstatus"))).unionByName(old.filter(k % 10 == 2).withColumn("o_orderkey", k + 10000000))
+    feed = mutate.changes(old, new, "orders", "o_orderkey").withColumn("status", F.get_json_object("data", "$.o_orderstatus")).drop("data")
+    return mutate.sequenced(feed, [F.col("operation"), F.col("id")])
+
+
+@query("""
+SELECT user_id, prev AS after, seq AS next, seq - prev - 1 AS missing
+FROM (SELECT user_id, event_id AS seq, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) WHERE seq > prev + 1""")
+def sequence_gaps(spark, sf_dir):
+    return mutate.gaps(t(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("sequence")), ["user_id"])
+
+
+# delivery of events
+
+_PATTERNS = [("s1", "users/+/view", None, None, "broadcast"), ("s2", "users/#", "view", "g1", "load_balanced"), ("s3", "users/#", None, "g1", "load_balanced"), ("s4", "+/7/#", None, None, "broadcast"), ("s5", "users/+/purchase", None, "g1", "load_balanced"), ("s6", "#/error", None, None, "broadcast")]
+_SUBS = "(VALUES " + ", ".join(f"('{a}', '{b}', {'NULL' if c is None else repr(c)}, {'NULL' if d is None else repr(d)}, '{e}')" for a, b, c, d, e in _PATTERNS) + ") s(subscription_id, pattern, sub_entity, share_group, mode)"
+_REGEX = "'^' || replace(replace(array_to_string(list_transform(string_split(pattern, '/'), lambda x: '/' || x), ''), '/+', '/[^/]*'), '/#', '(/[^/]*)*') || '$'"
+_MATCHED = f"""(SELECT e.event_id, e.event_type AS entity, e.topic, s.subscription_id, s.share_group FROM (SELECT event_id, event_type, 'users/' || user_id || '/' || event_type AS topic FROM events) e
+JOIN {_SUBS} ON regexp_full_match('/' || e.topic, {_REGEX}) AND (s.sub_entity IS NULL OR s.sub_entity = e.event_type))"""
+
+
+def feed(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("entity"), F.concat(F.lit("users/"), F.col("user_id"), F.lit("/"), F.col("event_type")).alias("topic"))
+
+
+def subscriptions(spark) -> DataFrame:
+    return spark.createDataFrame(_PATTERNS, "subscription_id string, pattern string, entity string, share_group string, mode string")
+
+
+def matched(spark, sf_dir) -> DataFrame:
+    return routing.matches(feed(spark, sf_dir), subscriptions(spark)).select("event_id", "entity", "topic", "subscription_id", "share_group")
+
+
+@query(f"SELECT * FROM {_MATCHED}")
+def sub_match(spark, sf_dir):
+    return matched(spark, sf_dir)
+
+
+@query(f"SELECT event_id, subscription_id FROM {_MATCHED} WHERE share_group IS NULL")
+def route_broadcast(spark, sf_dir):
+    return routing.broadcast_mode(matched(spark, sf_dir)).select("event_id", "subscription_id")
+
+
+@query(f"""
+SELECT event_id, share_group, subscription_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY share_group, event_id ORDER BY subscription_id) - 1 AS place, count(*) OVER (PARTITION BY share_group, event_id) AS members, dense_rank() OVER (PARTITION BY share_group ORDER BY event_id) - 1 AS turn
+  FROM {_MATCHED} WHERE share_group IS NOT NULL) WHERE place = turn % members""")
+def route_round_robin(spark, sf_dir):
+    return routing.round_robin(matched(spark, sf_dir), ["event_id"]).select("event_id", "share_group", "subscription_id")
+
+
+_MEMBERS = "(SELECT DISTINCT event_type AS share_group, 'm' || (user_id % 3) AS member FROM events)"
+_ASSIGNED = f"""(SELECT share_group, CAST(p AS INT) AS partition, member FROM (SELECT share_group, member, row_number() OVER (PARTITION BY share_group ORDER BY member) - 1 AS place, count(*) OVER (PARTITION BY share_group) AS n FROM {_MEMBERS}), (SELECT unnest(range(8)) AS p) WHERE p % n = place)"""
+
+
+def members(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "events").select(F.col("event_type").alias("share_group"), F.concat(F.lit("m"), F.col("user_id") % 3).alias("member")).distinct()
+
+
+@query(f"SELECT * FROM {_ASSIGNED}")
+def group_rebalance(spark, sf_dir):
+    return routing.assignments(members(spark, sf_dir))
+
+
+@query(f"""
+SELECT e.event_id, e.event_type AS share_group, CAST(('0x' || substr(md5('users:' || e.user_id), 1, 7))::BIGINT % 8 AS INT) AS partition, a.member
+FROM events e JOIN {_ASSIGNED} a ON a.share_group = e.event_type AND a.partition = ('0x' || substr(md5('users:' || e.user_id), 1, 7))::BIGINT % 8""")
+def route_ordered(spark, sf_dir):
+    rows = t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("share_group"), F.lit("users").alias("entity"), F.col("user_id").alias("id"))
+    return routing.ordered(rows, routing.assignments(members(spark, sf_dir))).select("event_id", "share_group", "partition", "member")
+
+
+_BEATS = "(SELECT event_type AS share_group, 'u' || user_id AS member, CAST(max(event_id % 100) AS BIGINT) AS heartbeat FROM events GROUP BY ALL)"
+
+
+@query(f"SELECT share_group, CAST(p AS INT) AS partition, member FROM (SELECT share_group, member, row_number() OVER (PARTITION BY share_group ORDER BY member) - 1 AS place, count(*) OVER (PARTITION BY share_group) AS n FROM {_BEATS} WHERE 120 - heartbeat <= 30), (SELECT unnest(range(8)) AS p) WHERE p % n = place")
+def stale_members(spark, sf_dir):
+    beats = t(spark, sf_dir, "events").groupBy(F.col("event_type").alias("share_group"), F.concat(F.lit("u"), F.col("user_id")).alias("member")).agg(F.max(F.col("event_id") % 100).alias("heartbeat"))
+    return routing.assignments(routing.fresh_members(beats, 120))
+
+
+@query("SELECT 'g' || (user_id % 10) AS share_group, count(DISTINCT event_type) AS modes FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
+def mixed_mode_groups(spark, sf_dir):
+    return routing.mixed_groups(t(spark, sf_dir, "events").select(F.concat(F.lit("g"), F.col("user_id") % 10).alias("share_group"), F.col("event_type").alias("mode")))
+
+
+@query("""
+SELECT event_id AS entry_id, CAST(event_id % 13 AS INT) AS retry_count, CAST(event_id % 4 AS INT) AS "from",
+       CASE WHEN event_id % 13 >= 10 THEN 'dead' WHEN rn <= 100 THEN 'deliver' ELSE 'wait' END AS action
+FROM (SELECT event_id, CASE WHEN event_id % 13 < 10 THEN row_number() OVER (PARTITION BY event_id % 13 < 10 ORDER BY ts, event_id) END AS rn FROM events)""")
+def outbox_classify(spark, sf_dir):
+    k = F.col("event_id")
+    entries = t(spark, sf_dir, "events").select(k.alias("entry_id"), F.col("ts").alias("created_at"), (k % 13).cast("int").alias("retry_count"), (k % 4).cast("int").alias("dispatched_count"))
+    return routing.outbox(entries).select("entry_id", "retry_count", "from", "action")
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 1000 AS BIGINT) AS _expires_at FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 1000 <= 500")
+def ttl_sweep(spark, sf_dir):
+    rows = t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 1000).alias("_expires_at"))
+    return routing.sweep(rows, 500)[1]
+
+
+@query("""
+SELECT topic, payload, event_id FROM (SELECT event_type || '/' || user_id AS topic, CASE WHEN event_id % 9 = 0 THEN '' ELSE props END AS payload, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn = 1 AND payload <> ''""")
+def retained_latest(spark, sf_dir):
+    messages = t(spark, sf_dir, "events").select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("topic"), F.when(F.col("event_id") % 9 == 0, "").otherwise(F.col("props")).alias("payload"), "event_id", "ts")
+    return routing.retained(messages, F.struct("ts", "event_id")).drop("ts")
+
+
+@query("""SELECT consumer, partition, sequence, "at" FROM (SELECT event_type AS consumer, CAST(user_id % 8 AS INT) AS partition, event_id AS sequence, event_id * 1000 AS "at", row_number() OVER (PARTITION BY event_type, user_id % 8 ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND 1000000 - "at" <= 604800""")
+def consumer_offsets(spark, sf_dir):
+    commits = t(spark, sf_dir, "events").select(F.col("event_type").alias("consumer"), (F.col("user_id") % 8).cast("int").alias("partition"), F.col("event_id").alias("sequence"), (F.col("event_id") * 1000).alias("at"))
+    return routing.offsets(commits, 1_000_000)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 50 + c_custkey % 20 <= 30")
+def expired_sessions(spark, sf_dir):
+    k = F.col("c_custkey")
+    return routing.expired_sessions(t(spark, sf_dir, "customer").select("c_custkey", (k % 4 == 0).alias("connected"), (k % 50).alias("disconnected_at"), (k % 20).alias("expiry_s")), 30).select("c_custkey")
+
+
+@query("""
+SELECT request_id, sequence, CASE WHEN 900 - first_at > 600 THEN 'expired' WHEN rn = 1 THEN 'first' WHEN params <> first_params THEN 'mismatch' ELSE 'replay' END AS outcome
+FROM (SELECT user_id AS request_id, event_id AS sequence, event_type AS params, first_value(event_id) OVER w AS first_at, first_value(event_type) OVER w AS first_params, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))""")
+def idempotency(spark, sf_dir):
+    return routing.idempotency(t(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("sequence"), F.col("event_type").alias("params"), F.col("event_id").alias("at")), 900, 600)
+
+
+@query("SELECT client, CAST(least(max(qos), 1) AS INT) AS qos FROM (SELECT user_id AS client, CAST(event_id % 3 AS INT) AS qos FROM events WHERE event_type = 'view' UNION ALL SELECT user_id, CAST(event_id % 2 AS INT) FROM events WHERE event_type <> 'click') GROUP BY 1")
+def route_max_qos(spark, sf_dir):
+    events = t(spark, sf_dir, "events")
+    row = lambda where, n: events.filter(where).select(F.col("user_id").alias("client"), (F.col("event_id") % n).cast("int").alias("qos"))
+    return routing.strongest_qos(row("event_type = 'view'", 3), row("event_type <> 'click'", 2), 1)
+
+
+@query("SELECT o_orderkey AS sequence, o_orderstatus FROM orders WHERE o_orderkey > 300 ORDER BY o_orderkey LIMIT 200")
+def log_replay(spark, sf_dir):
+    return routing.replay(t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sequence"), "o_orderstatus"), 300, 200)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'top/users/' || user_id || '/click/events/created' ELSE 'top/click/events/p' || CAST(('0x' || substr(md5('click:' || event_id), 1, 7))::BIGINT % 8 AS VARCHAR) || '/' || event_id END AS topic FROM events WHERE event_type = 'click'")
+def event_topics(spark, sf_dir):
+    rows = t(spark, sf_dir, "events").filter("event_type = 'click'")
+    scope = scalars.scope_of(F.lit("click"), F.col("event_id"), {"users": "user_id"}, {"user_id": F.when(F.col("event_id") % 4 == 0, F.col("user_id"))})
+    part = routing.event_partition(F.col("event_type"), F.col("event_id")).cast("string")
+    return rows.select("event_id", scalars.event_topic("top", F.col("event_type"), F.lit("Create"), F.col("event_id"), part, scope).alias("topic"))
+
+
+@query("SELECT topic, topic LIKE 'users/%' AS under_users, topic NOT LIKE '$%' AS any_level, regexp_full_match(topic, 'users/[^/]*/view') AS one_level FROM (SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN '$SYS/' ELSE 'users/' END || user_id || '/' || event_type AS topic FROM events)")
+def topic_patterns(spark, sf_dir):
+    topic = F.concat(F.when(F.col("event_id") % 3 == 0, "$SYS/").otherwise("users/"), F.col("user_id"), F.lit("/"), F.col("event_type"))
+    rows = t(spark, sf_dir, "events").select(topic.alias("topic")).distinct()
+    return rows.select("topic", predicates.topic_match(F.col("topic"), "users/#").alias("under_users"), predicates.topic_match(F.col("topic"), "#", system=False).alias("any_level"), predicates.topic_match(F.col("topic"), "users/+/view").alias("one_level"))
+
+
+@query("SELECT topic, CASE WHEN regexp_full_match(topic, '\\$DB/p[0-9]+(/.*)?') OR topic LIKE '$DB/_idx/%' THEN 'block' WHEN regexp_full_match(topic, '\\$DB/[^/]*/events(/.*)?') THEN 'read_only' ELSE 'open' END AS tier FROM (SELECT CASE c_custkey % 4 WHEN 0 THEN '$DB/p' || c_custkey || '/x' WHEN 1 THEN '$DB/_idx/' || c_custkey WHEN 2 THEN '$DB/users/events/' || c_custkey ELSE '$DB/users/' || c_custkey END AS topic FROM customer)")
+def topic_protection(spark, sf_dir):
+    k = F.col("c_custkey")
+    topic = F.when(k % 4 == 0, F.concat(F.lit("$DB/p"), k, F.lit("/x"))).when(k % 4 == 1, F.concat(F.lit("$DB/_idx/"), k)).when(k % 4 == 2, F.concat(F.lit("$DB/users/events/"), k)).otherwise(F.concat(F.lit("$DB/users/"), k))
+    return access.protection(t(spark, sf_dir, "customer").select(topic.alias("topic")))
+
+
+# access
+
+_SHARES = "(SELECT 'orders' AS resource_entity, CAST(o_orderkey AS VARCHAR) AS resource_id, 'u' || (o_orderkey % 5) AS grantee, CASE WHEN o_orderkey % 2 = 0 THEN 'edit' ELSE 'view' END AS permission, 'u' || (o_custkey % 7) AS granted_by FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), 'u' || (o_orderkey % 5), 'edit', 'u9' FROM orders WHERE o_orderkey % 9 = 0)"
+
+
+def shares(spark, sf_dir) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = t(spark, sf_dir, "orders")
+    grantee = F.concat(F.lit("u"), k % 5).alias("grantee")
+    first = rows.filter(k % 3 == 0).select(F.lit("orders").alias("resource_entity"), k.cast("string").alias("resource_id"), grantee, F.when(k % 2 == 0, "edit").otherwise("view").alias("permission"), F.concat(F.lit("u"), F.col("o_custkey") % 7).alias("granted_by"))
+    return first.unionByName(rows.filter(k % 9 == 0).select(F.lit("orders").alias("resource_entity"), k.cast("string").alias("resource_id"), grantee, F.lit("edit").alias("permission"), F.lit("u9").alias("granted_by")))
+
+
+def owned_orders(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit("u"), F.col("o_custkey") % 7).alias("owner"))
+
+
+@query(f"SELECT resource_entity, resource_id, grantee, max(CASE permission WHEN 'edit' THEN 2 ELSE 1 END) AS level FROM {_SHARES} GROUP BY ALL")
+def access_effective_level(spark, sf_dir):
+    return access.effective_levels(shares(spark, sf_dir))
+
+
+@query(f"SELECT o_orderkey, o_custkey, 'u' || (o_custkey % 7) AS owner FROM orders WHERE o_custkey % 7 = 2 OR CAST(o_orderkey AS VARCHAR) IN (SELECT resource_id FROM {_SHARES} WHERE grantee = 'u2' AND permission = 'edit')")
+def access_allowed(spark, sf_dir):
+    return access.accessible(owned_orders(spark, sf_dir), shares(spark, sf_dir), "orders", "u2", "edit", "owner", "o_orderkey")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 7 = 3 OR CAST(o_orderkey AS VARCHAR) IN (SELECT resource_id FROM {_SHARES} WHERE grantee = 'u3'))")
+def access_derived(spark, sf_dir):
+    return access.derived(t(spark, sf_dir, "lineitem"), "l_orderkey", owned_orders(spark, sf_dir), shares(spark, sf_dir), "orders", "u3", "view", "owner", "o_orderkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query(f"SELECT o_orderkey, o_custkey, 'u' || (o_custkey % 7) AS owner, level FROM orders JOIN (SELECT resource_id, max(CASE permission WHEN 'edit' THEN 2 ELSE 1 END) AS level FROM {_SHARES} WHERE grantee = 'u1' GROUP BY 1) ON resource_id = CAST(o_orderkey AS VARCHAR)")
+def shared_with_me(spark, sf_dir):
+    return access.shared_with(owned_orders(spark, sf_dir), shares(spark, sf_dir), "orders", "u1", "o_orderkey")
+
+
+@query(f"""
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE array_to_string(list_sort(list_distinct(list_append(coalesce(g, []), 'u' || (o_custkey % 7)))), ',') END AS recipients
+FROM orders LEFT JOIN (SELECT resource_id, list(grantee) AS g FROM {_SHARES} GROUP BY 1) ON resource_id = CAST(o_orderkey AS VARCHAR)""")
+def event_recipients(spark, sf_dir):
+    events = t(spark, sf_dir, "orders").select("o_orderkey", F.lit("orders").alias("governing_entity"), F.col("o_orderkey").cast("string").alias("governing_id"))
+    owners = owned_orders(spark, sf_dir).filter("o_orderkey % 4 <> 0").select(F.lit("orders").alias("entity"), F.col("o_orderkey").cast("string").alias("id"), "owner")
+    return access.recipients(events, owners, shares(spark, sf_dir)).select("o_orderkey", F.array_join("recipients", ",").alias("recipients"))
+
+
+@query(f"""
+SELECT o_orderkey, r.recipient, '$USERS/' || r.recipient || '/orders/events/' || o_orderkey AS recipient_topic FROM orders
+LEFT JOIN (SELECT resource_id, list(grantee) AS g FROM {_SHARES} GROUP BY 1) ON resource_id = CAST(o_orderkey AS VARCHAR), LATERAL (SELECT unnest(list_distinct(list_append(coalesce(g, []), 'u' || (o_custkey % 7)))) AS recipient) r
+WHERE o_orderkey % 4 <> 0""")
+def scoped_routing(spark, sf_dir):
+    events = t(spark, sf_dir, "orders").select("o_orderkey", F.lit("orders").alias("governing_entity"), F.col("o_orderkey").cast("string").alias("governing_id"))
+    owners = owned_orders(spark, sf_dir).filter("o_orderkey % 4 <> 0").select(F.lit("orders").alias("entity"), F.col("o_orderkey").cast("string").alias("id"), "owner")
+    rows = access.recipients(events, owners, shares(spark, sf_dir))
+    return routing.scoped(rows, F.concat_ws("/", F.lit("orders/events"), "governing_id")).select("o_orderkey", "recipient", "recipient_topic")
+
+
+@query(f"""
+SELECT DISTINCT resource_id, recipient FROM (SELECT s.resource_id, s.grantee AS recipient, s.granted_by FROM {_SHARES} s
+UNION ALL SELECT s.resource_id, 'u' || (o_custkey % 7), s.granted_by FROM {_SHARES} s JOIN orders ON CAST(o_orderkey AS VARCHAR) = s.resource_id WHERE 'u' || (o_custkey % 7) <> s.granted_by)""")
+def share_events(spark, sf_dir):
+    owners = owned_orders(spark, sf_dir).select(F.lit("orders").alias("entity"), F.col("o_orderkey").cast("string").alias("id"), "owner")
+    return access.share_events(shares(spark, sf_dir), owners).select("resource_id", "recipient").distinct()
+
+
+_ONE = f"(SELECT resource_entity, resource_id, grantee, max(permission) FILTER (WHERE permission = 'edit') AS e, min(granted_by) AS granted_by FROM {_SHARES} GROUP BY ALL)"
+
+
+def single_shares(spark, sf_dir) -> DataFrame:
+    """One grant per resource and grantee."""
+    return access.effective_levels(shares(spark, sf_dir)).select("resource_entity", "resource_id", "grantee", F.when(F.col("level") == 2, "edit").otherwise("view").alias("permission"), F.lit("u0").alias("granted_by"))
+
+
+@query(f"""
+WITH s AS (SELECT resource_entity, resource_id, grantee, coalesce(e, 'view') AS permission FROM {_ONE}),
+n AS (SELECT 'orders' AS resource_entity, CAST(k AS VARCHAR) AS resource_id, 'u3' AS grantee FROM (SELECT unnest([3, 18, 33, 41]) AS k))
+SELECT coalesce(s.resource_entity, n.resource_entity) AS resource_entity, coalesce(s.resource_id, n.resource_id) AS resource_id, coalesce(s.grantee, n.grantee) AS grantee,
+       CASE WHEN n.resource_id IS NULL THEN s.permission WHEN n.resource_id = '18' THEN 'view' WHEN s.permission = 'edit' THEN 'edit' ELSE 'view' END AS permission
+FROM s FULL JOIN n ON s.resource_entity = n.resource_entity AND s.resource_id = n.resource_id AND s.grantee = n.grantee""")
+def share_grant(spark, sf_dir):
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, (3, 18, 33, 41)))).alias("id"))
+    return access.grant(single_shares(spark, sf_dir), rows, "orders", 18, "u3", "view", "u0").drop("granted_by")
+
+
+@query(f"SELECT resource_entity, resource_id, grantee, coalesce(e, 'view') AS permission FROM {_ONE} WHERE NOT (grantee = 'u3' AND resource_id IN ('3', '18', '33'))")
+def share_revoke(spark, sf_dir):
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, (3, 18, 33)))).alias("id"))
+    return access.revoke(single_shares(spark, sf_dir), rows, "orders", "u3").drop("granted_by")
+
+
+@query(f"SELECT resource_entity, resource_id, grantee, coalesce(e, 'view') AS permission FROM {_ONE} WHERE CAST(resource_id AS BIGINT) % 2 = 1")
+def share_clear(spark, sf_dir):
+    gone = t(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.lit("orders").alias("entity"), F.col("o_orderkey").alias("id"))
+    return access.without_grants(single_shares(spark, sf_dir), gone).drop("granted_by")
+
+
+# keys, checksums, encryption, backup
+
+
+@query("SELECT o_orderkey, 'data/orders/' || o_orderkey AS data_key, 'idx/orders/status/' || o_orderstatus || '/' || o_orderkey AS index_key, 'uniq/orders/status/' || o_orderstatus AS unique_key, CAST(o_orderkey AS VARCHAR) AS id FROM orders")
+def record_keys(spark, sf_dir):
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    key = scalars.data_key("orders", k)
+    return t(spark, sf_dir, "orders").select("o_orderkey", key.alias("data_key"), scalars.index_key("orders", "status", s, k).alias("index_key"), scalars.unique_key("orders", "status", s).alias("unique_key"), scalars.id_of_key(key).alias("id"))
+
+
+@query()
+def partition_crc32(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return t(spark, sf_dir, "orders").select("o_orderkey", scalars.crc_partition(Config.partitions, "orders", k).alias("data_partition"), scalars.crc_partition(Config.partitions, "unique", "orders", "id", k).alias("unique_partition"))
+
+
+@query("SELECT o_orderkey, true AS intact, o_orderkey % 5 <> 0 AS other_intact FROM orders")
+def record_integrity(spark, sf_dir):
+    rows = t(spark, sf_dir, "orders").select("o_orderkey", scalars.checksum(F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"))).alias("stored"))
+    other = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.col("stored"), F.lit("x").cast("binary"))).otherwise(F.col("stored"))
+    return rows.select("o_orderkey", scalars.verified(F.col("stored")).alias("intact"), scalars.verified(other).alias("other_intact"))
+
+
+@query("SELECT s_suppkey, s_nationkey, CAST(row_number() OVER (ORDER BY s_suppkey - 5) AS BIGINT) AS place FROM supplier")
+def sortable_keys(spark, sf_dir):
+    rows = t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", scalars.sortable_long(F.col("s_suppkey") - 5).alias("key"))
+    return mutate.sequenced(rows, [F.col("key")]).withColumnRenamed("sequence", "place").drop("key")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, true AS hidden FROM customer")
+def vault_roundtrip(spark, sf_dir):
+    key = F.lit("0123456789abcdef").cast("binary")
+    plain = t(spark, sf_dir, "customer")
+    sealed = scalars.seal_fields(plain, key, "customer", "c_mktsegment", "c_custkey").withColumn("hidden", ~F.col("c_name").contains("Customer"))
+    return scalars.unseal_fields(sealed, plain.schema, key, "customer", "c_mktsegment", "c_custkey")
+
+
+@query("SELECT o_orderkey, status, o_totalprice, CAST(1 AS BIGINT) AS _version FROM (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS status FROM orders)")
+def backup_roundtrip(spark, sf_dir):
+    rows = nulled(spark, sf_dir).select("o_orderkey", "status", "o_totalprice", F.lit(4).cast("bigint").alias("_version"))
+    path = work_folder(spark, "backup")
+    backup.backup({"orders": rows, "nation": t(spark, sf_dir, "nation")}, path)
+    return backup.restore(spark, path, {"orders": rows.schema})["orders"]
+
+
+@query("""SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey || ',"a ""quoted"", cell"' ELSE c_custkey || ',' || c_mktsegment END AS value FROM customer""")
+def csv_export(spark, sf_dir):
+    k = F.col("c_custkey")
+    return export.csv_lines(t(spark, sf_dir, "customer").select(k, F.when(k % 3 == 0, 'a "quoted", cell').otherwise(F.col("c_mktsegment")).alias("text")))
+
+
+@query("SELECT CAST(i AS VARCHAR) AS id, repeat('x', 20) || '_' || i AS field_0, repeat('x', 20) || '_' || i AS field_1 FROM (SELECT unnest(range(500)) AS i)")
+def bench_records(spark, sf_dir):
+    return scalars.bench_records(spark, 500, 2, 20)
+
+
+# streams, run over what is there and read back
+
+
+def _streamed(spark, stream: DataFrame, name: str) -> DataFrame:
+    folder = work_folder(spark, name)
+    streams.to_table(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query(f"SELECT event_id, subscription_id FROM {_MATCHED}")
+def route_stream(spark, sf_dir):
+    events = streams.read_folder(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("entity"), F.concat(F.lit("users/"), F.col("user_id"), F.lit("/"), F.col("event_type")).alias("topic"))
+    return _streamed(spark, streams.routed(events, subscriptions(spark)).select("event_id", "subscription_id"), "route")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND value > 50")
+def watch_stream(spark, sf_dir):
+    return _streamed(spark, listing.where(streams.read_folder(spark, sf_dir, "events"), predicates.parse_filters("event_type=purchase,value>50")).select("event_id", "user_id"), "watch")
+
+
+@query("SELECT event_id, share_group, 'm' || (row_number() OVER (PARTITION BY share_group ORDER BY event_id) - 1) % 3 AS member FROM (SELECT event_id, event_type AS share_group FROM events)")
+def rr_stream(spark, sf_dir):
+    events = streams.read_folder(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("share_group"))
+    dealt = streams.round_robin(events, {g: ["m2", "m0", "m1"] for g in ("view", "click", "purchase", "signup", "error")}, "share_group", "event_id", "event_id bigint, share_group string")
+    return _streamed(spark, dealt, "rr")
+
+
+@query("SELECT DISTINCT event_id FROM events")
+def retry_dedupe_stream(spark, sf_dir):
+    events = streams.read_folder(spark, sf_dir, "events").select("event_id", "ts")
+    twice = events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    return _streamed(spark, streams.deduplicated(twice, "event_id", "ts").select("event_id"), "dedupe")
