@@ -78,5 +78,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:
     """The rows of docs, with their own columns, whose id has no overlap with a benchmark item."""
-    found = written(overlaps(docs, benchmark, params).select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
-    return docs.join(small(found, found.count(), 16), docs["doc_id"].eqNullSafe(F.col("leaked")), "left_anti")
+    found = written(overlaps(docs, benchmark, params).select(F.col("doc_id").alias("__leaked")).distinct(), "leaks")
+    return docs.join(small(found, found.count(), 16), docs["doc_id"].eqNullSafe(F.col("__leaked")), "left_anti")

@@ -103,11 +103,11 @@ def dropped_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def _kept(docs: DataFrame, params: Params) -> tuple[DataFrame, Column]:
-    gone = written(dropped_lines(docs.select("doc_id", "text"), params).withColumnRenamed("doc_id", "gone_id"), "lines-gone")
-    n, total = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
-    joined = docs.join(small(gone, 64 * n + 4 * total, 1), docs["doc_id"].eqNullSafe(gone["gone_id"]), "left")
-    rest = let(F.split(docs["text"], "\n"), lambda x: F.array_join(F.filter(x, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n"))
-    return joined, F.when(F.col("gone").isNull(), docs["text"]).otherwise(rest)
+    gone = written(dropped_lines(docs.select("doc_id", "text"), params).select(F.col("doc_id").alias("__gone_id"), F.col("__gone").alias("__gone")), "lines-gone")
+    n, total = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
+    joined = docs.join(small(gone, 64 * n + 4 * total, 1), docs["doc_id"].eqNullSafe(gone["__gone_id"]), "left")
+    rest = let(F.split(docs["text"], "\n"), lambda x: F.array_join(F.filter(x, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
+    return joined, F.when(F.col("__gone").isNull(), docs["text"]).otherwise(rest)
 
 
 def dedup_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -118,7 +118,7 @@ def dedup_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """
     joined, text = _kept(docs.select("doc_id", "text"), params)
     n = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-    return joined.select("doc_id", text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n).cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped")).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
+    return joined.select("doc_id", text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n).cast("bigint").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_dropped")).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
 
 
 def without_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -127,7 +127,7 @@ def without_repeats(docs: DataFrame, params: Params = Params()) -> DataFrame:
     A document that loses lines and has no word left goes; all others stay.
     """
     joined, text = _kept(docs, params)
-    out = joined.withColumn("text", text).filter(F.col("gone").isNull() | F.col("text").rlike(r"[^ \x09-\x0D]"))
+    out = joined.withColumn("text", text).filter(F.col("__gone").isNull() | F.col("text").rlike(r"[^ \x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
