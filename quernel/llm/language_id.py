@@ -45,7 +45,7 @@ def codewords(n: int, dense_bits: int) -> np.ndarray:
     """n rows of +1/-1: the exhaustive code for up to 6 languages, else a fixed dense random code."""
     if n <= 6:
         bits = [[1] + [1 if (col >> k) & 1 else -1 for k in range(n - 1)] for col in range(max(0, 2 ** (n - 1) - 1))]
-        return np.array(bits, dtype=np.float64).reshape(-1, n).T
+        return np.array(bits, dtype=np.float64).reshape(len(bits), n).T
     rng = np.random.default_rng(20240229)
     while True:
         code = rng.choice([-1.0, 1.0], size=(n, dense_bits))

@@ -103,7 +103,7 @@ def dropped_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def _kept(docs: DataFrame, params: Params) -> tuple[DataFrame, Column]:
-    gone = written(dropped_lines(docs.select("doc_id", "text"), params).select(F.col("doc_id").alias("__gone_id"), F.col("__gone").alias("__gone")), "lines-gone")
+    gone = written(dropped_lines(docs.select("doc_id", "text"), params).select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone")), "lines-gone")
     n, total = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
     joined = docs.join(small(gone, 64 * n + 4 * total, 1), docs["doc_id"].eqNullSafe(gone["__gone_id"]), "left")
     rest = let(F.split(docs["text"], "\n"), lambda x: F.array_join(F.filter(x, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
