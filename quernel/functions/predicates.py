@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from quernel.plans.model import Filter, Missing, Op, QuernelError
 
 _RANGE = {Op.LT: lambda a, b: a < b, Op.LTE: lambda a, b: a <= b, Op.GT: lambda a, b: a > b, Op.GTE: lambda a, b: a >= b}
-FALSE = F.lit
 
 
 def glob_regex(glob: str) -> str:
@@ -53,7 +52,8 @@ def _column_kind(kind: T.DataType) -> str:
 
 
 def typed(f: Filter, kind: T.DataType, missing: Missing = Missing.LIST) -> Column:
-    """f on a column of this type. A null column is an explicit null; the result is never null."""
+    """f on a column of this type, for a filter: a null result counts as false, so that comparisons stay plain and reach
+    the scan. A null column is an explicit null."""
     col, want = F.col(f"`{f.field}`"), _column_kind(kind)
     never = F.lit(False)
     if f.op is Op.IS_NULL:
@@ -62,22 +62,22 @@ def typed(f: Filter, kind: T.DataType, missing: Missing = Missing.LIST) -> Colum
         return col.isNotNull()
     same = lambda v: v is None or _kind(v) == want or want == "other" and v is not None
     if f.op is Op.EQ:
-        return col.isNull() if f.value is None else col.eqNullSafe(F.lit(f.value)) if same(f.value) else never
+        return col.isNull() if f.value is None else col == F.lit(f.value) if same(f.value) else never
     if f.op is Op.NEQ:
         return col.isNotNull() if f.value is None else ~col.eqNullSafe(F.lit(f.value)) if same(f.value) else F.lit(True)
     if f.op is Op.IN:
         if missing is Missing.WATCH or not isinstance(f.value, (list, tuple)):
             return never
         values = [v for v in f.value if v is not None and same(v)]
-        hit = F.coalesce(col.isin(*values), never) if values else never
+        hit = col.isin(*values) if values else never
         return hit | col.isNull() if None in f.value else hit
     if f.op is Op.LIKE:
-        return F.coalesce(glob_match(col, f.value), never) if want == "string" and isinstance(f.value, str) else never
+        return glob_match(col, f.value) if want == "string" and isinstance(f.value, str) else never
     if f.value is None:  # null against null: only a cursor calls them ordered and equal
         return col.isNull() if missing is Missing.CURSOR and f.op in (Op.LTE, Op.GTE) else never
     if not same(f.value) or want == "boolean" and missing is not Missing.CURSOR:
         return never
-    return F.coalesce(_RANGE[f.op](col, F.lit(f.value)), never)
+    return _RANGE[f.op](col, F.lit(f.value))
 
 
 def variant(f: Filter, data: Column, missing: Missing = Missing.LIST) -> Column:

@@ -128,7 +128,7 @@ def cascade(tables: dict[str, tuple[DataFrame, str]], rules, entity: str, delete
                 if rule.on_delete is OnDelete.CASCADE:
                     new = hit.filter(mine).select(id_col)
                     if rule.source in found:
-                        new = new.join(found[rule.source], F.col(id_col).cast("string") == F.col("id"), "left_anti")
+                        new = new.join(found[rule.source].select(F.col("id").alias("__id")), F.col(id_col).cast("string") == F.col("__id"), "left_anti")
                     upcoming[rule.source] = upcoming[rule.source].unionByName(new).distinct() if rule.source in upcoming else new.distinct()
         cyclic = {e for e in upcoming if e in found}
         frontier = {}
@@ -139,7 +139,7 @@ def cascade(tables: dict[str, tuple[DataFrame, str]], rules, entity: str, delete
             found[e] = found[e].unionByName(ids(rows, e)) if e in found else ids(rows, e)
             frontier[e] = rows
     for rule, hit in restricted:
-        left = hit.join(found[rule.source], F.col(key(rule.source)).cast("string") == F.col("id"), "left_anti") if rule.source in found else hit
+        left = hit.join(found[rule.source].select(F.col("id").alias("__id")), F.col(key(rule.source)).cast("string") == F.col("__id"), "left_anti") if rule.source in found else hit
         if left.take(1):
             raise ForeignKeyViolation(f"{rule.source}.{rule.field} still refers to {rule.target}")
     for rule, rows in nulled:

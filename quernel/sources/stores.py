@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quernel.functions.predicates import store_filter, topic_match
 from quernel.operators.listing import keyset_page
@@ -37,13 +37,7 @@ class _Part(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, schema, path: str):
-        self.names, self.path, self.equal = schema.names, path, []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1:
-                self.equal.append((f.attribute[0], f.value))
-            yield f  # Spark checks again
+        self.names, self.path = schema.names, path
 
     def partitions(self) -> list[InputPartition]:
         return [_Part(str(p)) for p in sorted(Path(self.path).glob("*.jsonl"))]
@@ -52,12 +46,11 @@ class _Reader(DataSourceReader):
         with open(part.path, encoding="utf-8") as f:
             for line in f:
                 row = json.loads(line)
-                if all(row.get(k) == v for k, v in self.equal):
-                    yield tuple(row.get(n) for n in self.names)
+                yield tuple(row.get(n) for n in self.names)
 
 
 class DocumentSource(DataSource):
-    """`format("quernel")`: a folder, shared by all executors, of .jsonl files, a partition each; equality is pushed."""
+    """`format("quernel")`: a folder, shared by all executors, of .jsonl files, a partition each."""
 
     @classmethod
     def name(cls) -> str:
