@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernel.llm import bpe, decontaminate, fixity, html_text, jaccard, language_id, line_dedup, quality, secrets, url_rules
+from quernel.llm import bpe, decontaminate, fixity, html_text, jaccard, language_id, line_dedup, oracles, quality, secrets, url_rules
 from quernel.llm.shared import table
 
 
@@ -57,4 +57,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_fixity": fixity.AUDIT_SQL, "op6_jaccard_join": jaccard.COMPONENTS_SQL}
+    return oracles.oracle_sql()
