@@ -131,6 +131,46 @@ def partition_page(df: DataFrame, tokens: dict[int, object], limit: int, partiti
     return rows.filter(seen).orderBy("partition", id_col).limit(limit)
 
 
+class Cursor:
+    """Rows of a plan in order, a page at a time; each page is a keyset query after the last row seen.
+
+    Rows are ordered by id. reset() starts again; position counts the rows given since.
+    """
+
+    def __init__(self, df: DataFrame, request: ListRequest, id_col: str = "id"):
+        if request.sort and request.sort[0].field != id_col:
+            raise QuernelError("a paged cursor goes by id; use cursor() for other orders")
+        self.df, self.id_col, self.batch = where(df, request.filters, Missing.CURSOR), id_col, request.batch_size
+        self.reset()
+
+    def reset(self) -> None:
+        self.after, self.position, self.buffer, self.done = None, 0, [], False
+
+    def _fill(self, n: int) -> None:
+        while len(self.buffer) < n and not self.done:
+            size = max(self.batch, n)
+            got = keyset_page(self.df, self.after, size, self.id_col).collect()  # a page
+            self.done = len(got) < size
+            self.buffer += got
+            self.after = got[-1][self.id_col] if got else self.after
+
+    def next_batch(self, n: int) -> list:
+        self._fill(n)
+        out, self.buffer = self.buffer[:n], self.buffer[n:]
+        self.position += len(out)
+        return out
+
+    def next(self):
+        return next(iter(self.next_batch(1)), None)
+
+    def has_more(self) -> bool:
+        self._fill(1)
+        return bool(self.buffer)
+
+    def count(self) -> int:
+        return self.df.count()
+
+
 def cursor(df: DataFrame, request: ListRequest, id_col: str = "id"):
     """Rows one by one, without collecting them; filters follow the cursor's rules for absent and null."""
     yield from plan(df, request, id_col, missing=Missing.CURSOR).toLocalIterator(prefetchPartitions=True)

@@ -7,9 +7,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel.functions.predicates import valid_pattern
 from quernel.operators import access, aggregate, constraints, listing, mutate
 from quernel.plans.model import Config, Forbidden, ForeignKey, ForeignKeyViolation, ListRequest, NotFound, NotNull, NotNullViolation, QuernelError, Relationship, Schema, SchemaViolation, Unique, UniqueViolation, valid_entity
 from quernel.sources import backup as backups
+from quernel.streaming import routing
+
+SUBSCRIPTION = "subscription_id string, pattern string, entity string, share_group string, mode string"
 
 
 @dataclass
@@ -26,6 +30,8 @@ class Engine:
     owners: dict[str, str] = field(default_factory=dict)
     derived: dict[str, tuple[str, str]] = field(default_factory=dict)
     shares: DataFrame | None = None
+    subscriptions: DataFrame | None = None
+    heartbeats: dict[str, int] = field(default_factory=dict)
     events: list[DataFrame] = field(default_factory=list)
 
     # metadata
@@ -105,6 +111,68 @@ class Engine:
         df, id_col = self._table(entity)
         return access.shared_with(df, self.shares, entity, grantee, id_col)
 
+    def pages(self, request: ListRequest) -> listing.Cursor:
+        df, id_col = self._table(request.entity)
+        return listing.Cursor(df, request, id_col)
+
+    # access
+    def share(self, entity: str, key, grantee: str, permission: str, by: str, edges: DataFrame | None = None) -> int:
+        """Grants a level on a row and what hangs below it (edges: parent, child); returns the number of grants."""
+        if permission not in access.LEVELS:
+            raise QuernelError(f"no such permission: {permission}")
+        rows = self._below(key, edges)
+        if self.shares is None:
+            self.shares = self.spark.createDataFrame([], "resource_entity string, resource_id string, grantee string, permission string, granted_by string")
+        self.shares = access.grant(self.shares, rows, entity, key, grantee, permission, by)
+        return rows.count()
+
+    def unshare(self, entity: str, key, grantee: str, edges: DataFrame | None = None) -> None:
+        if self.shares is not None:
+            self.shares = access.revoke(self.shares, self._below(key, edges), entity, grantee)
+
+    def _below(self, key, edges: DataFrame | None) -> DataFrame:
+        root = self.spark.range(1).select(F.lit(key).alias("id"))
+        return access.closure(edges, root) if edges is not None else root
+
+    def accessible(self, entity: str, sender, needed: str = "view") -> DataFrame:
+        df, id_col = self._table(entity)
+        if entity in self.derived:
+            fk, parent = self.derived[entity]
+            parents, parent_id = self._table(parent)
+            return access.derived(df, fk, parents, self.shares, parent, sender, needed, self.owners[parent], parent_id)
+        return access.accessible(df, self.shares, entity, sender, needed, self.owners[entity], id_col) if entity in self.owners else df
+
+    # subscriptions
+    def subscribe(self, subscription_id: str, pattern: str, entity: str | None = None, share_group: str | None = None, mode: str = "broadcast", now: int = 0) -> Engine:
+        if not valid_pattern(pattern):
+            raise QuernelError(f"no valid pattern: {pattern!r}")
+        row = self.spark.createDataFrame([(subscription_id, pattern, entity, share_group, mode)], SUBSCRIPTION)
+        self.subscriptions = routing.subscribe(self.subscriptions, row, self.config) if self.subscriptions is not None else row
+        self.heartbeats[subscription_id] = now
+        return self
+
+    def unsubscribe(self, subscription_id: str) -> Engine:
+        if self.heartbeats.pop(subscription_id, None) is None:
+            raise NotFound(f"no subscription {subscription_id}")
+        self.subscriptions = self.subscriptions.filter(F.col("subscription_id") != subscription_id)
+        return self
+
+    def heartbeat(self, subscription_id: str, now: int) -> None:
+        if subscription_id not in self.heartbeats:
+            raise NotFound(f"no subscription {subscription_id}")
+        self.heartbeats[subscription_id] = now
+
+    def groups(self, now: int) -> DataFrame:
+        """share_group, partition, member of the members whose heartbeat is recent."""
+        beats = self.spark.createDataFrame(list(self.heartbeats.items()), "member string, heartbeat bigint")
+        members = self.subscriptions.filter(F.col("share_group").isNotNull()).select("share_group", F.col("subscription_id").alias("member")).join(beats, "member")
+        return routing.assignments(routing.fresh_members(members, now, self.config.group_timeout_s), self.config.group_partitions)
+
+    def deliveries(self) -> DataFrame:
+        """The events so far with the subscriptions they go to; topics are entity/id."""
+        events = mutate.union_all(self.events).withColumn("topic", F.concat_ws("/", "entity", "id"))
+        return routing.matches(events, self.subscriptions)
+
     # writes
     def _check(self, entity: str, state: DataFrame, id_col: str) -> None:
         schema = self.schemas.get(entity)
@@ -162,7 +230,8 @@ class Engine:
         return self
 
     def execute(self, request: dict) -> DataFrame | dict:
-        """One request of the verbs list, read, count, create, update, delete, shared, shares."""
+        """One request of the verbs list, read, count, create, update, delete, share, unshare, shared, shares, subscribe,
+        unsubscribe."""
         verb, entity = request.get("op"), request.get("entity", "")
         rows = lambda: self.spark.createDataFrame(request["rows"], self._table(entity)[0].schema)
         if verb == "list":
@@ -176,6 +245,13 @@ class Engine:
         if verb == "delete":
             df, id_col = self._table(entity)
             return self.delete(entity, df.filter(F.col(id_col) == request["id"]), request.get("sender"))
+        if verb in ("share", "unshare"):
+            args = ("grantee", "permission", "by") if verb == "share" else ("grantee",)
+            getattr(self, verb)(entity, request["id"], *(request[k] for k in args))
+            return self.shares
+        if verb in ("subscribe", "unsubscribe"):
+            getattr(self, verb)(**{k: v for k, v in request.items() if k != "op"})
+            return self.subscriptions
         if verb == "shared":
             return self.shared(entity, request["grantee"])
         if verb == "shares":

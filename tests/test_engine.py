@@ -170,3 +170,36 @@ def test_vault_binds_to_the_record(spark):
     moved = sealed.withColumn("id", F.lit("9"))
     with pytest.raises(Exception, match="AES|decrypt|tag|CRYPTO"):
         scalars.unseal_fields(moved, df.schema, key, "e", "owner").collect()
+
+
+def test_shares_and_subscriptions(spark, blog):
+    blog.owners = {"posts": "author_id"}
+    assert blog.share("posts", "p3", "u1", "view", "u2") == 1
+    blog.execute({"op": "share", "entity": "posts", "id": "p3", "grantee": "u1", "permission": "edit", "by": "u2"})
+    assert ids(blog.accessible("posts", "u1", "edit")) == ["p1", "p2", "p3"] and [r.level for r in blog.shared("posts", "u1").collect()] == [2]
+    blog.derived = {"comments": ("post_id", "posts")}
+    assert ids(blog.accessible("comments", "u1")) == ["c1", "c2"]
+    assert blog.execute({"op": "shares", "entity": "posts", "id": "p3"}).count() == 1
+    blog.execute({"op": "unshare", "entity": "posts", "id": "p3", "grantee": "u1"})
+    assert ids(blog.accessible("comments", "u1")) == ["c1"] and ids(blog.list(ListRequest("posts"), sender="u2")) == ["p3"]
+    blog.subscribe("s1", "posts/#").subscribe("s2", "users/+", share_group="g", mode="ordered").subscribe("s3", "users/+", share_group="g", mode="ordered")
+    blog.delete("posts", blog.read("posts", "p1"))
+    blog.create("users", spark.createDataFrame([("u9", "Zed", "z@x")], "id string, name string, email string"))
+    assert sorted((r.id, r.operation, r.subscription_id) for r in blog.deliveries().collect()) == [("p1", "Delete", "s1"), ("u9", "Create", "s2"), ("u9", "Create", "s3")]
+    blog.heartbeat("s2", 100)
+    assert {r.member for r in blog.groups(110).collect()} == {"s2"}
+    blog.execute({"op": "unsubscribe", "subscription_id": "s2"})
+    for wrong in (lambda: blog.unsubscribe("s2"), lambda: blog.heartbeat("s2", 1), lambda: blog.subscribe("s4", "a/#/b"), lambda: blog.subscribe("s5", "a", share_group="g", mode="broadcast"), lambda: blog.share("posts", "p1", "u1", "own", "u1")):
+        with pytest.raises(QuernelError):
+            wrong()
+
+
+def test_paged_cursor(spark):
+    rows = spark.range(50).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("id"), (F.col("id") % 2 == 0).alias("active"), F.col("id").alias("age"))
+    pages = Engine(spark).add_entity("users", rows).pages(ListRequest("users", batch_size=7).where("active", "eq", True))
+    got = [len(pages.next_batch(10)) for _ in range(4)]
+    assert got == [10, 10, 5, 0] and pages.position == 25 and not pages.has_more() and pages.next() is None
+    pages.reset()
+    assert pages.has_more() and pages.next()["id"] == "000" and pages.next()["id"] == "002" and pages.count() == 25
+    with pytest.raises(QuernelError):
+        Engine(spark).add_entity("users", rows).pages(ListRequest("users").order("age"))
