@@ -4,9 +4,9 @@ Lines are compared after lower-casing ASCII letters and collapsing white space.
 when one edit (insertion, deletion or substitution of a character) at most separates them. Every variant of a line with
 one character deleted is hashed; lines one edit apart share a variant: both delete the same position (substitution), or
 one's variant is the other line (insertion). So that not every line emits as many variants as it has characters, lines
-are narrowed first: a line cut into `blocks` parts, with one part left out, gives a key; one edit lies within one part
-(or can be attributed to one), so lines one edit apart share such a key. What is left of a line that shares a key with
-another is the part left out; this is narrowed again, and only the rest emits variants.
+are narrowed first: a line cut into parts, with one part left out, gives a key; one edit lies within one part (or can be attributed
+to one), so lines one edit apart share such a key. Lines are narrowed by halves, then by `blocks` parts; what is left of
+a line that shares a key with another is the part left out. This is narrowed again, and only the rest emits variants.
 
 An occurrence is dropped if an earlier occurrence (by doc_id, then line number) of an equal line exists. Groups are only
 aggregated (minimum of the first occurrence), never paired, so a very frequent line costs no more than a rare one.
@@ -14,13 +14,18 @@ aggregated (minimum of the first occurrence), never paired, so a very frequent l
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.shared import SPACE, let, small, written
-from quernel.llm.url_rules import LOWER, UPPER
+from quernel.llm.shared import let, written
+
+BLOOM_BITS, BLOOM_PARTS = 25, 64
 
 
 @dataclass(frozen=True)
@@ -29,18 +34,100 @@ class Params:
     blocks: int = 8
 
 
-def normal(line: Column) -> Column:
-    return F.translate(F.regexp_replace(F.btrim(line, F.lit(SPACE)), r"[ \x09-\x0D]+", " "), UPPER, LOWER)
+def normal(line: bytes) -> str:
+    """A line with its white space collapsed; A-Z are lower-cased before, in the whole text."""
+    return b" ".join(line.split()).decode("utf-8", "replace")
+
+
+def half_keys(line: str) -> list[int]:
+    """block_keys() for two parts: hashes of either half of a line, in the length's and the next shorter one's unit."""
+    n = len(line)
+    return [xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace"), seed=2 * u + s) - (1 << 63) for u in {n // 2, (n - 1) // 2} for s, x in ((0, line[n - u :]), (1, line[:u]))]
+
+
+def _each(text: str | None):
+    """(number, line) of a text's lines."""
+    return enumerate(map(normal, (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")))
+
+
+def line_hash(line: str) -> int:
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "replace")) - (1 << 63)
+
+
+def line_table(docs: DataFrame, p: Params) -> DataFrame:
+    """doc_id, line_no (from 0), h and halves (half_keys) of every line that is long enough."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            at, numbers, hashes, halves = [], [], [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                for k, line in _each(text):
+                    if len(line) >= p.least_chars:
+                        at.append(i)
+                        numbers.append(k)
+                        hashes.append(line_hash(line))
+                        halves.append(half_keys(line))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), pa.array(halves, pa.list_(pa.int64()))], names=["doc_id", "line_no", "h", "halves"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line_no int, h bigint, halves array<bigint>")
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    h = h.view(np.uint64)
+    return np.concatenate([h >> np.uint64(64 - BLOOM_BITS), (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BLOOM_BITS)]).astype(np.int64)
+
+
+def _bloom(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column h: of fixed size; a large input fills it, which costs speed, not results."""
+    size = 1 << (BLOOM_BITS - 3)
+
+    def mark(batches):
+        flags = np.zeros(1 << BLOOM_BITS, bool)
+        for b in batches:
+            if b.num_rows:
+                flags[_slots(b.column(0).to_numpy())] = True
+        if flags.any():
+            parts = np.packbits(flags).reshape(BLOOM_PARTS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOOM_PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], names=["part", "bits"])
+
+    def merge(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(zlib.decompress(v), np.uint8)
+                sums[k] = sums[k] | x if k in sums else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "bits"])
+
+    out = np.zeros((BLOOM_PARTS, size // BLOOM_PARTS), np.uint8)
+    for r in hashes.select("h").mapInArrow(mark, "part int, bits binary").repartition(BLOOM_PARTS, "part").mapInArrow(merge, "part int, bits binary").collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def lines_with(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
+    """h and line, once each, for the hashes wanted (h)."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
 
+    def run(batches):
+        bits, seen = shared.value, set()
+        for b in batches:
+            lines, hashes = [], []
+            for text in b.column(0).to_pylist():
+                for _, line in _each(text):
+                    if len(line) >= p.least_chars:
+                        lines.append(line)
+                        hashes.append(line_hash(line))
+            h = np.array(hashes, np.int64)
+            slots = _slots(h)
+            hit = (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).reshape(2, -1).all(axis=0)
+            keep = [i for i in np.flatnonzero(hit) if hashes[i] not in seen and not seen.add(hashes[i])]
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array([lines[i] for i in keep], pa.string())], names=["h", "line"])
 
-def lines_of(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, line_no (from 0), line (normal), h of every line that is long enough."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    rows = each.select("doc_id", "line_no", normal(F.col("raw")).alias("line")).filter(F.length("line") >= p.least_chars)
-    return rows.withColumn("h", F.xxhash64("line"))
+    return docs.select("text").mapInArrow(run, "h bigint, line string").join(wanted, "h", "left_semi").dropDuplicates(["h"])
 
 
-def block_keys(text: Column, outer: Column, n: int, with_rest: bool) -> Column:
+def block_keys(text: Column, outer: Column, n: int) -> Column:
     """Array of (key, rest): for each part, the hash of what stands before and after it, and the part itself.
 
     Parts before the one left out are counted from the start, those after it from the end, in units of the length
@@ -50,12 +137,10 @@ def block_keys(text: Column, outer: Column, n: int, with_rest: bool) -> Column:
     def cut(t: Column, unit: Column, s: int) -> Column:
         head, tail = unit * s, unit * (n - 1 - s)
         key = F.xxhash64(outer, F.lit(s), unit, F.substring(t, F.lit(1), head), F.substring(t, F.length(t) - tail + 1, tail))
-        rest = [F.substring(t, head + 1, F.length(t) - head - tail).alias("rest")] if with_rest else []
-        return F.struct(key.alias("key"), *rest)
+        return F.struct(key.alias("key"), F.substring(t, head + 1, F.length(t) - head - tail).alias("rest"))
 
     def keys(t: Column) -> Column:
-        unit = F.floor(F.length(t) / n).cast("int")
-        less = F.floor((F.length(t) - 1) / n).cast("int")
+        unit, less = F.floor(F.length(t) / n).cast("int"), F.floor((F.length(t) - 1) / n).cast("int")
         own = F.array(*(cut(t, unit, s) for s in range(n)))
         return F.when(unit == less, own).otherwise(F.concat(own, F.array(*(cut(t, less, s) for s in range(n)))))
 
@@ -67,14 +152,15 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter(F.col("low") != F.col("high")).select("key")
 
 
-def near_firsts(docs: DataFrame, firsts: DataFrame, p: Params) -> DataFrame:
+def near_firsts(docs: DataFrame, table: DataFrame, firsts: DataFrame, p: Params) -> DataFrame:
     """h and near: for each line with others one edit away, the first occurrence of the earliest of these."""
-    rows = lines_of(docs, p)
-    keys = written(_shared(rows.select("h", F.explode(block_keys(F.col("line"), F.lit(0), p.blocks, False)).alias("b")).select("h", "b.key")), "line-keys")
-    parts = rows.select("h", F.explode(block_keys(F.col("line"), F.lit(0), p.blocks, True)).alias("b")).select("h", "b.*")
-    parts = written(parts.join(small(keys, keys.count(), 16), "key", "left_semi").dropDuplicates(["key", "h"]), "line-parts")
-    inner = parts.select("h", F.explode(block_keys(F.col("rest"), F.col("key"), p.blocks, True)).alias("b")).select("h", "b.*")
-    inner = inner.join(_shared(inner), "key", "left_semi").dropDuplicates(["key", "h"]).join(firsts.select("h", "first"), "h")
+    halves = table.select("h", F.explode("halves").alias("key"))
+    wanted = written(halves.join(_shared(halves), "key", "left_semi").select("h").distinct(), "line-wanted")
+    rows = lines_with(docs, wanted, p)
+    for text, outer in ((F.col("line"), F.lit(0).cast("bigint")), (F.col("rest"), F.col("key"))):
+        parts = written(rows.select("h", F.explode(block_keys(text, outer, p.blocks)).alias("b")).select("h", "b.*"), "line-parts")
+        rows = parts.join(_shared(parts), "key", "left_semi").dropDuplicates(["key", "h"])
+    inner = rows.join(firsts.select("h", "first"), "h")
     every = F.transform(F.sequence(F.lit(0), F.length("rest")), lambda i: F.struct((i - 1).alias("pos"), F.when(i == 0, F.col("rest")).otherwise(F.concat(F.substring(F.col("rest"), F.lit(1), i - 1), F.substring(F.col("rest"), i + 1, F.length("rest")))).alias("variant")))
     variants = inner.select("h", "first", "rest", F.col("key").alias("outer"), F.explode(every).alias("v")).select("h", F.struct("first", "rest", "h").alias("mine"), F.xxhash64("outer", "v.variant").alias("g"), F.col("v.pos").alias("pos"))
     variants = written(variants, "line-variants")
@@ -92,20 +178,19 @@ def near_firsts(docs: DataFrame, firsts: DataFrame, p: Params) -> DataFrame:
 def dropped_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id and gone, the sorted numbers of its dropped lines, for each document that loses a line."""
     p = params
-    occurrences = lines_of(docs, p).select("doc_id", "line_no", "h")
+    table = written(line_table(docs, p), "lines")
+    occurrences = table.select("doc_id", "line_no", "h")
     at = F.struct("doc_id", "line_no")
     firsts = written(occurrences.groupBy("h").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")), "line-firsts")
-    near = written(near_firsts(docs, firsts, p), "line-near")
+    near = written(near_firsts(docs, table, firsts, p), "line-near")
     known = firsts.filter("n > 1").select("h", "first").unionByName(near.withColumnRenamed("near", "first")).groupBy("h").agg(F.min("first").alias("first"))
-    known = written(known, "line-known")
-    late = occurrences.join(small(known, known.count(), 48), "h").filter(F.col("first") < at)
+    late = occurrences.join(known, "h").filter(F.col("first") < at)
     return late.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
 
 
 def _kept(docs: DataFrame, params: Params) -> tuple[DataFrame, Column]:
     gone = written(dropped_lines(docs.select("doc_id", "text"), params).select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone")), "lines-gone")
-    n, total = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
-    joined = docs.join(small(gone, 64 * n + 4 * total, 1), docs["doc_id"].eqNullSafe(gone["__gone_id"]), "left")
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_id"]), "left")
     rest = let(F.split(docs["text"], "\n"), lambda x: F.array_join(F.filter(x, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
     return joined, F.when(F.col("__gone").isNull(), docs["text"]).otherwise(rest)
 
