@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quernel.operators.constraints import kept
 from quernel.operators.listing import where
 
 
@@ -21,9 +22,10 @@ def catalog(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (count(df).select(F.lit(name).alias("entity"), F.col("n").alias("record_count")) for name, df in sorted(tables.items())))
 
 
-def first_by(df: DataFrame, keys, order, row: str = "__row") -> DataFrame:
-    """The first row of each key in this order."""
-    return df.withColumn(row, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(row) == 1).drop(row)
+def first_by(df: DataFrame, keys, order) -> DataFrame:
+    """The first row of each key in this order, by a partial minimum."""
+    others = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("__row")).select(*keys, *(F.col("__row")[c].alias(c) for c in others))
 
 
 def distinct_union(parts, key: str) -> DataFrame:
@@ -44,8 +46,7 @@ def percentile_floor(df: DataFrame, field: str, percents) -> DataFrame:
     taken over range partitions' totals.
     """
     counts = df.filter(F.col(field).isNotNull()).groupBy(field).agg(F.count(F.lit(1)).alias("n"))
-    part = counts.repartitionByRange(field).sortWithinPartitions(field).withColumn("__part", F.spark_partition_id())
-    part = part.persist()  # range bounds are sampled: read once, so that all uses see the same partitions
+    part = kept(counts.repartitionByRange(field).withColumn("__part", F.spark_partition_id()), "percentile")
     within = part.withColumn("upto", F.sum("n").over(W.partitionBy("__part").orderBy(field)))
     before = part.groupBy("__part").agg(F.sum("n").alias("part_n"))
     starts = before.withColumn("start", F.coalesce(F.sum("part_n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

@@ -6,7 +6,6 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernel.functions.scalars import VARIANT_KINDS, is_kind
@@ -24,6 +23,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df so that all its uses see the same rows and partitions: written where there is a folder, else persisted."""
+    out = written(df, name)
+    return df.persist() if out is df else out
+
+
 def schema_violations(df: DataFrame, schema: Schema, id_col: str = "id") -> DataFrame:
     """id, field, violation (required or type) of typed columns; a column of the wrong type fails where it has a value."""
     rules = []
@@ -67,8 +72,13 @@ def unique_violations(df: DataFrame, rule: Unique) -> DataFrame:
 
 
 def first_claims(df: DataFrame, value: str, order) -> DataFrame:
-    """df with won: whether the row is the first in this order to claim its value."""
-    return df.withColumn("won", F.row_number().over(W.partitionBy(value).orderBy(*order)) == 1)
+    """df with won: whether the row is the first in this order (which has no ties) to claim its value.
+
+    The first is found by a partial minimum and joined back, so a value that many rows claim is not ranked in one task.
+    """
+    best = df.groupBy(F.col(value).alias("__value")).agg(F.min(F.struct(*order)).alias("__best"))
+    joined = df.join(best, F.col(value).eqNullSafe(F.col("__value")))
+    return joined.withColumn("won", F.struct(*order).eqNullSafe(F.col("__best"))).drop("__value", "__best")
 
 
 def reconcile_claims(records: DataFrame, claims: DataFrame, value: str, id_col: str = "id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernel.functions.scalars import with_defaults
+from quernel.operators.constraints import kept
 from quernel.plans.model import Conflict, Schema
 
 
@@ -67,15 +68,23 @@ def changes(old: DataFrame, new: DataFrame, entity: str, id_col: str = "id") ->
 
 
 def sequenced(events: DataFrame, order, after: int = 0, per=()) -> DataFrame:
-    """events with sequence. per: columns that have a sequence of their own each; without them one order holds for all,
-    computed from a sort over range partitions and their counts rather than in one task."""
+    """events with sequence, from after + 1, in this order; per: columns whose groups have a sequence of their own each.
+
+    Neither all events nor a large group are ranked in one task: events are dealt by ranges of (per, order), ranked
+    within a range, and the counts of the ranges before (a row a range and group) are added.
+    """
+    per = list(per)
+    part = kept(events.repartitionByRange(*per, *order).withColumn("__part", F.spark_partition_id()), "sequence")
+    within = part.withColumn("__at", F.row_number().over(W.partitionBy("__part", *per).orderBy(*order)))
+    sizes = part.groupBy("__part", *per).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = W.partitionBy(*per).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("__part", *per, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
     if per:
-        return events.withColumn("sequence", F.row_number().over(W.partitionBy(*per).orderBy(*order)).cast("bigint") + after)
-    part = events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).persist()
-    within = part.withColumn("__at", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
-    sizes = part.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    joined = within.join(F.broadcast(starts), "__part")  # a row a partition
+        starts = starts.select(F.col("__part").alias("__p"), *(F.col(c).alias(f"__k{i}") for i, c in enumerate(per)), "__start")
+        joined = within.join(starts, [F.col("__part") == F.col("__p"), *(F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(per))])
+        joined = joined.drop("__p", *(f"__k{i}" for i in range(len(per))))
+    else:
+        joined = within.join(F.broadcast(starts), "__part")  # a row a range
     return joined.withColumn("sequence", (F.col("__at") + F.col("__start") + after).cast("bigint")).drop("__part", "__at", "__start")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quernel.functions.predicates import topic_regex_of
 from quernel.functions.scalars import bucket
 from quernel.operators.listing import keyset_page
+from quernel.operators.mutate import sequenced
 from quernel.plans.model import Config, QuernelError
 
 
@@ -39,14 +40,15 @@ def broadcast_mode(matched: DataFrame) -> DataFrame:
 def round_robin(matched: DataFrame, order) -> DataFrame:
     """Of a group's matching members, one per event, in turn. The turn is the event's place in the group's sequence.
 
-    matched has share_group, subscription_id and the event's columns; members of an event are ordered by id.
+    matched has share_group, subscription_id and the event's columns; order names columns that tell events apart. Members
+    of an event are ordered by id.
     """
-    members = W.partitionBy("share_group", *order).orderBy("subscription_id")
-    turn = W.partitionBy("share_group").orderBy(*order)
+    events = W.partitionBy("share_group", *order)
     rows = matched.filter(F.col("share_group").isNotNull())
-    rows = rows.withColumn("__place", F.row_number().over(members) - 1).withColumn("__members", F.count(F.lit(1)).over(W.partitionBy("share_group", *order)))
-    rows = rows.withColumn("__turn", F.dense_rank().over(turn) - 1)
-    return rows.filter(F.col("__place") == F.pmod("__turn", "__members")).drop("__place", "__members", "__turn")
+    rows = rows.withColumn("__place", F.row_number().over(events.orderBy("subscription_id")) - 1).withColumn("__members", F.count(F.lit(1)).over(events))
+    turns = sequenced(rows.filter("__place = 0").select("share_group", *order), list(map(F.col, order)), per=["share_group"])
+    rows = rows.join(turns, ["share_group", *order])
+    return rows.filter(F.col("__place") == F.pmod(F.col("sequence") - 1, F.col("__members"))).drop("__place", "__members", "sequence")
 
 
 def assignments(members: DataFrame, partitions: int = Config.group_partitions) -> DataFrame:
