@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from quernel.llm.shared import small, written
 
-SKETCH_BITS, BLOCKS = 20, 64
+SKETCH_BITS, BLOCKS = 22, 64
+#: Places back in a tile's order of the nodes that a node is compared with first; small tiles have few of them.
+NEIGHBOURS = (1, 2, 4, 8, 16, 32)
 
 
 @dataclass(frozen=True)
@@ -93,7 +96,7 @@ def _first_pass(rows: DataFrame, p: Params) -> DataFrame:
             bits = [bitmap(s, p.max_bits) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array(bits, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["doc_id", "n", "node", "bits", "block", "counts"])
         if total.any():
-            parts = [x.astype(np.int32).tobytes() for x in total.reshape(BLOCKS, -1)]
+            parts = [zlib.compress(x.astype(np.int32).tobytes(), 1) for x in total.reshape(BLOCKS, -1)]
             none = [None] * BLOCKS
             yield pa.RecordBatch.from_arrays([pa.array(none, kind_pa), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "node", "bits", "block", "counts"])
 
@@ -107,7 +110,7 @@ def _sketch(first: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(v, np.int32)
+                x = np.frombuffer(zlib.decompress(v), np.int32)
                 sums[k] = sums[k] + x if k in sums else x.astype(np.int64)
         yield pa.RecordBatch.from_pydict({"block": list(sums), "classes": [np.minimum(255, 6 * np.log2(1.0 + x)).astype(np.uint8).tobytes() for x in sums.values()]}, schema=pa.schema([("block", pa.int32()), ("classes", pa.binary())]))
 
@@ -145,11 +148,16 @@ def _fits(a, b, p: Params):
 
 
 def _members(keys: DataFrame, p: Params) -> DataFrame:
-    """key, node, n, prev, prev_n: nodes with another one of the tile's key in their size band, next to them in size."""
+    """key, node, n, before: nodes with another one of the tile's key in their size band; before: some smaller ones there.
+
+    Equal sizes are ordered at random, another way in each tile, so that the neighbours of a node differ by tile.
+    """
     w = W.partitionBy("key").orderBy("n", F.xxhash64("node", "key"), "node")
-    rows = keys.select("*", F.lag("node").over(w).alias("prev"), F.lag("n").over(w).alias("prev_n"), F.lead("node").over(w).alias("next"), F.lead("n").over(w).alias("next_n"))
-    linked = lambda x: F.coalesce((F.col(x) != F.col("node")) & _fits(F.col("n"), F.col(f"{x}_n"), p), F.lit(False))
-    return rows.filter(linked("prev") | linked("next")).select("key", "node", "n", F.when(linked("prev"), F.col("prev")).alias("prev"))
+    beside = F.struct("node", "n")
+    rows = keys.select("*", *(F.lag(beside, k).over(w).alias(f"lag{k}") for k in NEIGHBOURS), F.lead(beside).over(w).alias("next"))
+    fits = lambda x: F.coalesce((F.col(x)["node"] != F.col("node")) & _fits(F.col("n"), F.col(x)["n"], p), F.lit(False))
+    before = F.array_compact(F.array(*(F.when(fits(f"lag{k}"), F.col(f"lag{k}")["node"]) for k in NEIGHBOURS)))
+    return rows.filter(fits("lag1") | fits("next")).select("key", "node", "n", before.alias("before"))
 
 
 def _pairs_schema():
@@ -309,7 +317,7 @@ def components(docs: DataFrame, params: Params = Params()) -> DataFrame:
     sets = first.filter("block is null")
     nodes = written(sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-nodes")
     members = written(_members(_keys(docs, classes, p), p), "jaccard-members")
-    beside = members.filter("prev is not null").select(F.least("node", "prev").alias("u"), F.greatest("node", "prev").alias("v")).distinct()
+    beside = members.select("node", F.explode("before").alias("prev")).select(F.least("node", "prev").alias("u"), F.greatest("node", "prev").alias("v")).distinct()
     links = _exact(_bounded(beside, nodes, p), docs, nodes, p, "beside")
     across = _exact(_tiles(members, nodes, connected(links), p), docs, nodes, p, "across")
     labels = connected(links.unionByName(across)) if across.take(1) else connected(links)
