@@ -189,8 +189,12 @@ def dropped_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def _kept(docs: DataFrame, params: Params) -> tuple[DataFrame, Column]:
+    """docs with the numbers of lines to drop, and the rest of the text.
+
+    The numbers grow with the input, so they are never broadcast: the join is by sorted shuffles at every size.
+    """
     gone = written(dropped_lines(docs.select("doc_id", "text"), params).select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone")), "lines-gone")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_id"]), "left")
+    joined = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["__gone_id"]), "left")
     rest = let(F.split(docs["text"], "\n"), lambda x: F.array_join(F.filter(x, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
     return joined, F.when(F.col("__gone").isNull(), docs["text"]).otherwise(rest)
 
