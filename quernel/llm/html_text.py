@@ -1,9 +1,11 @@
 """Main-text extraction with site template removal.
 
 A page is parsed to a tree. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments go by element and by name; an article or main element, where there is one, is the main text. What stands
-outside such an element can still be a site template: subtrees are hashed, counted per host over distinct pages, and
-those that recur on many pages of the host are deleted.
+comments go by element and by name; an article or main element, where there is one, is the main text. What is left can
+still hold site templates: subtrees are hashed, counted per host over distinct pages, and those that recur on many pages
+of the host are deleted. Inside an article or main element only blocks count, not words, table cells or list items;
+articles with the same text count once; what recurs on other hosts too is copied text unless most articles of the host
+have it; and a page that would lose most of its text is a copy and keeps all of it.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ CLOSES_P = frozenset("address article aside blockquote center details div dl fie
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 _NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: Inside an article these go only with the whole list or table.
+PARTS = frozenset("li dt dd tr td th thead tbody tfoot caption col colgroup".split())
 #: Words in class, id or role that mark what is not the main text.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
@@ -41,6 +45,9 @@ MARKS = frozenset(
 class Params:
     least_pages: int = 5  #: distinct pages of a host that must hold a subtree
     percent: int = 20  #: of the host's pages that must hold it
+    many_pages: int = 100  #: pages that are enough on a host of any size
+    lift: int = 10  #: inside an article, how many times the share of other hosts' pages the host's share must be,
+    most_percent: int = 50  #: or of the host's pages that must hold it
 
 
 class Node:
@@ -141,8 +148,11 @@ def _walk(node: Node, out: list[str], dropped: frozenset | set) -> None:
             todo.extend(reversed(x.items))
 
 
-def hash_subtrees(root: Node) -> set[int]:
-    """Hashes of all element subtrees with text outside the dropped ones; each node keeps its own."""
+def hash_subtrees(root: Node, seed: int = 0) -> set[int]:
+    """Hashes of all element subtrees with text outside the dropped ones; each node keeps its own.
+
+    With seed 1, for an article or main element, the found ones are those of blocks only. The lowest bit is the seed.
+    """
     found, todo = set(), [(root, False)]
     while todo:
         node, done = todo.pop()
@@ -151,7 +161,7 @@ def hash_subtrees(root: Node) -> set[int]:
             todo.append((node, True))
             todo.extend((x, False) for x in kids)
             continue
-        h = xxhash.xxh3_64(node.tag)
+        h = xxhash.xxh3_64(node.tag, seed=seed)
         text = False
         for x in node.items:
             if isinstance(x, str):
@@ -161,27 +171,17 @@ def hash_subtrees(root: Node) -> set[int]:
             elif not x.skip:
                 text |= bool(x.hash)
                 h.update(b"\x01" + x.hash.to_bytes(8, "little"))
-        node.hash = (h.intdigest() or 1) if text else 0
-        if node.hash and node.tag not in ("", "html", "body"):
+        node.hash = (h.intdigest() & ~1 | seed or 2) if text else 0
+        if node.hash and node.tag not in ("", "html", "body") and not (seed and (node.tag in INLINE or node.tag in PARTS)):
             found.add(node.hash)
     return found
 
 
-def template_hashes(html: str | None) -> list[int]:
-    """Signed 64-bit hashes of the subtrees that may be templates: none on a page with an article or main element."""
-    root = parse(html or "")
-    return [] if mains(root) else [h - (1 << 64) if h >> 63 else h for h in hash_subtrees(root)]
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
-def main_text(html: str | None, templates=()) -> str:
-    """The main text; templates holds hashes to delete on a page without an article or main element."""
-    root = parse(html or "")
-    roots, drop = mains(root), set()
-    if not roots:
-        roots = [root]
-        if templates:
-            drop = {h & ((1 << 64) - 1) for h in templates}
-            hash_subtrees(root)
+def _text(roots: list[Node], drop=frozenset()) -> str:
     out: list[str] = []
     for r in roots:
         _walk(r, out, drop)
@@ -189,31 +189,69 @@ def main_text(html: str | None, templates=()) -> str:
     return " ".join("".join(out).split())
 
 
+def template_hashes(html: str | None) -> tuple[int | None, list[int]]:
+    """Signed 64-bit hashes of the subtrees that may be templates, those inside article and main elements where there are
+    such; and, for these, the hash of their text, by which copies of an article count once (else None)."""
+    root = parse(html or "")
+    inside = mains(root)
+    if not inside:
+        return None, [_signed(h) for h in hash_subtrees(root)]
+    return _signed(xxhash.xxh3_64_intdigest(_text(inside).encode("utf-8", "replace"))), [_signed(h) for h in set().union(*(hash_subtrees(r, 1) for r in inside))]
+
+
+def main_text(html: str | None, templates=()) -> str:
+    """The main text; templates holds hashes of subtrees to delete.
+
+    An article that would lose more than half of its text by them is a copy of others, and stays whole.
+    """
+    root = parse(html or "")
+    inside = mains(root)
+    drop = {h & ((1 << 64) - 1) for h in templates}
+    if not inside:
+        if drop:
+            hash_subtrees(root)
+        return _text([root], drop)
+    whole = _text(inside)
+    if not drop or drop.isdisjoint(set().union(*(hash_subtrees(r, 1) for r in inside))):
+        return whole
+    rest = _text(inside, drop)
+    return rest if 2 * len(rest) >= len(whole) else whole
+
+
 def templates(pages: DataFrame, params: Params = Params()) -> DataFrame:
-    """host and hashes: the subtrees that recur on enough distinct pages (by URL and content) of a host.
+    """host and hashes: the subtrees that recur on enough distinct pages of a host (by URL and content; by the text of its
+    article or main elements where a page has such).
 
-    A host has at most 100 / percent times the mean number of subtrees of its pages, whatever its size.
+    A host has at most 100 / percent times the mean number of subtrees of its pages, and one in many_pages of all.
     """
 
     def run(batches):
         for b in batches:
             got = [template_hashes(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got, pa.list_(pa.int64()))], names=["host", "page", "hashes"])
+            page = [p if k is None else k for p, (k, _) in zip(b.column(2).to_pylist(), got, strict=True)]
+            # the hash 0, which no subtree has, counts the pages
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(page, pa.int64()), pa.array([[0, *h] for _, h in got], pa.list_(pa.int64()))], names=["host", "page", "hashes"])
 
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"), F.xxhash64("url", "html").alias("page"))
     parsed = rows.mapInArrow(run, "host string, page bigint, hashes array<bigint>")
-    distinct = parsed.select("host", "page", F.explode_outer("hashes").alias("hash")).distinct()
-    counts = distinct.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    totals = rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    often = counts.filter(F.col("hash").isNotNull() & (F.col("n") >= params.least_pages)).join(totals, "host").filter(100 * F.col("n") >= params.percent * F.col("pages"))
+    distinct = parsed.select("host", "page", F.explode("hashes").alias("hash")).distinct()
+    counts = written(distinct.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")), "template-counts")
+    totals = counts.filter("hash = 0").select("host", F.col("n").alias("pages"))
+    share = 100 * F.col("n") / F.col("pages")
+    often = counts.filter((F.col("hash") != 0) & (F.col("n") >= params.least_pages)).join(totals, "host").filter((share >= params.percent) | (F.col("n") >= params.many_pages))
+    often = written(often, "template-often")
+    everywhere = counts.join(often.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.sum("n").alias("all_n"))
+    joined = often.join(everywhere, "hash").crossJoin(F.broadcast(totals.agg(F.sum("pages").alias("all_pages"))))
+    elsewhere = 100 * (F.col("all_n") - F.col("n") + 1) / (F.col("all_pages") - F.col("pages") + 1)
+    often = joined.filter((F.col("hash") % 2 == 0) | (share >= params.most_percent) | (share >= params.lift * elsewhere))
     return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
 def extract(pages: DataFrame, params: Params = Params()) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html), from whole pages.
 
-    Null html counts as empty and gives an empty text; pages with a null URL share the empty host. Nothing inside an
-    article or main element is taken for a template, however often it recurs. Repeated rows give repeated rows.
+    Null html counts as empty and gives an empty text; pages with a null URL share the empty host. Repeated rows give
+    repeated rows.
     """
     found = written(templates(pages, params), "templates")
     rows, hashes = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()

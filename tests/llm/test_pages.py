@@ -104,6 +104,27 @@ def test_site_templates_go(spark):
     assert html_text.extract(pages(spark, rows).limit(0)).collect() == []
 
 
+def test_templates_inside_articles_go(spark):
+    story = "<h1>Tale {0}</h1><p>what <b>really</b> came of number {0} is told in many words here</p><table><tr><td>yes<td>{0}</table>"
+    block = "<div><p>Read our morning letter</p></div>"
+    page = "<article>" + story + block + "</article><article><p>Other tales</p></article>"
+    rows = [(i, f"http://a.org/{i}", page.format(i)) for i in range(8)] + [(20 + i, f"http://b.org/{i}", f"<main>{story.format(i)}</main>") for i in range(8)]
+    # a large host: a block on 100 of 600 pages, under the share; copies of one article at many URLs and with an edit
+    rows += [(1000 + i, f"http://c.org/{i}", f"<article>{story.format(i)}{'<div>More from c</div>' if i < 100 else ''}</article>") for i in range(600)]
+    rows += [(100 + i, f"http://d.org/{i}", "<article>" + story.format(1) + "</article>") for i in range(9)]
+    rows += [(200 + i, f"http://e.org/{i}", "<article>" + story.format(1) + f"<p>edit {i}</p></article>") for i in range(9)]
+    rows += [(3000 + i, f"http://f.org/{i}", f"<div><p>tale {i}</p></div>{'<div>Section one</div>' if i < 100 else ''}") for i in range(600)]
+    # a line that articles of all hosts quote
+    rows += [(2000 + i, f"http://{i % 20}.org/{i}", f"<article>{story.format(i)}{'<p>All is well</p>' if i // 20 < 8 else ''}</article>") for i in range(600)]
+    told = "Tale {0} what really came of number {0} is told in many words here yes {0}"
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert all(got[i] == told.format(i) and got[20 + i] == told.format(i) for i in range(8))
+    assert all(got[1000 + i] == told.format(i) for i in range(600))
+    assert all(got[3000 + i] == f"tale {i}" for i in range(600))
+    assert all(got[2000 + i] == told.format(i) + (" All is well" if i // 20 < 8 else "") for i in range(600))
+    assert all(got[100 + i] == told.format(1) and got[200 + i] == told.format(1) + f" edit {i}" for i in range(9))
+
+
 def test_articles_of_the_tables(spark):
     import html
     import re
