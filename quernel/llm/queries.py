@@ -16,6 +16,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_quality_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return fixity.audit(pages, fixity.damaged(pages))
@@ -52,7 +56,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_language_id, op2_quality_rules, op3_warc_fixity, op4_byte_bpe, op5_secret_scan, op6_jaccard_join, op7_url_filter, op8_decontamination, op9_html_extraction, op10_line_dedup)
+        for f in (op1_language_id, op2_quality_rules, op2_quality_sequence, op3_warc_fixity, op4_byte_bpe, op5_secret_scan, op6_jaccard_join, op7_url_filter, op8_decontamination, op9_html_extraction, op10_line_dedup)
     }
 
 

@@ -61,3 +61,23 @@ def test_thresholds_reject_junk_and_bound_the_loss(spark):
     labels = spark.createDataFrame([(i, 1) for i, _, _ in good] + [(i, 0) for i, _, _ in junk], "doc_id bigint, quality int")
     gone = {r.doc_id for r in Q.quality_rules(docs, labels).filter("not kept").collect()}
     assert gone >= {i for i, _, _ in junk} and len(gone) <= 20 + 6000 * 0.01
+
+
+def test_sequence_certifies_with_fewer_labels(spark):
+    lang = lambda i: "de" if i % 4 == 0 else "en"
+    good = [(i, " ".join(f"word{i}x{k}" for k in range(12)), lang(i)) for i in range(2000)]
+    junk = [(10_000 + i, " ".join(f"wo{i}rd{k}####" for k in range(12)), lang(i)) for i in range(20)]
+    docs = spark.createDataFrame(good + junk, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in good] + [(i, 0) for i, _, _ in junk], "doc_id bigint, quality int")
+    assert Q.quality_rules(docs, labels).filter("not kept").count() == 0
+    got = {r.doc_id: (r.kept, r.n_certified) for r in Q.judged(docs, labels).collect()}
+    # two strata, four features: ln(0.05 / 8) / ln(0.99) = 505 labels; de has 500, en 1500
+    assert all(got[i] == ((True, 0) if s == "de" else (False, 4)) for i, _, s in junk)
+    assert sum(not got[i][0] for i, _, _ in good) <= 0.04 * len(good)
+
+
+def test_sequence_stops_at_the_first_cutoff_that_fails(spark):
+    p = Q.Params(risk=0.05, delta=0.1, sequence=True, cutoffs={"symbol_rate": (10, 20, 50), "repeat_rate": (10,)})
+    rows = [("a", 60 if i < 3 else 30 if i < 8 else 15 if i < 90 else 0, 99) for i in range(500)]
+    got = Q.certified(spark.createDataFrame(rows, "stratum string, symbol_rate bigint, repeat_rate bigint"), p).collect()
+    assert [(r.stratum, r.max_symbol_rate, r.max_repeat_rate) for r in got] == [("a", 20, None)]
