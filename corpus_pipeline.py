@@ -20,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later near copies of lines go; so do documents that have lost all their words by it."""
-    return line_dedup.without_repeats(docs)
+    """Later near copies of lines, and exact ones of short lines, go; so do documents that have lost all their words by it."""
+    return line_dedup.without_repeats(docs, line_dedup.EVERY)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,8 +30,13 @@ BLOOM_BITS, BLOOM_PARTS = 25, 64
 
 @dataclass(frozen=True)
 class Params:
-    least_chars: int = 24  #: shorter lines say too little to be called copies; they always stay
+    least_chars: int = 24  #: shorter lines say too little to be called copies one edit apart
     blocks: int = 8
+    short: bool = False  #: whether later exact copies of shorter lines go, but for blank ones; else they always stay
+
+
+#: Lines of any length.
+EVERY = Params(short=True)
 
 
 def normal(line: bytes) -> str:
@@ -55,7 +60,8 @@ def line_hash(line: str) -> int:
 
 
 def line_table(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, line_no (from 0), h and halves (half_keys) of every line that is long enough."""
+    """doc_id, line_no (from 0), h and halves (half_keys) of every line that is long enough; with p.short also of shorter
+    ones that are not blank, without halves, as these have exact copies only."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -63,11 +69,12 @@ def line_table(docs: DataFrame, p: Params) -> DataFrame:
             at, numbers, hashes, halves = [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 for k, line in _each(text):
-                    if len(line) >= p.least_chars:
+                    long = len(line) >= p.least_chars
+                    if long or p.short and line:
                         at.append(i)
                         numbers.append(k)
                         hashes.append(line_hash(line))
-                        halves.append(half_keys(line))
+                        halves.append(half_keys(line) if long else [])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), pa.array(halves, pa.list_(pa.int64()))], names=["doc_id", "line_no", "h", "halves"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line_no int, h bigint, halves array<bigint>")

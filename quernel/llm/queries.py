@@ -53,10 +53,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), line_dedup.EVERY)
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_language_id, op2_quality_rules, op2_quality_sequence, op3_warc_fixity, op4_byte_bpe, op5_secret_scan, op6_jaccard_join, op7_url_filter, op8_decontamination, op9_html_extraction, op10_line_dedup)
+        for f in (op1_language_id, op2_quality_rules, op2_quality_sequence, op3_warc_fixity, op4_byte_bpe, op5_secret_scan, op6_jaccard_join, op7_url_filter, op8_decontamination, op9_html_extraction, op10_line_dedup, op10_line_dedup_every)
     }
 
 

@@ -98,3 +98,12 @@ def test_a_very_long_line_and_a_very_frequent_one(spark):
     docs = [(i, often) for i in range(400)] + [(1000, long), (1001, long[:50_000] + "!" + long[50_001:])]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     assert {r.doc_id for r in D.dedup_lines(df).filter("n_dropped = 0").collect()} == {0, 1000}
+
+
+def test_short_lines_go_by_exact_copies(spark):
+    long = "a line that is long enough to count as one"
+    docs = [(1, f"All rights reserved.\n\n{long}\nab"), (2, f"all  RIGHTS reserved.\n \nAll rights reserved!\n{long}s"), (3, "ab\nab\nac\n"), (4, None), (5, "AB")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in D.dedup_lines(df, D.EVERY).collect()}
+    assert got == {1: (docs[0][1], 0), 2: (" \nAll rights reserved!", 2), 3: ("ac\n", 2), 4: (None, 0), 5: ("", 1)}
+    assert {r.doc_id for r in D.without_repeats(df, D.EVERY).collect()} == {1, 2, 3, 4}
