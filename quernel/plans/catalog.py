@@ -348,6 +348,17 @@ def share_closure(spark, sf_dir):
     return access.closure(parts.unionByName(cycle), spark.range(1, 2))
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_partkey // 2 ELSE 0 END AS parent, p_partkey AS child FROM part UNION ALL SELECT 48, 3),
+r AS (SELECT 3::BIGINT AS id UNION SELECT e.child FROM r JOIN e ON e.parent = r.id)
+SELECT id FROM r""")
+def share_closure_whole(spark, sf_dir):
+    """Over all parts: below part 3 are only its doublings, few in a table of any size."""
+    parts = t(spark, sf_dir, "part").select(F.expr("case when p_partkey % 2 = 0 then p_partkey div 2 else 0 end").alias("parent"), F.col("p_partkey").alias("child"))
+    cycle = spark.range(1).select(F.lit(48).cast("bigint").alias("parent"), F.lit(3).cast("bigint").alias("child"))
+    return access.closure(parts.unionByName(cycle), spark.range(3, 4))
+
+
 @query("""
 WITH RECURSIVE r AS (SELECT p_partkey AS root, p_partkey AS id FROM part WHERE p_partkey IN (2, 5, 7)
 UNION SELECT r.root, p.p_partkey FROM r JOIN part p ON p.p_partkey // 4 = r.id) SELECT root, id FROM r""")
@@ -406,6 +417,13 @@ def missing_partitions(spark, sf_dir):
     return spark.range(16).join(got, "id", "left_anti").select(F.col("id").cast("int").alias("partition"))
 
 
+@query("SELECT CAST(p AS INT) AS partition FROM (SELECT unnest(range(16)) AS p) WHERE p NOT IN (SELECT DISTINCT o_orderkey * o_orderkey % 16 FROM orders)")
+def missing_partitions_whole(spark, sf_dir):
+    """Over all orders: a square leaves 0, 1, 4 or 9."""
+    got = t(spark, sf_dir, "orders").select((F.col("o_orderkey") * F.col("o_orderkey") % 16).alias("id")).distinct()
+    return spark.range(16).join(got, "id", "left_anti").select(F.col("id").cast("int").alias("partition"))
+
+
 @query("""
 SELECT user_id, event_type, 'add' AS change FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0 EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 3 = 0)
 UNION ALL SELECT user_id, event_type, 'remove' FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 0 EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 2 = 0)""")

@@ -43,3 +43,9 @@ def test_partitions_match_the_known_value(spark):
     from quernel.functions.scalars import crc_partition
 
     assert spark.range(1).select(crc_partition(256, "users", F.lit("123"))).first()[0] == 120
+
+
+def test_whole_tables(spark):
+    found, path = catalog.queries(), "/root/testdata/sf0.01"
+    assert {r.id for r in found["share_closure_whole"](spark, path).collect()} == {3 << k for k in range(10)}
+    assert {r.partition for r in found["missing_partitions_whole"](spark, path).collect()} == set(range(16)) - {0, 1, 4, 9}
