@@ -4,12 +4,17 @@
 2. A tile holds the nodes that share a prefix key and lie in one size band. Prefix keys: with similarity t, sets A and B
    that link have an overlap of at least t*|A|, so the first |A| - ceil(t*|A|) + 1 elements of each, in any common
    order, share an element. The order puts rare shingles first by a count sketch of fixed size over all documents.
-   Sizes that link differ by the factor t at most: a tile is read in order of size, and only that band is compared.
+   Sizes that link differ by the factor t at most: a tile is read in order of size, and only that band is compared. The
+   places of the first common key in both sets bound their overlap too: a pair is only judged where these allow a link,
+   and the smaller set's place must be in the first (1-t)/(1+t) of it. Rows without such a partner leave their tile.
 3. A set's bitmap has a bit for each hash modulo its width. Bits set in A's and not in B's bound |A - B| from below, and
    so the overlap from above; pairs that pass are intersected exactly.
-4. In each tile, neighbours are compared first and linked nodes merged to components. Then only pairs of different
-   components are compared, so a group of k copies costs about k comparisons, not k*k. All other pairs of all tiles are
-   covered, so no link between components is lost. Tiles over `tile_rows` are dealt in blocks.
+4. First each row of a tile is only linked with the nearest row before it that passes, in one order of the nodes for all
+   tiles, so that a group of k copies gives about k pairs, however many keys it shares; linked nodes are merged to
+   components. Then all other pairs that pass and lie in different components are intersected. Tiles of `small_tile`
+   rows give these other pairs in the same pass; only larger tiles with several components are read again. Those over
+   `tile_rows` are dealt in blocks: the rows of the tile's largest component to one block each, the others to every
+   block. So no link between components is lost, and no row is compared with its own component.
 """
 
 from __future__ import annotations
@@ -24,11 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quernel.llm.shared import small, written
+from quernel.llm.shared import in_slices, small, written
 
 SKETCH_BITS, BLOCKS = 22, 64
-#: Places back in a tile's order of the nodes that a node is compared with first; small tiles have few of them.
-NEIGHBOURS = (1, 2, 4, 8, 16, 32)
+LOOK = 64  #: rows back in a large tile that a row is first compared with
 
 
 @dataclass(frozen=True)
@@ -38,6 +42,7 @@ class Params:
     den: int = 100
     max_bits: int = 1 << 14  #: of a bitmap
     tile_rows: int = 4096
+    small_tile: int = 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -83,22 +88,24 @@ def most_overlap(a: np.ndarray, na, b: np.ndarray, nb) -> np.ndarray:
 def _first_pass(rows: DataFrame, p: Params) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n bigint, node binary, bits binary, block int, counts binary"
+    names = ["doc_id", "n", "node", "bits", "block", "counts"]
 
     def run(batches):
-        total, kind_pa = np.zeros(1 << SKETCH_BITS, np.int64), None
-        for b in batches:
+        total, kind_pa = np.zeros(1 << SKETCH_BITS, np.int32), None
+        for b in in_slices(batches):
             kind_pa = b.column(0).type
-            sets = [shingles(t, p.shingle) for t in b.column(1).to_pylist()]
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-            none = [None] * len(sets)
-            nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            bits = [bitmap(s, p.max_bits) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.binary()), pa.array(bits, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["doc_id", "n", "node", "bits", "block", "counts"])
+            sizes, nodes, bits = [], [], []
+            for t in b.column(1).to_pylist():
+                s = shingles(t, p.shingle)
+                sizes.append(len(s))
+                nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                bits.append(bitmap(s, p.max_bits) if len(s) else None)
+                np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            none = [None] * len(sizes)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bits, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
         if total.any():
-            parts = [zlib.compress(x.astype(np.int32).tobytes(), 1) for x in total.reshape(BLOCKS, -1)]
-            none = [None] * BLOCKS
-            yield pa.RecordBatch.from_arrays([pa.array(none, kind_pa), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "node", "bits", "block", "counts"])
+            for k, x in enumerate(total.reshape(BLOCKS, -1)):
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, kind_pa), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], names=names)
 
     return rows.mapInArrow(run, schema)
 
@@ -120,67 +127,145 @@ def _sketch(first: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _nid(node: bytes) -> int:
+    """A node's short name, by which key rows refer to it; two nodes with one name only cost a comparison."""
+    return int.from_bytes(node[:8], "big", signed=True)
+
+
 def _keys(rows: DataFrame, classes: np.ndarray, p: Params) -> DataFrame:
-    """key, node, n: the prefix of each set; copies within a task are given once."""
+    """key, nid, n, pos: the prefix of each set, with the place of each key in it; copies within a task are given once."""
     shared = rows.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
         order, seen = shared.value, set()
-        for b in batches:
-            keys, nodes, sizes = [], [], []
+        for b in in_slices(batches):
+            keys, nids, sizes, places = [], [], [], []
             for t in b.column(0).to_pylist():
                 s = shingles(t, p.shingle)
-                if not len(s) or (node := xxhash.xxh3_128_digest(s.tobytes())) in seen:
+                if not len(s) or (nid := _nid(xxhash.xxh3_128_digest(s.tobytes()))) in seen:
                     continue
-                seen.add(node)
+                seen.add(nid)
                 n = len(s) + -(-p.num * len(s) // p.den) * -1 + 1
                 keys.append(s[np.argsort(order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:n]])
-                nodes += [node] * n
-                sizes += [len(s)] * n
+                nids.append(np.full(n, nid, np.int64))
+                sizes.append(np.full(n, len(s), np.int32))
+                places.append(np.arange(n, dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "node", "n"])
-
-    return rows.select("text").mapInArrow(run, "key bigint, node binary, n bigint")
-
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (nids, sizes, places))], names=["key", "nid", "n", "pos"])
 
-def _fits(a, b, p: Params):
-    return p.den * F.least(a, b) >= p.num * F.greatest(a, b)
+    return rows.select("text").mapInArrow(run, "key bigint, nid bigint, n int, pos int")
 
 
 def _members(keys: DataFrame, p: Params) -> DataFrame:
-    """key, node, n, before: nodes with another one of the tile's key in their size band; before: some smaller ones there.
+    """key, nid, n, pos, idx, rows: the tiles, without the rows whose place or size leaves them no partner there.
 
-    Equal sizes are ordered at random, another way in each tile, so that the neighbours of a node differ by tile.
+    idx is a row's place in its tile by size and node, rows the tile's number of rows.
     """
-    w = W.partitionBy("key").orderBy("n", F.xxhash64("node", "key"), "node")
-    beside = F.struct("node", "n")
-    rows = keys.select("*", *(F.lag(beside, k).over(w).alias(f"lag{k}") for k in NEIGHBOURS), F.lead(beside).over(w).alias("next"))
-    fits = lambda x: F.coalesce((F.col(x)["node"] != F.col("node")) & _fits(F.col("n"), F.col(x)["n"], p), F.lit(False))
-    before = F.array_compact(F.array(*(F.when(fits(f"lag{k}"), F.col(f"lag{k}")["node"]) for k in NEIGHBOURS)))
-    return rows.filter(fits("lag1") | fits("next")).select("key", "node", "n", before.alias("before"))
+    keys = keys.repartition("key").dropDuplicates(["key", "nid"])  # one shuffle: copies of other tasks, and the windows
+    w = W.partitionBy("key").orderBy("n", "nid")
+    shallow = F.col("pos") * (p.den + p.num) <= F.col("n") * (p.den - p.num)
+    fits = lambda less, more: F.coalesce(p.den * less >= p.num * more, F.lit(False))
+    rows = keys.select("*", F.max(F.when(shallow, F.col("n"))).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("less"), F.lead("n").over(w).alias("more"))
+    rows = rows.filter(fits(F.col("less"), F.col("n")) | (shallow & fits(F.col("n"), F.col("more")))).drop("less", "more")
+    return rows.select("*", F.row_number().over(w).alias("idx"), F.count(F.lit(1)).over(W.partitionBy("key")).alias("rows")).filter("rows > 1")
 
 
 def _pairs_schema():
     return pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
 
-def _bounded(pairs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
-    """The pairs (u, v) that the bitmaps do not rule out."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+def _tile_rows(rows: DataFrame, nodes: DataFrame, place: list[str], columns: list[str]) -> DataFrame:
+    """The rows of tiles with their nodes and bitmaps, dealt by place and sorted by it, size and node."""
+    full = rows.join(nodes.select("nid", "node", *(["label"] if "label" in columns else []), "bits"), "nid")
+    parts = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return full.select(*place, *columns).repartition(parts, *place).sortWithinPartitions(*place, "n", "node")
 
-    def run(batches):
-        for b in batches:
-            u, v, nu, nv, bu, bv = (b.column(i).to_pylist() for i in range(6))
-            keep = []
-            for i in range(len(u)):
-                x, y = np.frombuffer(bu[i], np.uint64), np.frombuffer(bv[i], np.uint64)
-                width = min(len(x), len(y))
-                top = int(most_overlap(fold(x, width), nu[i], fold(y, width), nv[i]))
-                keep.append(p.den * top >= p.num * (nu[i] + nv[i] - top))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], schema=_pairs_schema())
 
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(run, "u binary, v binary")
+def _tiles_of(batches, places: int):
+    """(place, rows) of each tile from sorted rows; a row is the tuple of the other columns."""
+    at, tile = None, []
+    for b in batches:
+        columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
+        for place, row in zip(zip(*columns[:places], strict=True), zip(*columns[places:], strict=True), strict=True):
+            if place != at:
+                if len(tile) > 1:
+                    yield at, tile
+                at, tile = place, []
+            tile.append(row)
+    if len(tile) > 1:
+        yield at, tile
+
+
+def _allowed(n: int, i: int, m: int, j: int, p: Params) -> bool:
+    """Whether sets of n and m elements can link if their first common element is at i and j."""
+    a, b = n - i, m - j
+    return p.den * min(a, b) >= p.num * (i + j + max(a, b))
+
+
+class _Bits:
+    """A bitmap as an integer, and its foldings to smaller powers of two."""
+
+    def __init__(self, raw: bytes):
+        self.width, self.at = len(raw) * 8, {len(raw) * 8: int.from_bytes(raw, "little")}
+
+    def fold(self, width: int) -> int:
+        if width not in self.at:
+            wide = self.fold(2 * width)
+            self.at[width] = wide & ((1 << width) - 1) | wide >> width
+        return self.at[width]
+
+
+def _may_link(a: _Bits, n: int, b: _Bits, m: int, p: Params) -> bool:
+    width = min(a.width, b.width)
+    x, y = a.fold(width), b.fold(width)
+    both = x & y
+    top = min(n - (x ^ both).bit_count(), m - (y ^ both).bit_count())
+    return p.den * top >= p.num * (n + m - top)
+
+
+def _first_pairs(members: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
+    """u, v, first: pairs in a tile that the bitmaps do not rule out. first: the nearest one before a row, of each row;
+    the others are only given for small tiles."""
+    chunk = F.floor((F.col("idx") - 1) / p.tile_rows).cast("int")
+    ahead = F.pmod(F.col("idx") - 1, F.lit(p.tile_rows)) >= p.tile_rows - LOOK  # also at hand for the next chunk
+    chunks = F.explode(F.when(ahead & (F.col("rows") > p.tile_rows), F.array(chunk, chunk + 1)).otherwise(F.array(chunk)))
+    full = _tile_rows(members.select("*", chunks.alias("chunk")), nodes, ["key", "chunk"], ["n", "node", "pos", "rows", "bits"])
+
+    def run(batches):
+        for out in in_lots(judged(batches)):
+            u, v, first = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(first, pa.bool_())], names=["u", "v", "first"])
+
+    def judged(batches):
+        for _, tile in _tiles_of(in_slices(batches, 6), 2):
+            whole = tile[0][3] <= p.small_tile
+            bits = [_Bits(r[4]) for r in tile]
+            for k in range(1, len(tile)):
+                n, node, pos = tile[k][:3]
+                first = True
+                for j in range(k - 1, -1 if whole else max(-1, k - 1 - LOOK), -1):
+                    m, other, place = tile[j][:3]
+                    if p.den * m < p.num * n:
+                        break
+                    if node != other and _allowed(n, pos, m, place, p) and _may_link(bits[k], n, bits[j], m, p):
+                        yield min(node, other), max(node, other), first
+                        first = False
+                        if not whole:
+                            break
+
+    return full.mapInArrow(run, "u binary, v binary, first boolean").groupBy("u", "v").agg(F.max("first").alias("first"))
+
+
+def in_lots(rows, most: int = 20_000):
+    """Lists of at most so many of rows."""
+    lot = []
+    for r in rows:
+        lot.append(r)
+        if len(lot) >= most:
+            yield lot
+            lot = []
+    if lot:
+        yield lot
 
 
 def _arrays(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
@@ -239,64 +324,63 @@ def connected(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _tiles(members: DataFrame, nodes: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
-    """Pairs (u, v) of different components in a tile that the bitmaps do not rule out."""
-    rows = members.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low != high")
-    blocks = F.ceil(F.col("rows") / p.tile_rows).cast("int")
-    rows = written(rows.join(mixed.select("key", blocks.alias("blocks")), "key"), "tile-rows")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "n", "node", "label", "mine")
-    full = dealt.join(nodes.select("node", "bits"), "node").select("key", "lo", "hi", "n", "node", "label", "mine", "bits")
-    parts = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    full = full.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "node")
-
-    def compare(tile, cross, out):
-        """tile: rows (n, node, label, mine, bits) in order of n."""
+def _later_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
+    """u, v: pairs of different components in a large tile that the bitmaps do not rule out."""
+    labelled = nodes.join(labels, "node", "left").select("nid", "node", "bits", F.coalesce("label", "node").alias("label"))
+    rows = written(members.filter(F.col("rows") > p.small_tile).select("key", "nid", "n", "pos").join(labelled.select("nid", "label"), "nid"), "tile-rows")
+    each = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
+    tiles = each.groupBy("key").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("rows"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    blocks = lambda k: F.greatest(F.lit(1), F.ceil(k / p.tile_rows)).cast("int")
+    rest = F.col("rows") - F.col("most.k")
+    tiles = tiles.select("key", F.col("most.label").alias("main"), blocks(F.col("most.k")).alias("wide"), blocks(rest).alias("high"))
+    dealt = rows.join(tiles, "key").withColumn("side", F.col("label") != F.col("main"))
+    # block (a, b): a share of the main component beside a share of the others; (-1 - a, b): two shares of the others
+    mine = F.pmod(F.xxhash64("nid"), F.when(F.col("side"), F.col("high")).otherwise(F.col("wide"))).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    places = F.when(~F.col("side"), F.transform(every(F.col("high")), lambda b: F.struct(F.col("mine").alias("a"), b.alias("b")))).otherwise(
+        F.concat(
+            F.transform(every(F.col("wide")), lambda a: F.struct(a.alias("a"), F.col("mine").alias("b"))),
+            F.transform(every(F.col("high")), lambda b: F.struct((-1 - F.least("mine", b)).alias("a"), F.greatest("mine", b).alias("b"))),
+        )
+    )
+    dealt = dealt.withColumn("mine", mine).select("key", "nid", "n", "pos", "side", "mine", F.explode(places).alias("at")).select("key", "at.a", "at.b", "nid", "n", "pos", "side", "mine")
+    full = _tile_rows(dealt, labelled, ["key", "a", "b"], ["n", "node", "pos", "label", "side", "mine", "bits"])
+
+    def pairs(place, tile):
         codes: dict[bytes, int] = {}
-        n = np.array([r[0] for r in tile])
-        label = np.array([codes.setdefault(r[2], len(codes)) for r in tile])
-        mine = np.array([r[3] for r in tile])
-        if label.min() == label.max():
+        n, pos = np.array([r[0] for r in tile]), np.array([r[2] for r in tile])
+        label = np.array([codes.setdefault(r[3], len(codes)) for r in tile])
+        if len(codes) < 2:
             return
-        words = [np.frombuffer(r[4], np.uint64) for r in tile]
+        side, mine = np.array([r[4] for r in tile]), np.array([r[5] for r in tile])
+        words = [np.frombuffer(r[6], np.uint64) for r in tile]
         widths = np.array([len(w) for w in words])
         stacks, starts = {}, {}
         for width in np.unique(widths):  # rows are in order of n, so rows of one width stand together
             at = np.flatnonzero(widths == width)
             starts[width], stacks[width] = at[0], np.stack([words[i] for i in at])
         begin = np.searchsorted(p.den * n, p.num * n, side="left")
+        across = place[1] >= 0  # the main component beside others; else others among themselves
+        halves = not across and -1 - place[1] != place[2]  # two different shares of them
         for i in range(1, len(tile)):
             for width, stack in stacks.items():
                 a, b = max(begin[i], starts[width]), min(i, starts[width] + len(stack))
                 if a >= b:
                     continue
-                other = np.flatnonzero((label[a:b] != label[i]) & ((mine[a:b] != mine[i]) | (not cross))) + a
+                x, y = n[i] - pos[i], n[a:b] - pos[a:b]
+                fits = (label[a:b] != label[i]) & (p.den * np.minimum(x, y) >= p.num * (pos[i] + pos[a:b] + np.maximum(x, y)))
+                if across:
+                    fits &= side[a:b] != side[i]
+                elif halves:
+                    fits &= mine[a:b] != mine[i]
+                other = np.flatnonzero(fits) + a
                 if len(other):
                     top = most_overlap(fold(words[i], width), n[i], stack[other - starts[width]], n[other])
                     for j in other[p.den * top >= p.num * (n[i] + n[other] - top)]:
-                        out.add((min(tile[i][1], tile[j][1]), max(tile[i][1], tile[j][1])))
+                        yield min(tile[i][1], tile[j][1]), max(tile[i][1], tile[j][1])
 
     def run(batches):
-        at, tile, out = None, [], set()
-        for b in batches:
-            key, lo, hi = (b.column(i).to_pylist() for i in range(3))
-            rest = list(zip(*(b.column(i).to_pylist() for i in range(3, 8)), strict=True))
-            for place, row in zip(zip(key, lo, hi, strict=True), rest, strict=True):
-                if place != at:
-                    if len(tile) > 1:
-                        compare(tile, at[1] != at[2], out)
-                    at, tile = place, []
-                if not tile or tile[-1][1] != row[1]:
-                    tile.append(row)
-            if len(out) > 50_000:
-                u, v = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], schema=_pairs_schema())
-                out.clear()
-        if len(tile) > 1:
-            compare(tile, at[1] != at[2], out)
-        if out:
+        for out in in_lots(x for place, tile in _tiles_of(in_slices(batches, 9), 3) for x in pairs(place, tile)):
             u, v = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], schema=_pairs_schema())
 
@@ -315,12 +399,18 @@ def components(docs: DataFrame, params: Params = Params()) -> DataFrame:
     first = written(_first_pass(docs, p), "jaccard-sets")
     classes = _sketch(first)
     sets = first.filter("block is null")
-    nodes = written(sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")), "jaccard-nodes")
+    nodes = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = written(nodes.select("*", F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("bigint").alias("nid")), "jaccard-nodes")
     members = written(_members(_keys(docs, classes, p), p), "jaccard-members")
-    beside = members.select("node", F.explode("before").alias("prev")).select(F.least("node", "prev").alias("u"), F.greatest("node", "prev").alias("v")).distinct()
-    links = _exact(_bounded(beside, nodes, p), docs, nodes, p, "beside")
-    across = _exact(_tiles(members, nodes, connected(links), p), docs, nodes, p, "across")
-    labels = connected(links.unionByName(across)) if across.take(1) else connected(links)
+    pairs = written(_first_pairs(members, nodes, p), "jaccard-pairs")
+    links = _exact(pairs.filter("first").select("u", "v"), docs, nodes, p, "first")
+    labels = connected(links)
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    other = pairs.filter("not first").select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left")
+    other = other.filter(F.coalesce("label_u", "u") != F.coalesce("label_v", "v")).select("u", "v")
+    across = _exact(other.unionByName(_later_pairs(members, nodes, labels, p)).distinct(), docs, nodes, p, "across")
+    if across.take(1):
+        labels = connected(links.unionByName(across))
     named = nodes.select("node", "doc").join(labels, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))
     lowest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
     ids = named.join(lowest, "label").select("node", "component_id")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +19,11 @@ BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    made = f"file://{tempfile.mkdtemp(prefix='quernel-shared-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    """The folder named by spark.checkpoint.dir. Without it there is no place that all executors see: an error."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,3 +46,34 @@ def let(value: Column, body) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def in_slices(batches, column: int = 1, most: int = 1 << 21):
+    """Record batches whose strings in a column hold about `most` bytes at most (one row at least), of the batches.
+
+    A batch of Spark's has many rows however long their texts are; a slice bounds what stands beside it as Python objects.
+    When all are read, memory that the worker no longer uses goes back to the system: workers are used again.
+    """
+    for b in batches:
+        column = min(column, b.num_columns - 1)
+        if not b.num_rows:
+            yield b
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < b.num_rows:
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield b.slice(start, stop - start)
+            start = stop
+    del batches
+    release()
+
+
+def release() -> None:
+    """Gives memory that this worker no longer uses back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -46,7 +46,7 @@ def corpus(seed, n=150, words=40):
 def test_equals_brute_force(spark, seed, shingle, num, tile):
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    got = J.components(df, J.Params(shingle=shingle, num=num, tile_rows=tile)).collect()
+    got = J.components(df, J.Params(shingle=shingle, num=num, tile_rows=tile, small_tile=2 if tile < 100 else 16)).collect()
     assert sorted(map(tuple, got)) == brute(docs, shingle, num)
 
 
@@ -103,3 +103,30 @@ def test_sql_says_the_same(spark):
     db = duckdb.connect()
     db.sql(f"create view documents as select * from '{path}'")
     assert sorted(map(tuple, got)) == sorted(db.sql(J.COMPONENTS_SQL).fetchall())
+
+
+def test_look_alikes_in_many_components(spark):
+    """Tiles that hold several components, dealt in blocks; some of the look-alikes link and some do not."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(120):
+        w = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 3, 4, 5])):
+            w[at] = f"n{rng.randrange(6)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = brute(docs, 1, 85)
+    assert 3 < len({c for _, _, c in want}) < 120
+    for p in (J.Params(shingle=1, num=85, tile_rows=10, small_tile=2), J.Params(shingle=1, num=85)):
+        assert sorted(map(tuple, J.components(df, p).collect())) == want
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(120_000)]
+    other = words[:60_000] + ["new"] + words[60_000:]
+    docs = [(1, " ".join(words)), (2, "\t".join(other)), (3, " ".join(words[:50_000])), (4, "x" * 3_000_000), (5, "X" * 3_000_000)]
+    rows = J.components(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    assert {r.doc_id: r.n_shingles for r in rows}[1] > 119_000
