@@ -116,9 +116,9 @@ def test_look_alikes_in_many_components(spark):
             w[at] = f"n{rng.randrange(6)}"
         docs.append((i, " ".join(w)))
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    want = brute(docs, 1, 85)
+    want = brute(docs, 1, 90)
     assert 3 < len({c for _, _, c in want}) < 120
-    for p in (J.Params(shingle=1, num=85, tile_rows=10, small_tile=2), J.Params(shingle=1, num=85)):
+    for p in (J.Params(shingle=1, num=90, tile_rows=10, small_tile=2), J.Params(shingle=1, num=90)):
         assert sorted(map(tuple, J.components(df, p).collect())) == want
 
 
