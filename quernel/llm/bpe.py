@@ -1,12 +1,21 @@
 """Byte-level BPE by monoid tree reduction.
 
-A piece is encoded by halves; two encoded neighbours are joined by re-encoding a window of tokens around the seam. The
-window grows until its outermost tokens come out unchanged. That is enough: the restriction of the merge process to two
+A text is encoded by halves, and two encoded neighbours are joined at the seam, on two levels that work alike.
+
+Matches of the split pattern never merge with each other, so a text's encoding is the list of its matches' encodings.
+Two neighbours are joined by splitting a window of matches around the seam again. The pattern looks at a text from left
+to right and never back, so what follows a place where a match ends only depends on the text after it. The window grows
+to the left until its first match comes out as it was (an earlier match then ends where it did, with the text that ended
+it in place), and to the right until a match that comes out ends where one of the right neighbour's ends, before the
+window's own end. Matches outside are then those of the whole text.
+
+A long match is encoded by halves too; two encoded neighbours are joined by re-encoding a window of tokens around the
+seam. It grows until its outermost tokens come out unchanged. That is enough: the restriction of the merge process to two
 neighbouring final tokens is the process on these two alone (lowest rank first, leftmost on ties), so a token sequence
 is the encoding of its bytes if and only if each adjacent pair is the encoding of its own bytes. Pairs outside the
-window were so before, pairs inside are so after re-encoding, and the pairs at its edges are unchanged. Joining is thus
-associative, with the empty sequence as its unit. Matches of the split pattern never merge with each other; across them
-the join is concatenation. Decoding concatenates the tokens' bytes up the same tree.
+window were so before, pairs inside are so after re-encoding, and the pairs at its edges are unchanged.
+
+Joining is thus associative, with the empty sequence as its unit. Decoding concatenates the tokens' bytes by halves.
 """
 
 from __future__ import annotations
@@ -21,8 +30,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from quernel.llm.shared import in_slices
+
 _NONE = 1 << 62  #: the rank of a pair that is no token
-LEAF = 16  #: bytes that are merged directly
+LEAF = 16  #: bytes of a match that are merged directly
+TEXT_LEAF = 512  #: characters of a text that are split directly
+MEMO_LENGTH = 32  #: characters of the longest match that is kept in the memo
 #: Texts of these characters alone (ASCII, Latin letters, dashes and quotes) can be split with explicit classes, faster.
 _SIMPLE = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u024f\u2010-\u2027]")
 _CLASSES = {r"\p{L}": "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"\p{N}": "0-9", r"\s": r" \t\n\x0b\x0c\r"}
@@ -79,7 +92,7 @@ def splitters(pattern: str):
 
 
 class TreeBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 40_000):
         self.ranks, self.tokens = ranks, {v: k for k, v in ranks.items()}
         self.any_text, self.plain = splitters(pattern)
         self.most, self.memo, self.older = memo, {}, {}
@@ -119,32 +132,66 @@ class TreeBpe:
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
-    def known(self, match: str) -> tuple[str, int, bytes]:
-        """The ids of a match as text, their number and the bytes they decode to; kept in a bounded memo."""
+    def known(self, match: str) -> tuple[str, tuple[int, ...]]:
+        """The ids of a match as text and as numbers; kept in a memo of two generations of `memo` short matches."""
         if (out := self.older.get(match)) is None:
             ids = self.piece(match.encode("utf-8"))
-            out = (",".join(map(str, ids)), len(ids), self.decode(ids))
-        if len(match) <= 64:
+            out = (",".join(map(str, ids)), tuple(ids))
+        if len(match) <= MEMO_LENGTH:
             if len(self.memo) >= self.most:
                 self.memo, self.older = {}, self.memo
             self.memo[match] = out
         return out
 
+    def join_matches(self, left: list[str], right: list[str]) -> list[str]:
+        """The matches of the text of both, from their matches; by windows around the seam."""
+        if not left or not right:
+            return left or right
+        a, b = 1, 2
+        while True:
+            a, b = min(a, len(left)), min(b, len(right))
+            window = self.split("".join(left[-a:]) + "".join(right[:b]))
+            if a < len(left) and window[0] != left[-a]:
+                a *= 2
+                continue
+            if b == len(right):
+                return left[:-a] + window
+            ends, at = {}, sum(map(len, left[-a:]))
+            for k in range(b - 1):  # the last match of the window may only end there because the window does
+                at += len(right[k])
+                ends[at] = k + 1
+            at = 0
+            for k, m in enumerate(window):
+                at += len(m)
+                if at in ends:
+                    return left[:-a] + window[: k + 1] + right[ends[at] :]
+            b *= 2
+
+    def matches(self, text: str) -> list[str]:
+        """The matches of the split pattern, by halves."""
+        if len(text) <= TEXT_LEAF:
+            return self.split(text)
+        half = len(text) // 2
+        return self.join_matches(self.matches(text[:half]), self.matches(text[half:]))
+
     def encode(self, text: str) -> list[int]:
-        return [i for m in self.split(text) for i in self.piece(m.encode("utf-8"))]
+        get = self.memo.get
+        return [i for m in self.matches(text) for i in (get(m) or self.known(m))[1]]
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of the ids joined by commas, SHA-256 of the bytes the ids decode to."""
-        got, known = [], self.known
-        matches = self.split(text)
-        for i in range(0, len(matches), 65536):  # known() may replace the memo
-            get = self.memo.get
-            got += [get(m) or known(m) for m in matches[i : i + 65536]]
-        ids, n, data = zip(*got, strict=True) if got else ((), (), ())
-        return sum(n), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest()
-
-
-@lru_cache(maxsize=2)
+        said, ids = hashlib.sha256(), []
+        matches = self.matches(text)
+        for i in range(0, len(matches), 4096):  # known() may replace the memo
+            get, known = self.memo.get, self.known
+            got = [get(m) or known(m) for m in matches[i : i + 4096]]
+            said.update(("," * (i > 0) + ",".join([x[0] for x in got])).encode())
+            for x in got:
+                ids += x[1]
+        return len(ids), said.hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+
+
+@lru_cache(maxsize=1)
 def load(path: str, pattern: str) -> TreeBpe:
     """The coder for a rank file (base64 token and rank a line), once per worker."""
     with open(path, "rb") as f:
@@ -160,9 +207,10 @@ def _vocabulary(path: str | None, pattern: str | None) -> tuple[str, str]:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row, over whole texts; null text counts as empty.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row, over whole texts.
 
-    path names a rank file that every executor can read (part of the installed tokenizer package by default). Repeated
+    Null text counts as empty: no tokens, and the digests of the empty string; very long texts and matches cost in
+    proportion to their length. An empty table gives an empty one. path names a rank file that every executor can read (part of the installed tokenizer package by default). Repeated
     rows give repeated rows; other columns are ignored.
     """
     path, pattern = _vocabulary(path, pattern)
@@ -170,7 +218,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 
     def run(batches):
         coder = load(path, pattern)
-        for b in batches:
+        for b in in_slices(batches):
             got = [coder.digest(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -184,7 +232,7 @@ def token_ids(docs: DataFrame, path: str | None = None, pattern: str | None = No
 
     def run(batches):
         coder = load(path, pattern)
-        for b in batches:
+        for b in in_slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coder.encode(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")

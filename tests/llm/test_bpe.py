@@ -27,6 +27,24 @@ def test_words_equal_the_library(text):
     assert CODER.encode(text) == PLAIN.encode_ordinary(text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abthe rsSvl's\n\t\x1c é½٣日!.-1", max_size=200), st.integers(1, 9))
+def test_texts_by_halves_equal_the_library(text, leaf):
+    old, bpe.TEXT_LEAF = bpe.TEXT_LEAF, leaf
+    try:
+        assert "".join(CODER.matches(text)) == text and CODER.matches(text) == CODER.split(text)
+        assert CODER.encode(text) == PLAIN.encode_ordinary(text)
+    finally:
+        bpe.TEXT_LEAF = old
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab r's\n é!1", max_size=20), min_size=3, max_size=3))
+def test_joining_texts_is_a_monoid(parts):
+    x, y, z = (CODER.split(t) for t in parts)
+    assert CODER.join_matches(CODER.join_matches(x, y), z) == CODER.join_matches(x, CODER.join_matches(y, z)) == CODER.split("".join(parts))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(min_size=1, max_size=60), st.binary(min_size=1, max_size=60), st.binary(min_size=1, max_size=60))
 def test_join_is_a_monoid(a, b, c):
