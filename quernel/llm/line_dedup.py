@@ -1,12 +1,17 @@
 """Near-duplicate line removal by a deletion-neighbourhood join.
 
 Lines are compared after lower-casing ASCII letters and collapsing white space. Two lines are equal for this purpose
-when one edit (insertion, deletion or substitution of a character) at most separates them. Every variant of a line with
-one character deleted is hashed; lines one edit apart share a variant: both delete the same position (substitution), or
-one's variant is the other line (insertion). So that not every line emits as many variants as it has characters, lines
-are narrowed first: a line cut into parts, with one part left out, gives a key; one edit lies within one part (or can be attributed
-to one), so lines one edit apart share such a key. Lines are narrowed by halves, then by `blocks` parts; what is left of
-a line that shares a key with another is the part left out. This is narrowed again, and only the rest emits variants.
+when one edit (insertion, deletion or substitution of a character) at most separates them; lines under `least_chars` say
+too little for that and are equal when they are the same. Blank lines are never compared.
+
+Every variant of a line with one character deleted is hashed; lines one edit apart share a variant: both delete the same
+position (substitution), or one's variant is the other line (insertion). The hash is a polynomial of the characters, so
+all variants of a line come from its prefix sums in one pass, and no variant is ever a string. So that not every line
+emits as many variants as it has characters, lines are narrowed first: a line cut into parts, with one part left out,
+gives a key; one edit lies within one part (or can be attributed to one), so lines one edit apart share such a key. Lines
+are narrowed by halves, then by `blocks` parts; what is left of a line that shares a key with another is the part left
+out. This is narrowed again, and only the rest emits variants. Pairs that share a variant are verified by the edit
+distance of their whole lines.
 
 An occurrence is dropped if an earlier occurrence (by doc_id, then line number) of an equal line exists. Groups are only
 aggregated (minimum of the first occurrence), never paired, so a very frequent line costs no more than a rare one.
@@ -23,20 +28,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.shared import let, written
+from quernel.llm.shared import in_slices, let, written
 
 BLOOM_BITS, BLOOM_PARTS = 25, 64
 
 
 @dataclass(frozen=True)
 class Params:
-    least_chars: int = 24  #: shorter lines say too little to be called copies one edit apart
+    least_chars: int = 24  #: shorter lines say too little to be called copies one edit apart; only exact copies go
     blocks: int = 8
-    short: bool = False  #: whether later exact copies of shorter lines go, but for blank ones; else they always stay
 
 
-#: Lines of any length.
-EVERY = Params(short=True)
+#: Of the variants' hashes: two primes, so that products of residues fit 64 bits, and a base.
+PRIMES, BASE = (2147483647, 2147483629), 1_000_003
 
 
 def normal(line: bytes) -> str:
@@ -60,21 +64,20 @@ def line_hash(line: str) -> int:
 
 
 def line_table(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, line_no (from 0), h and halves (half_keys) of every line that is long enough; with p.short also of shorter
-    ones that are not blank, without halves, as these have exact copies only."""
+    """doc_id, line_no (from 0), h and halves (half_keys) of every line that is not blank; halves is empty where the line
+    is too short for near copies."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches):
             at, numbers, hashes, halves = [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 for k, line in _each(text):
-                    long = len(line) >= p.least_chars
-                    if long or p.short and line:
+                    if line:
                         at.append(i)
                         numbers.append(k)
                         hashes.append(line_hash(line))
-                        halves.append(half_keys(line) if long else [])
+                        halves.append(half_keys(line) if len(line) >= p.least_chars else [])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), pa.array(halves, pa.list_(pa.int64()))], names=["doc_id", "line_no", "h", "halves"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line_no int, h bigint, halves array<bigint>")
@@ -90,12 +93,12 @@ def _bloom(hashes: DataFrame) -> np.ndarray:
     size = 1 << (BLOOM_BITS - 3)
 
     def mark(batches):
-        flags = np.zeros(1 << BLOOM_BITS, bool)
+        bits = np.zeros(size, np.uint8)
         for b in batches:
-            if b.num_rows:
-                flags[_slots(b.column(0).to_numpy())] = True
-        if flags.any():
-            parts = np.packbits(flags).reshape(BLOOM_PARTS, -1)
+            slots = _slots(b.column(0).to_numpy())
+            np.bitwise_or.at(bits, slots >> 3, (128 >> (slots & 7)).astype(np.uint8))
+        if bits.any():
+            parts = bits.reshape(BLOOM_PARTS, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOOM_PARTS), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())], names=["part", "bits"])
 
     def merge(batches):
@@ -118,7 +121,7 @@ def lines_with(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
 
     def run(batches):
         bits, seen = shared.value, set()
-        for b in batches:
+        for b in in_slices(batches):
             lines, hashes = [], []
             for text in b.column(0).to_pylist():
                 for _, line in _each(text):
@@ -159,39 +162,103 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter(F.col("low") != F.col("high")).select("key")
 
 
-def near_firsts(docs: DataFrame, table: DataFrame, firsts: DataFrame, p: Params) -> DataFrame:
+def _with_shared(rows: DataFrame, name: str) -> DataFrame:
+    """The rows whose key more than one line has. The keys are written, so a key that very many rows have can be split."""
+    return rows.join(written(_shared(rows), name), "key", "left_semi")
+
+
+def _powers(n: int, p: int) -> np.ndarray:
+    """BASE**i modulo p for i below n."""
+    out = np.ones(max(1, n), np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(BASE, done, p)) % np.uint64(p)
+        done += more
+    return out[:n]
+
+
+def variant_hashes(rest: str, outer: int) -> np.ndarray:
+    """Hashes of rest itself (first) and of rest without its character i (at i + 1), each with outer."""
+    chars = np.frombuffer(rest.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
+    out = np.zeros(len(chars) + 1, np.uint64)
+    for p in PRIMES:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(chars * _powers(len(chars), p) % np.uint64(p), dtype=np.uint64) % np.uint64(p)])
+        after = (sums[-1] + np.uint64(p) - sums[1:]) % np.uint64(p) * np.uint64(pow(BASE, -1, p)) % np.uint64(p)  # moved one place down
+        each = np.concatenate([sums[-1:], (sums[:-1] + after) % np.uint64(p)])
+        out = out << np.uint64(32) | each
+    out ^= np.uint64(outer & ((1 << 64) - 1))
+    out = (out ^ out >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ out >> np.uint64(29)
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether one edit at most separates a and b: what is left between their common start and end is that edit."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    x, y = (np.frombuffer(s.encode("utf-32-le", "replace"), np.uint32) for s in (a, b))
+    n = min(len(x), len(y))
+    start = np.flatnonzero(x[:n] != y[:n])
+    if not len(start):
+        return True
+    end = np.flatnonzero(x[len(x) - n :][::-1] != y[len(y) - n :][::-1])
+    return int(start[0]) + int(end[0]) >= max(len(x), len(y)) - 1 if len(end) else True
+
+
+def _variants(inner: DataFrame) -> DataFrame:
+    """h, first, g, pos for each variant of the rows' rest (key, h, first, rest); pos is -1 for the rest itself."""
+    kind = inner.schema["first"].dataType.simpleString()
+
+    def run(batches):
+        for b in in_slices(batches, 3, 1 << 18):
+            got = [variant_hashes(rest, outer) for outer, rest in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            at = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
+            pos = np.concatenate([np.arange(-1, len(g) - 1, dtype=np.int32) for g in got] or [np.zeros(0, np.int32)])
+            g = np.concatenate(got or [np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(g), pa.array(pos)], names=["h", "first", "g", "pos"])
+
+    return inner.select("key", "h", "first", "rest").mapInArrow(run, f"h bigint, first {kind}, g bigint, pos int")
+
+
+def near_firsts(docs: DataFrame, firsts: DataFrame, p: Params) -> DataFrame:
     """h and near: for each line with others one edit away, the first occurrence of the earliest of these."""
-    halves = table.select("h", F.explode("halves").alias("key"))
-    wanted = written(halves.join(_shared(halves), "key", "left_semi").select("h").distinct(), "line-wanted")
-    rows = lines_with(docs, wanted, p)
+    halves = firsts.select("h", F.explode("halves").alias("key"))
+    wanted = written(_with_shared(halves, "line-half-keys").select("h").distinct(), "line-wanted")
+    lines = written(lines_with(docs, wanted, p), "line-texts")
+    rows = lines
     for text, outer in ((F.col("line"), F.lit(0).cast("bigint")), (F.col("rest"), F.col("key"))):
         parts = written(rows.select("h", F.explode(block_keys(text, outer, p.blocks)).alias("b")).select("h", "b.*"), "line-parts")
-        rows = parts.join(_shared(parts), "key", "left_semi").dropDuplicates(["key", "h"])
-    inner = rows.join(firsts.select("h", "first"), "h")
-    every = F.transform(F.sequence(F.lit(0), F.length("rest")), lambda i: F.struct((i - 1).alias("pos"), F.when(i == 0, F.col("rest")).otherwise(F.concat(F.substring(F.col("rest"), F.lit(1), i - 1), F.substring(F.col("rest"), i + 1, F.length("rest")))).alias("variant")))
-    variants = inner.select("h", "first", "rest", F.col("key").alias("outer"), F.explode(every).alias("v")).select("h", F.struct("first", "rest", "h").alias("mine"), F.xxhash64("outer", "v.variant").alias("g"), F.col("v.pos").alias("pos"))
-    variants = written(variants, "line-variants")
-    by_pos = variants.groupBy("g", "pos").agg(F.min("mine").alias("best"), F.min("h").alias("low"), F.max("h").alias("high"))
+        rows = _with_shared(parts, "line-part-keys").dropDuplicates(["key", "h"])
+    variants = written(_variants(rows.join(firsts.select("h", "first"), "h")), "line-variants")
+    mine = F.struct("first", "h")
+    by_pos = variants.groupBy("g", "pos").agg(F.min(mine).alias("best"), F.min("h").alias("low"), F.max("h").alias("high"))
     same_pos = by_pos.filter((F.col("pos") >= 0) & (F.col("low") != F.col("high"))).select("g", "pos", "best")
     full = by_pos.filter(F.col("pos") < 0).select("g", F.col("best").alias("full"))
     cut = by_pos.filter(F.col("pos") >= 0).groupBy("g").agg(F.min("best").alias("cut"))
     across = full.join(cut, "g")
-    substituted = variants.join(same_pos, ["g", "pos"]).select("h", "mine", "best")
-    inserted = variants.join(across, "g").select("h", "mine", F.when(F.col("pos") < 0, F.col("cut")).otherwise(F.col("full")).alias("best"))
-    checked = substituted.unionByName(inserted).filter((F.col("best.h") != F.col("h")) & (F.levenshtein(F.col("mine.rest"), F.col("best.rest")) <= 1))
-    return checked.groupBy("h").agg(F.min("best.first").alias("near"))
+    substituted = variants.join(same_pos, ["g", "pos"]).select("h", "best")
+    inserted = variants.join(across, "g").select("h", F.when(F.col("pos") < 0, F.col("cut")).otherwise(F.col("full")).alias("best"))
+    pairs = substituted.unionByName(inserted).filter(F.col("best.h") != F.col("h")).select("h", F.col("best.first").alias("near"), F.col("best.h").alias("other")).distinct()
+    both = pairs.join(lines, "h").join(lines.select(F.col("h").alias("other"), F.col("line").alias("other_line")), "other")
+    kind = pairs.schema["near"].dataType.simpleString()
+
+    def run(batches):
+        for b in in_slices(batches, 2):
+            same = pa.array([one_edit(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield b.select([0, 1]).filter(same)
+
+    return both.select("h", "near", "line", "other_line").mapInArrow(run, f"h bigint, near {kind}").groupBy("h").agg(F.min("near").alias("near"))
 
 
 def dropped_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id and gone, the sorted numbers of its dropped lines, for each document that loses a line."""
     p = params
     table = written(line_table(docs, p), "lines")
-    occurrences = table.select("doc_id", "line_no", "h")
     at = F.struct("doc_id", "line_no")
-    firsts = written(occurrences.groupBy("h").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")), "line-firsts")
-    near = written(near_firsts(docs, table, firsts, p), "line-near")
+    firsts = written(table.groupBy("h").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves")), "line-firsts")
+    near = written(near_firsts(docs, firsts, p), "line-near")
     known = firsts.filter("n > 1").select("h", "first").unionByName(near.withColumnRenamed("near", "first")).groupBy("h").agg(F.min("first").alias("first"))
-    late = occurrences.join(known, "h").filter(F.col("first") < at)
+    late = table.select("doc_id", "line_no", "h").join(written(known, "line-known"), "h").filter(F.col("first") < at)
     return late.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
 
 
@@ -209,8 +276,9 @@ def _kept(docs: DataFrame, params: Params) -> tuple[DataFrame, Column]:
 def dedup_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, text, n_lines, n_dropped for every row of docs: the text without later copies of lines.
 
-    Null text stays null, with no lines. Rows with the same id count as one document: a line's place is its id and
-    number, and equal places do not drop each other. Other columns are ignored.
+    Null text stays null, with no lines; an empty table gives an empty one. Rows with the same id count as one document:
+    a line's place is its id and number, and equal places do not drop each other; a null id comes first. Lines of any
+    length are compared whole. Other columns are ignored.
     """
     joined, text = _kept(docs.select("doc_id", "text"), params)
     n = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))

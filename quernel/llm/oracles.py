@@ -39,12 +39,12 @@ FROM s WHERE 100 * matched >= {p.percent} * compared AND compared >= least({p.le
 
 
 def lines_sql(p: line_dedup.Params = line_dedup.Params()) -> str:
-    """Lines one edit apart share the first or the last half of the shorter one."""
+    """Lines one edit apart share the first or the last half of the shorter one; shorter lines go as exact copies."""
     return f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
 n AS (SELECT doc_id, line_no, raw, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACES}+', ' ', 'g'), ' ') AS s FROM l),
-v AS (SELECT s, length(s) AS len, min((doc_id, line_no)) AS first FROM n WHERE length(s) >= {p.least_chars} GROUP BY 1, 2),
-k AS (SELECT s, len, first, unnest(list_distinct([(u, 0, left(s, u)), (u, 1, right(s, u)), (w, 0, left(s, w)), (w, 1, right(s, w))])) AS key FROM (SELECT *, len // 2 AS u, (len - 1) // 2 AS w FROM v)),
+v AS (SELECT s, length(s) AS len, min((doc_id, line_no)) AS first FROM n WHERE s <> '' GROUP BY 1, 2),
+k AS (SELECT s, len, first, unnest(list_distinct([(u, 0, left(s, u)), (u, 1, right(s, u)), (w, 0, left(s, w)), (w, 1, right(s, w))])) AS key FROM (SELECT *, len // 2 AS u, (len - 1) // 2 AS w FROM v WHERE len >= {p.least_chars})),
 c AS (SELECT DISTINCT a.s, b.s AS o, b.first FROM k a JOIN k b ON a.key = b.key AND a.s <> b.s AND abs(a.len - b.len) <= 1),
 e AS (SELECT s, first FROM c WHERE CASE WHEN length(s) = length(o) THEN len(list_filter(range(1, length(s) + 1), lambda i: substr(s, i, 1) <> substr(o, i, 1))) <= 1
       WHEN length(s) < length(o) THEN len(list_filter(range(1, length(o) + 1), lambda i: left(o, i - 1) || substr(o, i + 1) = s)) > 0

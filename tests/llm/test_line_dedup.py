@@ -30,7 +30,8 @@ def brute(docs):
             lines.append(((i is not None, i or 0, n), " ".join(x for x in norm.split(" ") if x), raw))
     out = {}
     for place, norm, raw in lines:
-        late = len(norm) >= P.least_chars and any(p < place and len(m) >= P.least_chars and within_one(m, norm) for p, m, _ in lines)
+        long = len(norm) >= P.least_chars
+        late = norm and any(p < place and (m == norm or long and len(m) >= P.least_chars and within_one(m, norm)) for p, m, _ in lines)
         if not late:
             out.setdefault(place[:2], []).append(raw)
     return {k: "\n".join(v) for k, v in out.items()}
@@ -100,10 +101,30 @@ def test_a_very_long_line_and_a_very_frequent_one(spark):
     assert {r.doc_id for r in D.dedup_lines(df).filter("n_dropped = 0").collect()} == {0, 1000}
 
 
+def test_variant_hashes():
+    rng = random.Random(2)
+    for _ in range(200):
+        s = "".join(rng.choice("ab\U0001f600é") for _ in range(rng.randint(0, 12)))
+        got = D.variant_hashes(s, 77)
+        assert len(got) == len(s) + 1 and all(got[i + 1] == D.variant_hashes(s[:i] + s[i + 1 :], 77)[0] for i in range(len(s)))
+    many = {t: D.variant_hashes(t, 5)[0] for t in ("".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(20000))}
+    assert len(set(many.values())) == len(many) and D.variant_hashes("ab", 5)[0] != D.variant_hashes("ab", 6)[0]
+
+
+def test_lines_of_millions_of_characters(spark):
+    rng = random.Random(8)
+    docs = []
+    for k, n in enumerate((1_000_000, 5_000_000)):
+        line = "".join(rng.choices("abcdefgh ", k=n)).strip()
+        docs += [(10 * k, line), (10 * k + 1, line[: n // 3] + "!" + line[n // 3 :]), (10 * k + 2, line[: n // 2] + "??" + line[n // 2 :])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {r.doc_id: r.n_dropped for r in D.dedup_lines(df).select("doc_id", "n_dropped").collect()} == {0: 0, 1: 1, 2: 0, 10: 0, 11: 1, 12: 0}
+
+
 def test_short_lines_go_by_exact_copies(spark):
     long = "a line that is long enough to count as one"
     docs = [(1, f"All rights reserved.\n\n{long}\nab"), (2, f"all  RIGHTS reserved.\n \nAll rights reserved!\n{long}s"), (3, "ab\nab\nac\n"), (4, None), (5, "AB")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    got = {r.doc_id: (r.text, r.n_dropped) for r in D.dedup_lines(df, D.EVERY).collect()}
+    got = {r.doc_id: (r.text, r.n_dropped) for r in D.dedup_lines(df).collect()}
     assert got == {1: (docs[0][1], 0), 2: (" \nAll rights reserved!", 2), 3: ("ac\n", 2), 4: (None, 0), 5: ("", 1)}
-    assert {r.doc_id for r in D.without_repeats(df, D.EVERY).collect()} == {1, 2, 3, 4}
+    assert {r.doc_id for r in D.without_repeats(df).collect()} == {1, 2, 3, 4}
