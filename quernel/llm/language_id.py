@@ -1,11 +1,14 @@
 """Language identification with error-correcting output codes.
 
 Each language gets a codeword; one binary n-gram classifier per code bit scores a text, and loss-weighted decoding
-picks the nearest codeword. A near tie is flagged as ambiguous.
+picks the nearest codeword. Evidence grows with the square root of a text's n-grams, so the gap between the two nearest
+codewords is measured in units of it; a small gap is flagged as ambiguous: mixed texts, and other languages than those
+learned. A text that is ambiguous and far from every codeword is in none of the languages.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.llm.shared import in_slices
+
 UNDETERMINED = "und"
 
 
@@ -20,9 +25,9 @@ UNDETERMINED = "und"
 class Params:
     dims: int = 1 << 14  #: hashed n-gram features
     per_lang: int = 4000  #: training documents per language, about; the bound of the sample
-    max_langs: int = 256  #: more distinct labels than this is an error: such a column holds no languages
     dense_bits: int = 48  #: code length for more than 6 languages
-    ambiguous_below: float = 0.10  #: least gap between the losses of the two nearest codewords
+    ambiguous_below: float = 1.0  #: least gap between the losses of the two nearest codewords, per root of the n-grams
+    far_above: float = 0.45  #: loss a bit of the nearest codeword from which on an ambiguous text is in no learned language
     smooth: float = 2e-5
 
 
@@ -50,9 +55,10 @@ def codewords(n: int, dense_bits: int) -> np.ndarray:
     while True:
         code = rng.choice([-1.0, 1.0], size=(n, dense_bits))
         split = (np.abs(code.sum(axis=0)) < n).all()
-        apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
-        if split and apart >= dense_bits // 5:
+        apart = min(int((code[i] != code[:i]).sum(axis=1).min()) for i in range(1, n))
+        if split and apart >= max(1, dense_bits // 5):
             return code
+        dense_bits += n > 128  # many languages need a longer code to stay apart
 
 
 @dataclass(frozen=True)
@@ -63,18 +69,23 @@ class Model:
     bit_weight: np.ndarray  #: how well each bit's two sides are told apart
     params: Params
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score, ambiguous); `und`, 0 and True if there is no text, no letter in it or no model."""
+    def judge(self, text: str | None) -> tuple[str, float, bool, bool]:
+        """(language, score, ambiguous, far); `und`, 0, True, True if there is no text, no letter in it or no model."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0, True
+            return UNDETERMINED, 0.0, True, True
         if len(self.langs) == 1:
-            return self.langs[0], 1.0, False
+            return self.langs[0], 1.0, False, False
         x = features(text, self.params.dims)
-        z = (x @ self.weights) / np.sqrt(x.sum())
-        loss = np.logaddexp(0.0, -self.code * z) @ self.bit_weight
+        root = np.sqrt(x.sum())
+        loss = np.logaddexp(0.0, -self.code * (x @ self.weights / root)) @ self.bit_weight
         order = np.argsort(loss, kind="stable")
         p = np.exp(loss[order[0]] - loss)
-        return self.langs[order[0]], float(1 / p.sum()), bool(loss[order[1]] - loss[order[0]] < self.params.ambiguous_below)
+        ambiguous = bool(loss[order[1]] - loss[order[0]] < self.params.ambiguous_below * root)
+        return self.langs[order[0]], float(1 / p.sum()), ambiguous, ambiguous and bool(loss[order[0]] >= self.params.far_above * len(self.bit_weight))
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, score, ambiguous)."""
+        return self.judge(text)[:3]
 
 
 def _model(counts: dict[str, np.ndarray], p: Params) -> Model:
@@ -97,29 +108,32 @@ def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     """Fits on (doc_id, text, lang); rows without text or lang teach nothing.
 
     The sample holds about params.per_lang documents of each language, chosen by a hash of the id and the text; its
-    whole texts are counted on executors, and only one vector of fixed size per language and task reaches the driver.
+    whole texts are counted on executors, and only one compressed vector of fixed size per language and task reaches the
+    driver. Every value of lang is learned, however many there are.
     """
     rows = labelled.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(params.max_langs + 1).collect()}
-    if len(sizes) > params.max_langs:
-        raise ValueError(f"more than {params.max_langs} distinct values of lang")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return _model({}, params)
-    share = F.create_map(*[F.lit(y) for k, n in sizes.items() for y in (k, min(1.0, params.per_lang / n))])
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    chosen = rows
+    if often := {k: params.per_lang / n for k, n in sizes.items() if n > params.per_lang}:
+        share = F.coalesce(F.element_at(F.create_map(*[F.lit(y) for kv in often.items() for y in kv]), F.col("lang")), F.lit(1.0))
+        chosen = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20))
     dims = params.dims
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in in_slices(batches, 0):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x = features(text, dims)
                 total[lang] = total[lang] + x if lang in total else x
-        yield pa.RecordBatch.from_pydict({"lang": list(total), "counts": [v.astype(np.int64).tobytes() for v in total.values()]}, schema=pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
+        for lang, x in total.items():
+            yield pa.RecordBatch.from_pydict({"lang": [lang], "counts": [zlib.compress(x.astype(np.int64).tobytes(), 1)]}, schema=pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
 
     counts: dict[str, np.ndarray] = {}
-    for r in chosen.select("text", "lang").repartition(12).mapInArrow(count, "lang string, counts binary").toLocalIterator():
-        x = np.frombuffer(r["counts"], dtype=np.int64)
+    tasks = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-params.per_lang * len(sizes) // 500)))
+    for r in chosen.select("text", "lang").repartition(tasks).mapInArrow(count, "lang string, counts binary").toLocalIterator():
+        x = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64)
         counts[r["lang"]] = counts[r["lang"]] + x if r["lang"] in counts else x
     return _model(counts, params)
 
@@ -136,7 +150,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in in_slices(batches):
             said = [m.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64()), pa.array([x[2] for x in said], pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
@@ -146,22 +160,27 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def language_id(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """Fits on the documents that are not held out and labels all: doc_id, held_out, lang_pred, score, ambiguous.
 
-    Null or letterless text is `und` with score 0. Without any labelled row all texts are `und`. Other columns of
-    docs are ignored.
+    Null, empty or letterless text is `und` with score 0. Without any labelled row all texts are `und`. Equal texts are
+    judged alike, ties go to the first language in order of its name, very long texts count whole, an empty table gives
+    an empty one. Other columns of docs are ignored.
     """
     model = fit(docs.filter(~held_out(F.col("doc_id"))), params)
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def keep_identified(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """The documents whose language could be told, with their own columns; `und` ones go, whatever their label."""
+    """The documents in one of the learned languages, with their own columns; `und` ones go, whatever their label, and
+    so do those that are ambiguous and far from every codeword.
+
+    Null, empty and letterless texts go, and all rows where no document has a label. Repeated rows are judged alike.
+    """
     model = fit(docs.filter(~held_out(F.col("doc_id"))), params)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
         m = shared.value
-        for b in batches:
-            yield b.filter(pa.array([m.predict(t)[0] != UNDETERMINED for t in b.column(at).to_pylist()], pa.bool_()))
+        for b in in_slices(batches, at):
+            yield b.filter(pa.array([not m.judge(t)[3] for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,4 +1,6 @@
 import binascii
+import math
+import random
 
 import duckdb
 import numpy as np
@@ -63,6 +65,69 @@ def test_a_wrong_bit_is_corrected():
     assert model.predict(half)[1] < model.predict(text)[1]
 
 
+def plain_features(text, dims):
+    """n-gram counts with plain numbers."""
+    low = [ord(c) for c in " " + text.lower() + " "]
+    low = [32 if c < 128 and not chr(c).isalpha() else c for c in low]
+    shift, full, out = 32 - (dims.bit_length() - 1), (1 << 32) - 1, {}
+    for i, c in enumerate(low):
+        one = c * 2654435761 & full
+        grams = [one] if c != 32 else []
+        if i + 1 < len(low):
+            two = (one ^ low[i + 1] * 2246822519 & full) * 3266489917 & full
+            grams += [two] if (c, low[i + 1]) != (32, 32) else []
+            if i + 2 < len(low):
+                grams.append((two + low[i + 2] * 668265263 & full) * 374761393 & full)
+        for g in grams:
+            out[g >> shift] = out.get(g >> shift, 0) + 1
+    return out
+
+
+def plain_decode(model, text):
+    """Loss-weighted decoding bit by bit, from the plain features."""
+    x, n = plain_features(text, model.params.dims), 0
+    n = sum(x.values())
+    losses = []
+    for word in model.code:
+        loss = 0.0
+        for bit, want in enumerate(word):
+            z = sum(k * model.weights[f, bit] for f, k in x.items()) / math.sqrt(n)
+            loss += model.bit_weight[bit] * (math.log1p(math.exp(-want * z)) if want * z > -30 else -want * z)
+        losses.append(loss)
+    best, second = sorted(losses)[:2]
+    return model.langs[losses.index(best)], second - best < model.params.ambiguous_below * math.sqrt(n)
+
+
+def test_equals_a_plain_version(spark):
+    model = L.fit(documents(spark))
+    rng = random.Random(4)
+    pool = [w for words in WORDS.values() for w in words] + ["Été", "日本", "x9", "--"]
+    for _ in range(60):
+        text = " ".join(rng.choices(pool, k=rng.randint(1, 12)))
+        assert {k: v for k, v in enumerate(L.features(text, 1 << 14)) if v} == plain_features(text, 1 << 14)
+        assert (model.predict(text)[0], model.predict(text)[2]) == plain_decode(model, text)
+
+
+def test_flags_mixed_and_foreign_texts():
+    rows = duckdb.sql("select text, lang from '/root/testdata/sf0.1/documents.parquet' where length(text) > 400 and lang is not null order by doc_id limit 1500").fetchall()
+    counts = {lang: sum(L.features(t, 1 << 14) for t, x in rows[:1000] if x == lang) for lang in {x for _, x in rows}}
+    model, by = L._model(counts, L.Params()), {}
+    for t, x in rows[1000:]:
+        by.setdefault(x, []).append(t[:400])
+    alone = [model.judge(t) for texts in by.values() for t in texts]
+    mixed = [model.judge(a[:300] + " " + b[:300]) for x in by for y in by if x < y for a, b in zip(by[x], by[y])]
+    assert sum(j[2] for j in alone) <= 0.01 * len(alone) and not any(j[3] for j in alone)
+    assert sum(j[2] for j in mixed) >= 0.7 * len(mixed)
+    assert all(model.judge(t)[3] for t in ("xyzzy qqq www kkk zzz", "日本語のテキストです。これは"))
+
+
+def test_many_labels_and_a_very_long_text(spark):
+    rows = [(i, f"word{k} {chr(0x4E00 + k)}{chr(0x4E01 + k)} " * 6, f"l{k}", "", 0) for i, k in enumerate([*range(300)] * 3)] + [(5000, "der die und nicht " * 200_000, None, "", 0)]
+    got = {r.doc_id: r for r in L.language_id(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert len(got) == len(rows) and got[5000].lang_pred.startswith("l")
+    assert sum(got[i].lang_pred == rows[i][2] for i in range(900)) >= 890
+
+
 def test_keeps_what_it_can_tell(spark):
     rows = documents(spark).unionByName(spark.createDataFrame([(900, None, "en", "", 0), (901, "12 34", "en", "", 0)], COLUMNS))
     assert {r.doc_id for r in L.keep_identified(rows).collect()} == set(range(60))
