@@ -18,23 +18,29 @@ FROM p LEFT JOIN b ON b.host = p.host AND b.path = p.path
 """
 
 
-def _seed(mask: str, k: int) -> str:
-    return f"'{k} ' || " + " || ' ' || ".join(f"t[i + {j}]" for j, bit in enumerate(mask) if bit == "1")
+def _seed(mask: str) -> str:
+    return f"'{mask} ' || " + " || ' ' || ".join(f"t[i + {j}]" for j, bit in enumerate(mask) if bit == "1")
 
 
 def decontamination_sql(p: decontaminate.Params = decontaminate.Params()) -> str:
     span = len(p.masks[0])
     tokens = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS t"
-    seeds = ", ".join(_seed(m, k) for k, m in enumerate(p.masks))
+    seeds = ", ".join(map(_seed, p.masks))
+    hit = " OR ".join("(" + " AND ".join(f"e[y + {j + 1}] = 1" for j, bit in enumerate(m) if bit == "1") + ")" for m in p.masks)
     return f"""
 WITH d AS (SELECT doc_id, {tokens} FROM documents), b AS (SELECT item_id, {tokens} FROM benchmark),
 ds AS (SELECT doc_id, i - 1 AS pos, unnest([{seeds}]) AS seed FROM (SELECT doc_id, t, unnest(range(1, len(t) - {span} + 2)) AS i FROM d)),
 bs AS (SELECT item_id, i - 1 AS item_pos, unnest([{seeds}]) AS seed FROM (SELECT item_id, t, unnest(range(1, len(t) - {span} + 2)) AS i FROM b)),
-h AS (SELECT doc_id, item_id, pos - item_pos AS shift, item_pos // {p.reach // 2} AS part, min(item_pos) AS item_pos FROM ds JOIN bs USING (seed) GROUP BY ALL),
-w AS (SELECT h.*, d.t AS a, b.t AS c, greatest(0, item_pos - {p.reach}, -shift) AS low, least(len(b.t), item_pos + {span + p.reach}, len(d.t) - shift) AS high FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
-s AS (SELECT doc_id, item_id, high - low AS compared, len(list_filter(range(low, high), lambda i: a[i + shift + 1] = c[i + 1])) AS matched, len(c) AS m FROM w)
-SELECT doc_id, item_id, count(*) AS n_places, CAST(max((matched, compared))[1] AS BIGINT) AS matched, CAST(max((matched, compared))[2] AS BIGINT) AS compared
-FROM s WHERE 100 * matched >= {p.percent} * compared AND compared >= least({p.least}, m) GROUP BY 1, 2
+sm AS (SELECT DISTINCT len(t) AS m FROM b WHERE len(t) BETWEEN 1 AND {span - 1}),
+sd AS (SELECT doc_id, i - 1 AS pos, t[i:i + m - 1] AS w FROM (SELECT doc_id, t, m, unnest(range(1, len(t) - m + 2)) AS i FROM d, sm)),
+h AS (SELECT DISTINCT doc_id, item_id, pos - item_pos AS shift FROM ds JOIN bs USING (seed) UNION SELECT doc_id, item_id, pos AS shift FROM sd JOIN b ON b.t = sd.w),
+e AS (SELECT doc_id, item_id, shift, len(b.t) AS m, [CAST(d.t[i + shift + 1] = b.t[i + 1] AS INT) for i in range(greatest(0, -shift), least(len(b.t), len(d.t) - shift))] AS e FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
+y AS (SELECT *, unnest(list_filter(range(0, len(e) - {span} + 1), lambda y: {hit})) AS y FROM e WHERE m >= {span}),
+v AS (SELECT doc_id, item_id, shift, m, e, greatest(0, y - {p.reach}) AS low, least(len(e), y + {span + p.reach}) AS high, {p.percent} AS percent FROM y
+      UNION ALL SELECT doc_id, item_id, shift, m, e, a AS low, a + least({p.least}, m) AS high, {p.stretch_percent} AS percent FROM (SELECT *, unnest(range(greatest(0, y + {span} - least({p.least}, m)), least(y, len(e) - least({p.least}, m)) + 1)) AS a FROM y)),
+s AS (SELECT doc_id, item_id, shift, high - low AS compared, list_sum(e[low + 1:high]) AS matched, percent, m FROM v UNION ALL SELECT doc_id, item_id, shift, m, list_sum(e), 100, m FROM e WHERE m < {span} AND len(e) = m)
+SELECT doc_id, item_id, count(DISTINCT shift) AS n_places, CAST(max(matched) AS BIGINT) AS matched, CAST(-max((matched, -compared))[2] AS BIGINT) AS compared
+FROM s WHERE 100 * matched >= percent * compared AND compared >= least({p.least}, m) GROUP BY 1, 2
 """
 
 
