@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quernel.llm.shared import in_slices
+
 KINDS = ("assign", "access", "hex", "entropy")
 _ASSIGN = re.compile(r"""(?ai:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -27,7 +29,8 @@ ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # UUIDs
     re.compile(r"(?i).*(?:example|placeholder|changeme|dummy|your[-_]?(?:key|token|secret)).*"),
     re.compile(r"(?i)(?:sha(?:1|256|384|512)|md5)[-=].*"),  # integrity digests
-    re.compile(r"[A-Z]?[a-z]+(?:[-_/=+][A-Z]?[a-z]+)*[0-9]{0,4}"),  # words, paths and numbered names
+    re.compile(r"[A-Z]?[a-z]+(?:[-_/=+]?[A-Z][a-z]+|[-_/=+][a-z]+)*(?:[-_/=+]?[0-9]{1,4})?"),  # words, humps and numbered names
+    re.compile(r"(?:[A-Za-z]{0,12}[0-9]{0,4}[-_/=+]){3,}[A-Za-z]{0,12}[0-9]{0,4}"),  # paths, versions, names of constants
     re.compile(r"[0-9]+(?:[-/_=+][0-9]+)*"),  # dates and numbers
 )
 
@@ -105,14 +108,15 @@ def scan_text(text: str | None, p: Params = Params()) -> tuple[int, int, int, st
 def scan_secrets(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row of docs, over whole texts.
 
-    Null text counts as empty: no spans, and the digest of the empty string. Repeated rows give repeated rows; other
-    columns are ignored. Offsets are code points, ends exclusive.
+    Null text counts as empty: no spans, and the digest of the empty string; an empty table gives an empty one. Spans
+    that start together come in the order of their kinds. A very long text or candidate costs in proportion to its length.
+    Repeated rows give repeated rows; other columns are ignored. Offsets are code points, ends exclusive.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     types = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())]
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches):
             cols = list(zip(*(scan_text(t, params) for t in b.column(1).to_pylist()), strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t) in zip(cols, types, strict=True))], names=["doc_id", *(n for n, _ in types)])
 
