@@ -12,9 +12,11 @@
 4. First each row of a tile is only linked with the nearest row before it that passes, in one order of the nodes for all
    tiles, so that a group of k copies gives about k pairs, however many keys it shares; linked nodes are merged to
    components. Then all other pairs that pass and lie in different components are intersected. Tiles of `small_tile`
-   rows give these other pairs in the same pass; only larger tiles with several components are read again. Those over
-   `tile_rows` are dealt in blocks: the rows of the tile's largest component to one block each, the others to every
-   block. So no link between components is lost, and no row is compared with its own component.
+   rows give these other pairs in the same pass; only larger tiles with several components are read again, with the
+   arrays, and intersect them in place: a link merges two components there, so a tile gives fewer links than it has
+   components, however many pairs they make. Those over `tile_shingles` are dealt in blocks: the rows of the tile's
+   largest component to one block each, the others to every block. So no link between components is lost, and no row is
+   compared with its own component.
 """
 
 from __future__ import annotations
@@ -41,7 +43,8 @@ class Params:
     num: int = 90  #: two sets link when den * overlap >= num * union
     den: int = 100
     max_bits: int = 1 << 14  #: of a bitmap
-    tile_rows: int = 4096
+    tile_rows: int = 4096  #: of a chunk of a tile, when rows are linked with near ones before them
+    tile_shingles: int = 1 << 20  #: of a block of a tile, when its components are compared: 8 bytes each
     small_tile: int = 16
 
 
@@ -174,11 +177,10 @@ def _pairs_schema():
     return pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
 
-def _tile_rows(rows: DataFrame, nodes: DataFrame, place: list[str], columns: list[str]) -> DataFrame:
-    """The rows of tiles with their nodes and bitmaps, dealt by place and sorted by it, size and node."""
-    full = rows.join(nodes.select("nid", "node", *(["label"] if "label" in columns else []), "bits"), "nid")
-    parts = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return full.select(*place, *columns).repartition(parts, *place).sortWithinPartitions(*place, "n", "node")
+def _dealt(rows: DataFrame, place: list[str], columns: list[str]) -> DataFrame:
+    """The rows of tiles, dealt by place and sorted by it, size and node."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*place, *columns).repartition(parts, *place).sortWithinPartitions(*place, "n", "node")
 
 
 def _tiles_of(batches, places: int):
@@ -229,7 +231,8 @@ def _first_pairs(members: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
     chunk = F.floor((F.col("idx") - 1) / p.tile_rows).cast("int")
     ahead = F.pmod(F.col("idx") - 1, F.lit(p.tile_rows)) >= p.tile_rows - LOOK  # also at hand for the next chunk
     chunks = F.explode(F.when(ahead & (F.col("rows") > p.tile_rows), F.array(chunk, chunk + 1)).otherwise(F.array(chunk)))
-    full = _tile_rows(members.select("*", chunks.alias("chunk")), nodes, ["key", "chunk"], ["n", "node", "pos", "rows", "bits"])
+    rows = members.select("*", chunks.alias("chunk")).join(nodes.select("nid", "node", "bits"), "nid")
+    full = _dealt(rows, ["key", "chunk"], ["n", "node", "pos", "rows", "bits"])
 
     def run(batches):
         for out in in_lots(judged(batches)):
@@ -284,6 +287,11 @@ def _arrays(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, p: Params) ->
     return made.dropDuplicates(["node"])
 
 
+def _linked(x: np.ndarray, y: np.ndarray, p: Params) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return p.den * both >= p.num * (len(x) + len(y) - both)
+
+
 def _exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, p: Params, name: str) -> DataFrame:
     """Of the pairs (u, v), those whose sets really link; written."""
     pairs = written(pairs, f"{name}-pairs")
@@ -296,8 +304,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, p: Params, name:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(p.den * both >= p.num * (len(x) + len(y) - both))
+                keep.append(_linked(x, y, p))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], schema=_pairs_schema())
 
@@ -324,18 +331,20 @@ def connected(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _later_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
-    """u, v: pairs of different components in a large tile that the bitmaps do not rule out."""
-    labelled = nodes.join(labels, "node", "left").select("nid", "node", "bits", F.coalesce("label", "node").alias("label"))
-    rows = written(members.filter(F.col("rows") > p.small_tile).select("key", "nid", "n", "pos").join(labelled.select("nid", "label"), "nid"), "tile-rows")
-    each = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
-    tiles = each.groupBy("key").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("rows"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    blocks = lambda k: F.greatest(F.lit(1), F.ceil(k / p.tile_rows)).cast("int")
-    rest = F.col("rows") - F.col("most.k")
-    tiles = tiles.select("key", F.col("most.label").alias("main"), blocks(F.col("most.k")).alias("wide"), blocks(rest).alias("high"))
-    dealt = rows.join(tiles, "key").withColumn("side", F.col("label") != F.col("main"))
+def _later_links(members: DataFrame, docs: DataFrame, nodes: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
+    """u, v: links between different components in the large tiles, enough of them to connect what links there."""
+    labelled = nodes.join(labels, "node", "left").select("nid", "node", F.coalesce("label", "node").alias("label"))
+    rows = members.filter(F.col("rows") > p.small_tile).select("key", "nid", "n", "pos").join(labelled, "nid")
+    rows = written(rows.select("key", "node", "n", "pos", "label"), "tile-rows")
+    each = rows.groupBy("key", "label").agg(F.sum("n").alias("k"))
+    tiles = each.groupBy("key").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    blocks = lambda k: F.greatest(F.lit(1), F.ceil(k / p.tile_shingles)).cast("int")
+    tiles = written(tiles.select("key", F.col("most.label").alias("main"), blocks(F.col("most.k")).alias("wide"), blocks(F.col("all") - F.col("most.k")).alias("high")), "mixed-tiles")
+    rows = written(rows.join(tiles, "key"), "mixed-rows")
+    arrays = written(_arrays(docs, nodes, rows.select("node").distinct(), p), "mixed-arrays")
+    dealt = rows.withColumn("side", F.col("label") != F.col("main"))
     # block (a, b): a share of the main component beside a share of the others; (-1 - a, b): two shares of the others
-    mine = F.pmod(F.xxhash64("nid"), F.when(F.col("side"), F.col("high")).otherwise(F.col("wide"))).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("side"), F.col("high")).otherwise(F.col("wide"))).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
     places = F.when(~F.col("side"), F.transform(every(F.col("high")), lambda b: F.struct(F.col("mine").alias("a"), b.alias("b")))).otherwise(
         F.concat(
@@ -343,17 +352,23 @@ def _later_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, p: Par
             F.transform(every(F.col("high")), lambda b: F.struct((-1 - F.least("mine", b)).alias("a"), F.greatest("mine", b).alias("b"))),
         )
     )
-    dealt = dealt.withColumn("mine", mine).select("key", "nid", "n", "pos", "side", "mine", F.explode(places).alias("at")).select("key", "at.a", "at.b", "nid", "n", "pos", "side", "mine")
-    full = _tile_rows(dealt, labelled, ["key", "a", "b"], ["n", "node", "pos", "label", "side", "mine", "bits"])
-
-    def pairs(place, tile):
-        codes: dict[bytes, int] = {}
-        n, pos = np.array([r[0] for r in tile]), np.array([r[2] for r in tile])
-        label = np.array([codes.setdefault(r[3], len(codes)) for r in tile])
-        if len(codes) < 2:
+    dealt = dealt.withColumn("mine", mine).select("key", "node", "n", "pos", "label", "side", "mine", F.explode(places).alias("at"))
+    full = _dealt(dealt.select("key", "at.a", "at.b", "node", "n", "pos", "label", "side", "mine").join(arrays, "node"), ["key", "a", "b"], ["n", "node", "pos", "label", "side", "mine", "hashes"])
+
+    def links(place, tile):
+        up: dict[bytes, bytes] = {}
+
+        def root(x):
+            while (y := up.get(x, x)) != x:
+                x = y
+            return x
+
+        if len({r[3] for r in tile}) < 2:
             return
-        side, mine = np.array([r[4] for r in tile]), np.array([r[5] for r in tile])
-        words = [np.frombuffer(r[6], np.uint64) for r in tile]
+        n, pos, side, mine = (np.array([r[k] for r in tile]) for k in (0, 2, 4, 5))
+        sets = [np.frombuffer(r[6], np.uint64) for r in tile]
+        words = [np.frombuffer(bitmap(x, p.max_bits), np.uint64) for x in sets]
+        label = [r[3] for r in tile]
         widths = np.array([len(w) for w in words])
         stacks, starts = {}, {}
         for width in np.unique(widths):  # rows are in order of n, so rows of one width stand together
@@ -368,19 +383,23 @@ def _later_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, p: Par
                 if a >= b:
                     continue
                 x, y = n[i] - pos[i], n[a:b] - pos[a:b]
-                fits = (label[a:b] != label[i]) & (p.den * np.minimum(x, y) >= p.num * (pos[i] + pos[a:b] + np.maximum(x, y)))
+                fits = p.den * np.minimum(x, y) >= p.num * (pos[i] + pos[a:b] + np.maximum(x, y))
                 if across:
                     fits &= side[a:b] != side[i]
                 elif halves:
                     fits &= mine[a:b] != mine[i]
                 other = np.flatnonzero(fits) + a
-                if len(other):
-                    top = most_overlap(fold(words[i], width), n[i], stack[other - starts[width]], n[other])
-                    for j in other[p.den * top >= p.num * (n[i] + n[other] - top)]:
+                if not len(other):
+                    continue
+                top = most_overlap(fold(words[i], width), n[i], stack[other - starts[width]], n[other])
+                for j in other[p.den * top >= p.num * (n[i] + n[other] - top)]:
+                    one, two = root(label[i]), root(label[j])
+                    if one != two and _linked(sets[i], sets[j], p):
+                        up[one] = two
                         yield min(tile[i][1], tile[j][1]), max(tile[i][1], tile[j][1])
 
     def run(batches):
-        for out in in_lots(x for place, tile in _tiles_of(in_slices(batches, 9), 3) for x in pairs(place, tile)):
+        for out in in_lots(x for place, tile in _tiles_of(in_slices(batches, 9), 3) for x in links(place, tile)):
             u, v = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], schema=_pairs_schema())
 
@@ -408,7 +427,7 @@ def components(docs: DataFrame, params: Params = Params()) -> DataFrame:
     of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
     other = pairs.filter("not first").select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left")
     other = other.filter(F.coalesce("label_u", "u") != F.coalesce("label_v", "v")).select("u", "v")
-    across = _exact(other.unionByName(_later_pairs(members, nodes, labels, p)).distinct(), docs, nodes, p, "across")
+    across = _exact(other, docs, nodes, p, "across").unionByName(written(_later_links(members, docs, nodes, labels, p), "later-links"))
     if across.take(1):
         labels = connected(links.unionByName(across))
     named = nodes.select("node", "doc").join(labels, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))

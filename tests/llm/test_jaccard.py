@@ -46,7 +46,7 @@ def corpus(seed, n=150, words=40):
 def test_equals_brute_force(spark, seed, shingle, num, tile):
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    got = J.components(df, J.Params(shingle=shingle, num=num, tile_rows=tile, small_tile=2 if tile < 100 else 16)).collect()
+    got = J.components(df, J.Params(shingle=shingle, num=num, tile_rows=tile, tile_shingles=30 * tile, small_tile=2 if tile < 100 else 16)).collect()
     assert sorted(map(tuple, got)) == brute(docs, shingle, num)
 
 
@@ -71,7 +71,7 @@ def test_a_large_group_of_near_copies(spark):
         w[rng.randrange(120)] = f"n{i}"
         docs.append((i, " ".join(w)))
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    assert {r.component_id for r in J.components(df, J.Params(tile_rows=50)).collect()} == {0}
+    assert {r.component_id for r in J.components(df, J.Params(tile_rows=50, tile_shingles=4000)).collect()} == {0}
 
 
 def test_bitmaps_never_rule_out_a_pair():
@@ -118,7 +118,7 @@ def test_look_alikes_in_many_components(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     want = brute(docs, 1, 90)
     assert 3 < len({c for _, _, c in want}) < 120
-    for p in (J.Params(shingle=1, num=90, tile_rows=10, small_tile=2), J.Params(shingle=1, num=90)):
+    for p in (J.Params(shingle=1, num=90, tile_rows=10, tile_shingles=600, small_tile=2), J.Params(shingle=1, num=90)):
         assert sorted(map(tuple, J.components(df, p).collect())) == want
 
 
