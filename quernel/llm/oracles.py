@@ -64,9 +64,7 @@ FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id GROUP BY d.doc_id, d.text
 
 
 def quality_sql(p: quality.Params = quality.Params()) -> str:
-    grid = ", ".join(f"('{f}', {c})" for f, cs in p.grid().items() for c in cs)
-    over = " OR ".join(f"coalesce({f} > (SELECT min(cutoff) FROM cert WHERE cert.stratum = r.stratum AND feature = '{f}'), false)" for f in p.grid())
-    value = "CASE feature " + " ".join(f"WHEN '{f}' THEN {f}" for f in p.grid()) + " END"
+    step = "least(" + ", ".join(f"CASE WHEN {f} > {c} THEN {k} END" for k, (f, c) in enumerate(p.steps(), 1)) + ")"
     return f"""
 WITH w AS (SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
@@ -77,10 +75,11 @@ b AS (SELECT w.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(a
       CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines FROM w JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
 r AS (SELECT *, coalesce(1000 * n_symbols // nullif(word_chars, 0), 0) AS symbol_rate, coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0) AS dup_line_rate,
       coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) AS repeat_rate, coalesce(1000 * word_chars // nullif(n_words, 0), 0) AS long_word FROM b),
-h AS (SELECT stratum, feature, cutoff, count(*) AS n, count(*) FILTER (WHERE {value} > cutoff) AS k FROM r, (VALUES {grid}) q(feature, cutoff) WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
-cert AS (SELECT stratum, feature, cutoff FROM h WHERE k < n * {p.risk} AND list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p.risk}) + (n - i) * ln(1 - {p.risk})) for i in range(k + 1)]) <= {p.delta} / (SELECT count(*) FROM h))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {p.min_words} OR 100 * n_repeat_words > {p.repeat_percent} * n_words AS base_failed,
-       NOT (n_words < {p.min_words} OR 100 * n_repeat_words > {p.repeat_percent} * n_words) AND NOT ({over}) AS kept FROM r
+f AS (SELECT *, n_words < {p.min_words} OR 100 * n_repeat_words > {p.repeat_percent} * n_words AS base_failed, {step} AS step FROM r),
+g1 AS (SELECT stratum, step FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+h AS (SELECT stratum, cut, count(*) AS n, count(*) FILTER (WHERE step <= cut) AS k FROM g1, range(1, {len(p.steps()) + 1}) q(cut) GROUP BY ALL),
+cert AS (SELECT stratum, CAST(max(cut) AS INT) AS cut FROM h WHERE k < n * {p.risk} AND list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p.risk}) + (n - i) * ln(1 - {p.risk})) for i in range(k + 1)]) <= {p.delta} / (SELECT count(DISTINCT stratum) FROM g1) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(step <= cut, false) AS kept, step, cut FROM f LEFT JOIN cert USING (stratum)
 """
 
 

@@ -1,13 +1,13 @@
 """Quality rules with risk-controlled thresholds, in DataFrame operations only.
 
-For each stratum (language) and feature, labelled good documents show how many a cutoff would reject wrongly. A cutoff
-is certified when the exact binomial probability of so few false rejections, were the true rate `risk` or more, is at
-most `delta` divided by the number of all tests (Bonferroni). The strictest certified cutoff applies; a stratum and
-feature without one rejects nothing. So with probability 1 - delta every feature rejects less than `risk` of the good
-documents of every stratum.
-
-With `sequence`, the cutoffs of a stratum and feature are tested from the mildest to the strictest, up to the first that
-fails. As they are nested, each may be tested at delta divided by strata x features only, and the bounds hold as before.
+The rules are cutoffs of four features, in one fixed ladder from mild to strict: each step lowers the cutoff of one
+feature, so what a step rejects the next one rejects too. For each stratum (language), labelled good documents that pass
+the base rule show how many of them a step would reject wrongly. A step is certified when the exact binomial probability
+of so few false rejections, were the true rate `risk` or more, is at most `delta` divided by the number of strata
+(Bonferroni). The steps of a stratum are tested in order, up to the first that fails; in such a fixed sequence of nested
+rules each may be tested at the same level. So with probability 1 - delta the verdict rejects less than `risk` of the good
+documents of every stratum, over all features together. A stratum without a certified step rejects nothing beyond the
+base rule; with s strata it takes log(delta / s) / log(1 - risk) labelled good documents to certify one.
 """
 
 from __future__ import annotations
@@ -25,24 +25,18 @@ WINDOW = 5  #: words of a repeat window
 
 @dataclass(frozen=True)
 class Params:
-    risk: float = 0.0025  #: bound on the rate of good documents rejected, per feature and stratum
+    risk: float = 0.025  #: bound on the rate of good documents that the verdict rejects, per stratum
     delta: float = 0.05  #: chance that any of the bounds fails
     min_words: int = 10
     repeat_percent: int = 20
-    sequence: bool = False  #: correct for strata and features only
-    #: Candidate cutoffs per feature, in thousandths; a document with more is rejected.
-    cutoffs: dict = None
+    #: (feature, cutoff in thousandths) from mild to strict; a document with more is rejected.
+    ladder: tuple[tuple[str, int], ...] = ()
 
-    def grid(self) -> dict[str, tuple[int, ...]]:
-        return self.cutoffs or {
-            "symbol_rate": (10, 20, 40, 60, 80, 100, 150, 200, 300, 400),
-            "dup_line_rate": (50, 100, 150, 200, 300, 400, 500, 600, 700, 800),
-            "repeat_rate": (20, 40, 60, 80, 100, 120, 140, 160, 180, 200),
-            "long_word": (8000, 9000, 10000, 11000, 12000, 14000, 16000, 20000, 30000, 50000),
-        }
-
-#: Cutoffs in sequence, at a risk that 574 labelled good documents of each of four languages can certify.
-SEQUENCE = Params(risk=0.01, sequence=True)
+    def steps(self) -> tuple[tuple[str, int], ...]:
+        """The ladder: symbols first, as junk is full of them and prose has none; then the others in turn."""
+        symbols = (400, 300, 200, 150, 100, 80, 60, 40, 20, 10)
+        others = {"long_word": (50000, 30000, 20000, 16000, 14000, 12000, 11000, 10000, 9000, 8000), "dup_line_rate": (800, 700, 600, 500, 400, 350, 300, 250, 200, 150), "repeat_rate": (200, 190, 180, 170, 160, 150, 140, 120, 100, 80)}
+        return self.ladder or (*(("symbol_rate", c) for c in symbols), *((f, cs[i]) for i in range(10) for f, cs in others.items()))
 
 
 def words_of(text: Column) -> Column:
@@ -127,44 +121,38 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * F.lit(p), F.lit(1.0)).otherwise(F.least(F.lit(1.0), summed))
 
 
+def rejecting_step(p: Params) -> Column:
+    """The first step of the ladder (from 1) that rejects a row with the four rates; null if none does."""
+    return F.array_min(F.array(*(F.when(F.col(f) > c, k) for k, (f, c) in enumerate(p.steps(), 1))))
+
+
 def certified(holdout: DataFrame, p: Params = Params()) -> DataFrame:
-    """The strictest certified cutoff of each stratum and feature: stratum and one column a feature, null for none.
+    """stratum and cut, the last certified step of its ladder, for the strata that have one.
 
-    holdout has stratum and the four rates of labelled good documents.
+    holdout has stratum and step (rejecting_step) of labelled good documents.
     """
-    grid = p.grid()
-    counts = [F.count_if(F.col(f) > c).alias(f"{f}__{c}") for f, cs in grid.items() for c in cs]
-    wide = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
-    tests = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(c).alias("cutoff"), F.col(f"{f}__{c}").alias("k")) for f, cs in grid.items() for c in cs)))
-    tall = wide.select("stratum", "n", tests.alias("t")).select("stratum", "n", "t.*")
-    m = F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))  # the number of tests: strata x features x cutoffs, a small table
-    if p.sequence:  # fewer false rejections have a smaller tail, so those that pass are the mildest ones up to the first that fails
-        m = m * F.lit(len(grid)) / F.lit(sum(map(len, grid.values())))
-    tail = tall.withColumn("tests", m).withColumn("p_value", binomial_tail(F.col("n"), F.col("k"), p.risk))
-    passed = tail.filter(F.col("p_value") <= p.delta / F.col("tests"))
-    return passed.groupBy("stratum").agg(*(F.min(F.when(F.col("feature") == f, F.col("cutoff"))).alias(f"max_{f}") for f in grid))
+    tall = holdout.groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("k"))  # strata x steps at most
+    sizes = tall.groupBy("stratum").agg(F.sum("k").alias("n"), F.collect_list(F.struct("step", "k")).alias("by_step"))
+    sizes = sizes.withColumn("strata", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))))
+    # fewer false rejections have a smaller tail, so the steps that pass are the first ones up to the one that fails
+    each = sizes.select("stratum", "n", "strata", "by_step", F.explode(F.sequence(F.lit(1), F.lit(len(p.steps())))).alias("cut"))
+    wrong = F.aggregate(F.filter("by_step", lambda x: x["step"] <= F.col("cut")), F.lit(0).cast("bigint"), lambda acc, x: acc + x["k"])
+    return each.filter(binomial_tail(F.col("n"), wrong, p.risk) <= p.delta / F.col("strata")).groupBy("stratum").agg(F.max("cut").alias("cut"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
-    """The columns of judged() without n_certified."""
-    return judged(docs, labels, params).drop("n_certified")
-
-
-def judged(docs: DataFrame, labels: DataFrame, params: Params = SEQUENCE) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_certified for every row
-    of docs; n_certified is the number of features with a cutoff in its stratum, 0 where only the base rule rejects.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, step, cut for every row of
+    docs: step is the first of the ladder that rejects it (null if none), cut the stratum's last certified one (null: none).
 
     labels has doc_id and quality (1: good); other values, nulls and ids without a document teach nothing, repeated
-    labels count once. A stratum without enough labels rejects nothing beyond the base rule. Repeated documents give
-    repeated rows. The features are written to the shared folder once, so whole texts are read a single time.
+    labels count once. Null text has no words, null lang is a stratum of its own; empty tables give empty ones or no cut.
+    Very long texts count whole. Repeated documents give repeated rows, judged alike. The features are written to the
+    shared folder once, so whole texts are read a single time.
     """
-    rates = _rates()
-    base = written(features(docs), "quality").select("*", *(v.alias(k) for k, v in rates.items()))
-    good = labels.filter(F.col("quality") == 1).select("doc_id").distinct()
-    cut = certified(base.join(good, "doc_id", "left_semi"), params)
     failed = (F.col("n_words") < params.min_words) | (100 * F.col("n_repeat_words") > params.repeat_percent * F.col("n_words"))
-    over = F.lit(False)
-    for f in params.grid():
-        over = over | F.coalesce(F.col(f) > F.col(f"max_{f}"), F.lit(False))
-    n_certified = sum((F.col(f"max_{f}").isNotNull().cast("bigint") for f in params.grid()), F.lit(0).cast("bigint"))
-    return base.join(cut, "stratum", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~over).alias("kept"), n_certified.alias("n_certified"))
+    base = written(features(docs), "quality").select("*", *(v.alias(k) for k, v in _rates().items()))
+    base = base.select("doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), rejecting_step(params).alias("step"))
+    good = labels.filter(F.col("quality") == 1).select("doc_id").distinct()
+    cut = certified(base.filter("not base_failed").join(good, "doc_id", "left_semi"), params)
+    over = F.coalesce(F.col("step") <= F.col("cut"), F.lit(False))
+    return base.join(cut, "stratum", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~over).alias("kept"), "step", "cut")
