@@ -134,3 +134,55 @@ def test_articles_of_the_tables(spark):
     for r in table.collect():
         body = re.search("<article>(.*)</article>", r.html, re.S)[1]
         assert got[r.page_id] == " ".join(html.unescape(re.sub("</?b>", "", re.sub("</?(?:p|h1|br)>", " ", body))).split())
+
+
+def test_names_do_not_empty_articles():
+    for page, want in (
+        ('<main class="with-sidebar">one two</main>', "one two"),
+        ('<article class="post has-comments">text <p>more</p></article>', "text more"),
+        ('<div class="ad-free">all of it</div>', "all of it"),
+        ('<article>see <a class="related-link">this</a><section id="related-work"><p>work</p></section></article>', "see this work"),
+        ('<article class="comment">main</article>', "main"),
+        ('<article>a<div class="comments-area">c</div><div id="site-footer">f</div><div class="ad-slot-3">x</div><span class="ad">y</span><article class="comment">z</article></article>', "a"),
+    ):
+        assert html_text.main_text(page) == want, page
+
+
+def test_templates_alone_remove_what_recurs(spark):
+    """Without name rules and without the article rule: recurring blocks of sf0.1 go, and no article text does."""
+    import re
+    from collections import Counter, defaultdict
+
+    p = html_text.Params(names=False, guard=False)
+    table = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(table, p).collect()}
+    whole = {r.page_id: r.text for r in html_text.extract(table).collect()}
+    holds, blocks = defaultdict(set), {}
+    for r in table.collect():
+        host = re.sub(r"^.*?://([^/?#]*).*", r"\1", r.url).lower()
+        blocks[r.page_id] = [(host, b) for b in re.findall(r"<nav>.*?</nav>|<footer>.*?</footer>|<div class=\"ad\">.*?</div>", r.html, re.S)]
+        for b in blocks[r.page_id]:
+            holds[b].add(whole[r.page_id])
+    often = {b for b, texts in holds.items() if len(texts) >= p.least_pages}
+    assert len(often) >= 100
+    for i, text in got.items():
+        assert whole[i] in text
+        left = text.replace(whole[i], "", 1).split()
+        rest = [html_text.main_text(b, (), p) for b in (x for _, x in (k for k in blocks[i] if k not in often))]
+        assert Counter(left) <= Counter(" ".join(rest).split()), i  # items of other menus may recur on their own
+
+
+def test_many_templates_are_joined_by_page(spark, monkeypatch):
+    shell = "<div><p>Our site since 1999</p></div><article><p>story {0}</p></article><p>All rights kept {1}</p>"
+    rows = [(i, "http://a.org/1", shell.format(i, i % 2)) for i in range(12)] + [(99, None, "<p>Our site since 1999</p>"), (99, None, "<p>Our site since 1999</p>")]
+    p = html_text.Params(names=False, guard=False)
+    want = sorted(map(tuple, html_text.extract(pages(spark, rows), p).collect()), key=repr)
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, html_text.extract(pages(spark, rows), p).collect()), key=repr) == want
+    assert [r[2] for r in want if r[0] == 3] == ["story 3"] and [r[2] for r in want if r[0] == 99] == ["Our site since 1999"] * 2
+
+
+def test_a_very_long_page(spark):
+    page = "<article>" + "<p>word and word</p>" * 150_000 + "</article>"
+    row = html_text.extract(pages(spark, [(1, "http://h/1", page)])).first()
+    assert row.n_chars == 150_000 * 14 - 1 and row.text.startswith("word and word word")
