@@ -60,13 +60,52 @@ def test_audit_finds_each_damage(spark):
     bad = {r.key: r.status for r in got if r.status != "ok"}
     assert bad == {300: "missing", 5000: "extra", 6: "corrupt", 8100: "corrupt", 12: "corrupt"}
     by = {r.key: r for r in got}
-    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: http://h/3\r\nContent-Type: text/html\r\nContent-Length: 18\r\n\r\nbody 3body 3body 3\r\n\r\n"
+    record = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:3>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: http://h/3\r\nContent-Type: text/html\r\nContent-Length: 18\r\n\r\nbody 3body 3body 3\r\n\r\n"
     assert by[3].sha256 == hashlib.sha256(record).hexdigest() and by[3].n_bytes == len(record) and by[3].offset == by[0].n_bytes
     assert all(r.status == "ok" for r in fixity.audit(ours, ours).collect())
     assert fixity.audit(ours.limit(0), ours.limit(0)).collect() == []
     assert {r.status for r in fixity.audit(ours.limit(0), ours).collect()} == {"extra"}
 
 
+def test_volumes_on_disk(spark, tmp_path):
+    """Records written as WARC files are read back from their bytes; a flipped byte and a lost file are located."""
+    rows = [(i, f"http://h/{i}" if i % 5 else None, f"body é {i}\r\n\r\nWARC/1.1\r\n" * (i % 4)) for i in range(0, 300)] + [(300, "u\r\nX: y", None), (301, "long", "z" * 2_000_000), (None, "n", "null id")]
+    ours = pages(spark, rows)
+    p = fixity.Params(fanout=4, levels=2)
+    fixity.write_volumes(ours, f"file://{tmp_path}/w", p)
+    back = fixity.read_volumes(spark, f"file://{tmp_path}/w", p)
+    want = fixity.records(ours, p)
+    assert sorted(back.select(want.columns).collect()) == sorted(want.collect())
+    by = {r.key: r for r in back.collect()}
+    assert by[7].payload.decode() == rows[7][2] and by[7].uri == "http://h/7" and by[0].uri is None and by[300].uri == "u%0D%0AX: y"
+    files = {f.parent.name: f for f in tmp_path.glob("w/volume=*/part*")}
+    data = bytearray(files["volume=6"].read_bytes())
+    at = data.index(b"body \xc3\xa9 102")
+    data[at] ^= 1
+    files["volume=6"].write_bytes(data)
+    files["volume=9"].unlink()
+    for f in tmp_path.glob("w/volume=*/.*.crc"):
+        f.unlink()
+    got = fixity.audit_records(want, fixity.read_volumes(spark, f"file://{tmp_path}/w", p), p)
+    assert {r.key: r.status for r in got.filter("status != 'ok'").collect()} == {102: "corrupt"} | {k: "missing" for k in range(144, 160)}
+
+
+def test_a_lost_record_only_changes_the_nodes_above_it(spark):
+    rows = [(i, "u", f"{i}") for i in range(256)]
+    p = fixity.Params(fanout=4, levels=4)
+    levels = [fixity.tree(fixity.slots(fixity.records(pages(spark, x), p)), "t", p) for x in (rows, [r for r in rows if r[0] != 37])]
+    differing = [{r.node for r in fixity._differing(a, b, "node").collect()} for a, b in zip(*levels)]
+    assert differing == [{37 // 4}, {37 // 16}, {37 // 64}, {0}]
+    moved = fixity.records(pages(spark, rows), p).withColumn("n_bytes", F.when(F.col("slot") == 40, F.col("n_bytes") + 1).otherwise(F.col("n_bytes")))
+    assert [r.node for r in fixity._differing(levels[0][0], fixity.tree(fixity.slots(moved), "t", p)[0], "node").collect()] == [10]  # ranges count too
+
+
+def test_many_records_with_one_key(spark):
+    rows = [(5, "u", f"{i}") for i in range(500)]
+    ours, theirs = pages(spark, rows), pages(spark, rows[1:] + [(5, "u", "other")])
+    assert [r.status for r in fixity.audit(ours, ours).collect()] == ["ok"] and [r.status for r in fixity.audit(ours, theirs).collect()] == ["corrupt"]
+
+
 def test_audit_sql(spark):
     path = "/root/testdata/sf0.001/pages.parquet"
     table = spark.read.parquet(path)
