@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from quernel.llm import decontaminate, fixity, jaccard, line_dedup, quality
+from quernel.llm import decontaminate, fixity, jaccard, line_dedup, quality, url_rules
 
 _SPACES = r"[\x20\x09-\x0D]"
 
-URL_SQL = r"""
+_any = lambda words: "|".join(words)  # noqa: E731  words, hyphens and underscores only
+URL_SQL = rf"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM u),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path,
+      translate(regexp_extract(rest, '^[^#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM u),
 r AS (SELECT * FROM (VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'), ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')) t(rule, h, start, says)),
 f AS (SELECT DISTINCT p.host, p.path, r.rule, r.says FROM p JOIN r ON (p.host = r.h OR suffix(p.host, '.' || r.h)) AND starts_with(p.path, r.start)),
 b AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says FROM f GROUP BY ALL)
 SELECT p.page_id, p.host, p.path, b.rule,
-       coalesce(b.says, CASE WHEN regexp_matches(p.host || p.path, '^([^/?#]*[.-])?(spam|pills|casino|bets|ads|viagra|porn|poker|malware)([.-]|[/?#:]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(b.says, CASE WHEN regexp_matches(low, '^([^/?]*[.-])?({_any(url_rules.HOST_WORDS)})([.-]|[/?:]|$)') OR regexp_matches(low, '^[^/?]*/([^?]*/)?({_any(url_rules.PATH_PARTS)})([/?.]|$)')
+                               OR regexp_matches(low, '\?(.*&)?({_any(url_rules.QUERY_KEYS)})=') THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN b ON b.host = p.host AND b.path = p.path
 """
 

@@ -4,7 +4,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from quernel.llm import fixity, html_text, url_rules
+from quernel.llm import fixity, html_text, oracles, url_rules
 
 PAGES = "page_id bigint, url string, html string, host string, rule string, text string"
 
@@ -47,6 +47,44 @@ def test_rules(spark):
     assert url_rules.judge(pages(spark, []).limit(0)).collect() == []
 
 
+def test_every_rule_on_every_url(spark):
+    """Fetching rules by their rarest token gives what running each rule on each URL gives."""
+    import re
+
+    rng = random.Random(6)
+    words = [r.name.split(":")[1] for r in url_rules.WORDS] + ["a", "news", "x1", "Login", "CART", "en", "example", "blog-ads", "poker2"]
+    part = lambda: rng.choice(words)
+    urls = []
+    for _ in range(1500):
+        path = "".join("/" + part() + rng.choice(["", "", ".html", "-x", "/"]) for _ in range(rng.randint(0, 3)))
+        query = rng.choice(["", "", f"?{part()}=1", f"?a=b&{part()}=2&c", f"?{part()}", f"#{part()}="])
+        urls.append(f"http://{rng.choice(['', 'www.', part() + '.', part() + '-'])}{part()}{rng.choice(['.com', '.net', '.org', ':80'])}{path}{query}")
+    got = {r.page_id: r for r in url_rules.judge(pages(spark, [(i, u, "") for i, u in enumerate(urls)])).collect()}
+    low = str.maketrans(url_rules.UPPER, url_rules.LOWER)
+    verdicts = []
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1].split("#")[0]
+        cut = min([rest.find(c) for c in "/?" if c in rest] or [len(rest)])
+        place = rest[:cut].translate(low) + rest[cut:]
+        fit = [r for r in url_rules.CONTRACT if re.search(r.pattern, place)]
+        if fit:
+            best = max(fit, key=lambda r: len(r.name))
+            want = (best.name, best.verdict)
+        else:
+            want = (None, "block" if any(re.search(r.pattern, place.translate(low)) for r in url_rules.WORDS) else "allow")
+        assert (got[i].rule, got[i].verdict) == want, u
+        verdicts.append(want[1])
+    assert len(url_rules.WORDS) > 100 and 200 < verdicts.count("allow") < 1300
+    db = duckdb.connect()
+    db.execute("create table pages(page_id bigint, url varchar)").executemany("insert into pages values (?, ?)", list(enumerate(urls)))
+    assert sorted(db.sql(oracles.URL_SQL).fetchall(), key=repr) == sorted(map(tuple, got.values()), key=repr)
+
+
+def test_a_very_long_url(spark):
+    url = "http://a.com/" + "x/" * 300_000 + "login?q"
+    assert url_rules.judge(pages(spark, [(1, url, "")])).first().verdict == "block"
+
+
 # fixity
 
 
