@@ -3,7 +3,7 @@
 Each language gets a codeword; one binary n-gram classifier per code bit scores a text, and loss-weighted decoding
 picks the nearest codeword. Evidence grows with the square root of a text's n-grams, so the gap between the two nearest
 codewords is measured in units of it; a small gap is flagged as ambiguous: mixed texts, and other languages than those
-learned. A text that is ambiguous and far from every codeword is in none of the languages.
+learned. A text whose n-grams give no bit's classifier any evidence to speak of is in none of the languages.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ class Params:
     per_lang: int = 4000  #: training documents per language, about; the bound of the sample
     dense_bits: int = 48  #: code length for more than 6 languages
     ambiguous_below: float = 1.0  #: least gap between the losses of the two nearest codewords, per root of the n-grams
-    far_above: float = 0.45  #: loss a bit of the nearest codeword from which on an ambiguous text is in no learned language
+    least_evidence: float = 0.45  #: log odds an n-gram of the bit that tells most, below which a text is in no learned language
     smooth: float = 2e-5
 
 
@@ -70,18 +70,19 @@ class Model:
     params: Params
 
     def judge(self, text: str | None) -> tuple[str, float, bool, bool]:
-        """(language, score, ambiguous, far); `und`, 0, True, True if there is no text, no letter in it or no model."""
+        """(language, score, ambiguous, foreign); `und`, 0, True, True if there is no text, no letter in it or no model."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, True, True
         if len(self.langs) == 1:
             return self.langs[0], 1.0, False, False
         x = features(text, self.params.dims)
         root = np.sqrt(x.sum())
-        loss = np.logaddexp(0.0, -self.code * (x @ self.weights / root)) @ self.bit_weight
+        z = x @ self.weights / root
+        loss = np.logaddexp(0.0, -self.code * z) @ self.bit_weight
         order = np.argsort(loss, kind="stable")
         p = np.exp(loss[order[0]] - loss)
         ambiguous = bool(loss[order[1]] - loss[order[0]] < self.params.ambiguous_below * root)
-        return self.langs[order[0]], float(1 / p.sum()), ambiguous, ambiguous and bool(loss[order[0]] >= self.params.far_above * len(self.bit_weight))
+        return self.langs[order[0]], float(1 / p.sum()), ambiguous, bool(np.abs(z).max() < self.params.least_evidence * root)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, ambiguous)."""

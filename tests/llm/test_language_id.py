@@ -118,7 +118,13 @@ def test_flags_mixed_and_foreign_texts():
     mixed = [model.judge(a[:300] + " " + b[:300]) for x in by for y in by if x < y for a, b in zip(by[x], by[y])]
     assert sum(j[2] for j in alone) <= 0.01 * len(alone) and not any(j[3] for j in alone)
     assert sum(j[2] for j in mixed) >= 0.7 * len(mixed)
-    assert all(model.judge(t)[3] for t in ("xyzzy qqq www kkk zzz", "日本語のテキストです。これは"))
+    assert not any(j[3] for j in mixed)
+    assert all(model.judge(t)[3] for t in ("привет как дела мой друг", "日本語のテキストです。これは", "ελληνικά κείμενο για δοκιμή " * 30))
+
+
+def test_the_stage_keeps_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert L.keep_identified(docs).count() == docs.filter("text rlike '\\\\p{L}'").count()
 
 
 def test_many_labels_and_a_very_long_text(spark):
