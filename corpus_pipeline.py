@@ -18,7 +18,7 @@ NEAR = jaccard.Params(shingle=5, num=80)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the learned languages go: no text, no letter in it, or far from every codeword.
+    """Documents in none of the learned languages go: no text, no letter in it, or without evidence for any of them.
 
     A null lang teaches nothing; a null id is learned from like others. Repeated rows are judged alike.
     """
