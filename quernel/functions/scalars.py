@@ -56,6 +56,34 @@ def sortable_long(x: Column) -> Column:
     return F.lpad(F.hex(x.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
 
 
+def sortable_double(x: Column) -> Column:
+    """16 hex digits whose order as text is IEEE 754's total order: -NaN, -inf, negative, -0, 0, positive, inf, NaN."""
+    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), x.cast("double")).cast("bigint")
+    return F.when(x.isNotNull(), F.lpad(F.hex(F.when(bits < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseXOR(F.lit(-(1 << 63))))), 16, "0"))
+
+
+def index_value(value: Column) -> Column:
+    """The key part of a VARIANT value in an index, as hex: null, true and false by name, numbers sortable, text as it is.
+
+    Whole numbers and others have encodings of their own. Arrays and objects cannot be indexed: an error.
+    """
+    kind = F.schema_of_variant(value)
+    text = lambda s: F.hex(F.encode(s, "UTF-8"))
+    get = lambda t: F.try_variant_get(value, "$", t)
+    name = F.when(value.isNull() | (kind == "VOID"), text(F.lit("null"))).when(kind == "BOOLEAN", text(get("boolean").cast("string"))).when(kind == "BIGINT", sortable_long(get("bigint")))
+    number = kind.rlike("^(DOUBLE|FLOAT|DECIMAL)")
+    return name.when(number, sortable_double(get("double"))).when(kind == "STRING", text(get("string"))).otherwise(F.raise_error(F.lit("arrays and objects cannot be indexed")).cast("string"))
+
+
+def order_of(value: Column) -> list[Column]:
+    """Sort keys of mixed VARIANT values: null or absent, then booleans, numbers, text, then others by their JSON."""
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    rank = F.when(kind == "VOID", 0).when(kind == "BOOLEAN", 1).when(number, 2).when(kind == "STRING", 3).otherwise(4)
+    get = lambda t: F.try_variant_get(value, "$", t)
+    return [rank, F.when(kind == "BOOLEAN", get("boolean").cast("double")).when(number, get("double")), F.when(kind == "STRING", get("string")).when(rank == 4, F.to_json(value))]
+
+
 def scope_of(entity: Column, id_: Column, scopes: dict[str, str], fields: dict[str, Column]) -> Column:
     """`parent/value` of an event: its own id where the entity is the scope's, else the scope field's value, else null."""
     out = F.lit(None).cast("string")
@@ -74,11 +102,6 @@ def event_topic(root: str, entity: Column, operation: Column, id_: Column, parti
     return F.when(scope.isNull(), plain).otherwise(F.concat_ws("/", F.lit(root), scope, entity, F.lit("events"), verb))
 
 
-def expires_at(now: Column, ttl_s: Column) -> Column:
-    """now + ttl in epoch seconds; null where there is no ttl."""
-    return F.when(ttl_s.isNotNull(), now.cast("bigint") + ttl_s.cast("bigint"))
-
-
 def is_kind(kind: T.DataType, wanted: FieldType) -> bool:
     """Whether a column of this Spark type holds values of a declared type."""
     return {

@@ -119,22 +119,44 @@ def without_grants(shares: DataFrame, deleted: DataFrame) -> DataFrame:
     return shares.join(gone, ["resource_entity", "resource_id"], "left_anti")
 
 
-#: The tiers of the topic space, the first match decides.
-PROTECTION = (
-    ("$DB/_idx/#", "block"),
-    ("$DB/_unique/#", "block"),
-    ("$DB/_fk/#", "block"),
-    ("$DB/_query/#", "block"),
-    ("$DB/p+/#", "block"),
-    ("$DB/_admin/#", "admin"),
-    ("$DB/_oauth_tokens/#", "block"),
-    ("$DB/+/events/#", "read_only"),
-    ("$SYS/#", "read_only"),
-)
-
-
-def protection(topics: DataFrame, rules=PROTECTION) -> DataFrame:
-    """topics (topic) with tier: that of the first rule that matches; internal entities need an admin; else open."""
-    level = F.concat(F.lit("/"), F.col("topic"))
-    tier = reduce(lambda rest, rule: F.when(level.rlike(protection_regex(rule[0])), rule[1]).otherwise(rest), reversed(rules), F.when(F.col("topic").rlike(r"^\$DB/_"), "admin").otherwise("open"))
-    return topics.withColumn("tier", tier)
+def protection_rules(root: str = "quernel") -> tuple[tuple[str, str], ...]:
+    """The tiers of the topic space, of which the first match decides; root is the product's own name in it."""
+    # fixed values
+    return (
+        (f"_{root}/#", "block"),
+        ("$DB/_idx/#", "block"),
+        ("$DB/_unique/#", "block"),
+        ("$DB/_fk/#", "block"),
+        ("$DB/_query/#", "block"),
+        ("$DB/p+/#", "block"),
+        ("$DB/+/events/#", "read_only"),
+        ("$DB/u/#", "read_only"),
+        ("$DB/_sub/#", "write_only"),
+        (f"$SYS/{root}/cluster/#", "admin"),
+        ("$SYS/#", "read_only"),
+        ("$DB/_verify/#", "admin"),
+    )
+
+
+#: Internal entities that anyone may address.
+OPEN_INTERNAL = ("_health", "_vault", "_auth", "_verify")
+
+
+def tier_of(topic: Column, rules=protection_rules()) -> Column:
+    """The tier of the first rule that matches; internal entities need an admin; else open."""
+    level = F.concat(F.lit("/"), topic)
+    entity = F.regexp_extract(topic, r"^\$DB/([^/]*)", 1)
+    internal = entity.startswith("_") & ~entity.isin(*OPEN_INTERNAL)
+    return reduce(lambda rest, rule: F.when(level.rlike(protection_regex(rule[0])), rule[1]).otherwise(rest), reversed(rules), F.when(internal, "internal").otherwise("open"))
+
+
+def protection(topics: DataFrame, rules=protection_rules()) -> DataFrame:
+    """topics (topic) with tier."""
+    return topics.withColumn("tier", tier_of(F.col("topic"), rules))
+
+
+def topic_access(requests: DataFrame, rules=protection_rules()) -> DataFrame:
+    """requests (topic, publish, admin) with tier and refused: why the topic is out of reach; null where it is not."""
+    tier, publish, admin = F.col("tier"), F.col("publish"), F.col("admin")
+    refused = F.when(tier == "block", "blocked").when((tier == "read_only") & publish, "read_only").when((tier == "write_only") & ~publish, "write_only").when(tier.isin("admin", "internal") & ~admin, tier)
+    return protection(requests, rules).withColumn("refused", refused)

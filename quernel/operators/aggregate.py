@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quernel.operators.constraints import kept
+from quernel.operators.constraints import written
 from quernel.operators.listing import where
 
 
@@ -46,7 +46,7 @@ def percentile_floor(df: DataFrame, field: str, percents) -> DataFrame:
     taken over range partitions' totals.
     """
     counts = df.filter(F.col(field).isNotNull()).groupBy(field).agg(F.count(F.lit(1)).alias("n"))
-    part = kept(counts.repartitionByRange(field).withColumn("__part", F.spark_partition_id()), "percentile")
+    part = written(counts.repartitionByRange(field).withColumn("__part", F.spark_partition_id()), "percentile")
     within = part.withColumn("upto", F.sum("n").over(W.partitionBy("__part").orderBy(field)))
     before = part.groupBy("__part").agg(F.sum("n").alias("part_n"))
     starts = before.withColumn("start", F.coalesce(F.sum("part_n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

@@ -5,28 +5,26 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.functions.scalars import VARIANT_KINDS, is_kind
-from quernel.plans.model import MAX_CASCADE_DEPTH, ForeignKey, ForeignKeyViolation, LimitExceeded, NotNull, OnDelete, Schema, SchemaViolation, Unique
+from quernel.plans.model import MAX_CASCADE_DEPTH, ForeignKey, ForeignKeyViolation, LimitExceeded, NotNull, OnDelete, QuernelError, Schema, SchemaViolation, Unique
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the folder that spark.checkpoint.dir names and read back; kept in the plan where none is set."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    path = f"{folder}/quernel/{name}-{uuid.uuid4().hex}"
+    """df, written to the folder that spark.checkpoint.dir names and read back, so that a lost executor changes nothing."""
+    path = f"{shared_folder(df.sparkSession)}/quernel/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df so that all its uses see the same rows and partitions: written where there is a folder, else persisted."""
-    out = written(df, name)
-    return df.persist() if out is df else out
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; without it there is no place that all executors see."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise QuernelError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
 
 
 def schema_violations(df: DataFrame, schema: Schema, id_col: str = "id") -> DataFrame:
@@ -71,6 +69,17 @@ def unique_violations(df: DataFrame, rule: Unique) -> DataFrame:
     return df.select(values.alias("v")).groupBy("v.field", "v.value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def unique_violations_of(state: DataFrame, rows: DataFrame, rule: Unique) -> DataFrame:
+    """Of the values that rows hold, those that state holds more than once: only rows of state with such values are counted."""
+    if not rule.each:
+        return unique_violations(state.join(rows.select(*rule.fields).distinct(), list(rule.fields), "left_semi"), rule)
+    parts = []
+    for f in rule.fields:
+        mine = rows.select(F.col(f).alias("__mine")).distinct()
+        parts.append(unique_violations(state.join(mine, F.col(f).eqNullSafe(F.col("__mine")), "left_semi"), Unique(rule.entity, (f,))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def first_claims(df: DataFrame, value: str, order) -> DataFrame:
     """df with won: whether the row is the first in this order (which has no ties) to claim its value.
 
@@ -81,6 +90,44 @@ def first_claims(df: DataFrame, value: str, order) -> DataFrame:
     return joined.withColumn("won", F.struct(*order).eqNullSafe(F.col("__best"))).drop("__value", "__best")
 
 
+def reserve(claims: DataFrame, requests: DataFrame, now: int, order=("request_id",)) -> tuple[DataFrame, DataFrame]:
+    """(claims, outcomes) after reservations of unique values that expire.
+
+    claims has value, record_id, request_id, state (reserved or committed) and expires_at, one row a value; requests has
+    value, record_id, request_id, ttl. Of the requests for a value the first in order counts, the others conflict with it.
+    An outcome is conflict (committed, or held by another request that has not expired), held (by the same request
+    already) or reserved. The first is found by a partial minimum, so a value that many ask for is not ranked in one task.
+    """
+    first = requests.groupBy("value").agg(F.min(F.struct(*order, "request_id")).alias("__first"))
+    held = claims.select("value", F.col("request_id").alias("__by"), F.col("state").alias("__state"), F.col("expires_at").alias("__until"))
+    rows = requests.join(first, "value").join(held, "value", "left")
+    same, open_ = F.col("__by") == F.col("request_id"), F.col("__by").isNull() | (F.col("__until") <= now)
+    chosen = F.struct(*order, "request_id") == F.col("__first")
+    outcome = F.when(F.col("__state") == "committed", "conflict").when(F.coalesce(same, F.lit(False)), "held").when(open_ & chosen, "reserved").otherwise("conflict")
+    judged = rows.select(*requests.columns, outcome.alias("outcome"))
+    new = judged.filter("outcome = 'reserved'").select("value", "record_id", "request_id", F.lit("reserved").alias("state"), (F.lit(now) + F.col("ttl")).cast("bigint").alias("expires_at"))
+    return claims.join(new.select("value"), "value", "left_anti").unionByName(new), judged.select("value", "request_id", "outcome")
+
+
+def commit_claims(claims: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(claims, outcomes) after requests (value, request_id) to commit: committed, already_committed, wrong_request, not_found."""
+    asked = requests.select("value", F.col("request_id").alias("__by"))
+    joined = asked.join(claims, "value", "left")
+    outcome = F.when(F.col("state").isNull(), "not_found").when(F.col("state") == "committed", "already_committed").when(F.col("request_id") != F.col("__by"), "wrong_request").otherwise("committed")
+    outcomes = joined.select("value", F.col("__by").alias("request_id"), outcome.alias("outcome"))
+    done = outcomes.filter("outcome = 'committed'").select("value", F.lit(True).alias("__done")).distinct()
+    state = F.when(F.col("__done"), "committed").otherwise(F.col("state"))
+    return claims.join(done, "value", "left").withColumn("state", state).select(*claims.columns), outcomes
+
+
+def release_claims(claims: DataFrame, requests: DataFrame) -> DataFrame:
+    """claims without those that requests (value, request_id) give up: a reserved one by its request, a committed one by
+    its record."""
+    asked = requests.select("value", F.col("request_id").alias("__by")).distinct()
+    own = F.when(F.col("state") == "committed", F.col("record_id")).otherwise(F.col("request_id"))
+    return claims.withColumn("__by", own).join(asked, ["value", "__by"], "left_anti").select(*claims.columns)
+
+
 def reconcile_claims(records: DataFrame, claims: DataFrame, value: str, id_col: str = "id") -> DataFrame:
     """id, value and the state of each record's claim.
 
@@ -104,19 +151,20 @@ def referencing(source: DataFrame, deleted: DataFrame, rule: ForeignKey, id_col:
     return source.join(keys, F.col(rule.field) == F.col("__target"), "left_semi")
 
 
-def cascade(tables: dict[str, tuple[DataFrame, str]], rules, entity: str, deleted: DataFrame, owner: tuple[dict[str, str], object] | None = None, not_null=()) -> dict[str, DataFrame]:
+def cascade(tables: dict[str, tuple[DataFrame, str]], rules, entity: str, deleted: DataFrame, owner: tuple[dict[str, str], object] | None = None, not_null=(), work: int | None = None) -> dict[str, DataFrame]:
     """What deleting these rows of entity entails: {entity: ids to delete}, and under "set_null" (entity, field, id).
 
     tables maps an entity to its frame and id column; deleted has the id column of entity. Levels are planned breadth
     first, each entity's frontier without what it has already given, so cyclic references end. A restricted child that
     is not itself deleted raises ForeignKeyViolation. owner ({entity: field}, sender): children of other owners are set
-    to null, not deleted; a not-null field forbids that.
+    to null, not deleted; a not-null field forbids that. work: the most rows that may be deleted or set to null, counted
+    level by level; more raise LimitExceeded.
     """
     key = lambda e: tables[e][1]
     ids = lambda df, e: df.select(F.col(key(e)).cast("string").alias("id"))
     found = {entity: ids(deleted, entity)}
-    nulled, restricted = [], []
-    frontier, depth = {entity: deleted.select(key(entity))}, 0
+    nulled, restricted, counted = [], [], 0
+    frontier, depth, done = {entity: deleted.select(key(entity))}, 0, 0
     while frontier:
         depth += 1
         if depth > MAX_CASCADE_DEPTH:
@@ -148,6 +196,11 @@ def cascade(tables: dict[str, tuple[DataFrame, str]], rules, entity: str, delete
                 continue
             found[e] = found[e].unionByName(ids(rows, e)) if e in found else ids(rows, e)
             frontier[e] = rows
+        if work is not None:
+            fresh, counted = nulled[counted:], len(nulled)
+            done += sum(rows.limit(work + 1).count() for rows in (*frontier.values(), *(rows for _, rows in fresh)))
+            if done > work:
+                raise LimitExceeded(f"the cascade touches more than {work} rows")
     for rule, hit in restricted:
         left = hit.join(found[rule.source].select(F.col("id").alias("__id")), F.col(key(rule.source)).cast("string") == F.col("__id"), "left_anti") if rule.source in found else hit
         if left.take(1):

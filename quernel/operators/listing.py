@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions import predicates
+from quernel.operators.constraints import written
 from quernel.plans.model import MAX_FILTERS, MAX_INCLUDE_DEPTH, Filter, LimitExceeded, ListRequest, Missing, NotFound, Op, QuernelError, Relationship, Schema
 
 
@@ -174,3 +175,8 @@ class Cursor:
 def cursor(df: DataFrame, request: ListRequest, id_col: str = "id"):
     """Rows one by one, without collecting them; filters follow the cursor's rules for absent and null."""
     yield from plan(df, request, id_col, missing=Missing.CURSOR).toLocalIterator(prefetchPartitions=True)
+
+
+def sorted_copy(df: DataFrame, fields) -> DataFrame:
+    """df written in ranges of fields, sorted within: what filters on the first of them then skip by the files' statistics."""
+    return written(df.repartitionByRange(*fields).sortWithinPartitions(*fields), "index")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernel.functions.scalars import with_defaults
-from quernel.operators.constraints import kept
+from quernel.operators.constraints import written
 from quernel.plans.model import Conflict, Schema
 
 
@@ -59,12 +59,39 @@ def set_null(state: DataFrame, field: str, ids: DataFrame, id_col: str = "id") -
 
 
 def changes(old: DataFrame, new: DataFrame, entity: str, id_col: str = "id") -> DataFrame:
-    """entity, id, operation, data (JSON): the events between two states. Updates carry the new row, deletes the old one."""
-    pack = lambda df, name: df.select(F.col(id_col).cast("string").alias("id"), F.to_json(F.struct(*df.columns)).alias(name))
+    """entity, id, operation, data (JSON): the events between two states. Updates carry the new row, deletes the old one.
+
+    A null is written as null, so that a field set to null differs from an absent one. Rows are compared as they are and
+    only those that differ are written as JSON; states with different columns are compared as JSON.
+    """
+    alike = old.schema.simpleString() == new.schema.simpleString()
+    said = lambda row: F.to_json(row, {"ignoreNullFields": "false"})
+    row = lambda df: F.struct(*df.columns) if alike else said(F.struct(*df.columns))
+    pack = lambda df, name: df.select(F.col(id_col).cast("string").alias("id"), row(df).alias(name))
     both = pack(old, "before").join(pack(new, "after"), "id", "full")
     operation = F.when(F.col("before").isNull(), "Create").when(F.col("after").isNull(), "Delete").otherwise("Update")
     moved = both.filter(~F.col("before").eqNullSafe(F.col("after")))
-    return moved.select(F.lit(entity).alias("entity"), "id", operation.alias("operation"), F.coalesce("after", "before").alias("data"))
+    last = F.coalesce("after", "before")
+    return moved.select(F.lit(entity).alias("entity"), "id", operation.alias("operation"), (said(last) if alike else last).alias("data"))
+
+
+def batch(state: DataFrame, id_col: str = "id", puts: DataFrame | None = None, removes: DataFrame | None = None, equal: DataFrame | None = None, absent: DataFrame | None = None) -> DataFrame:
+    """state after a batch of puts (whole rows) and removes (ids), if its preconditions hold; else Conflict, and nothing.
+
+    equal has the id and other columns with the values that the row must have (null for null); absent has ids that must
+    not exist. Both are checked against the state before the batch, with one join each.
+    """
+    if equal is not None:
+        fields = [c for c in equal.columns if c != id_col]
+        want = equal.select(id_col, *(F.col(c).alias(f"__want_{c}") for c in fields))
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__want_{c}")) for c in fields), F.col("__there").isNotNull())
+        if want.join(state.select(id_col, *fields, F.lit(True).alias("__there")), id_col, "left").filter(~same).take(1):
+            raise Conflict("a row is not what the batch expects")
+    if absent is not None and absent.select(id_col).join(state.select(id_col), id_col, "left_semi").take(1):
+        raise Conflict("a row that the batch expects to be absent exists")
+    gone = [x.select(id_col) for x in (puts, removes) if x is not None]
+    out = state.join(union_all(gone).distinct(), id_col, "left_anti") if gone else state
+    return out.unionByName(puts, allowMissingColumns=True) if puts is not None else out
 
 
 def sequenced(events: DataFrame, order, after: int = 0, per=()) -> DataFrame:
@@ -74,7 +101,7 @@ def sequenced(events: DataFrame, order, after: int = 0, per=()) -> DataFrame:
     within a range, and the counts of the ranges before (a row a range and group) are added.
     """
     per = list(per)
-    part = kept(events.repartitionByRange(*per, *order).withColumn("__part", F.spark_partition_id()), "sequence")
+    part = written(events.repartitionByRange(*per, *order).withColumn("__part", F.spark_partition_id()), "sequence")
     within = part.withColumn("__at", F.row_number().over(W.partitionBy("__part", *per).orderBy(*order)))
     sizes = part.groupBy("__part", *per).agg(F.count(F.lit(1)).alias("__n"))
     earlier = W.partitionBy(*per).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)

@@ -6,7 +6,6 @@ fixed rules that both engines can state.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +44,8 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where spark.checkpoint.dir says; where that is unset, as in tests, a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quernel-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A new folder where spark.checkpoint.dir says."""
+    return f"{constraints.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def text_id(df: DataFrame, key: str) -> DataFrame:
@@ -338,21 +336,11 @@ def fk_restrict_block(spark, sf_dir):
     return constraints.referencing(t(spark, sf_dir, "orders"), t(spark, sf_dir, "customer").filter("c_custkey = 10"), ForeignKey("orders", "o_custkey", "customer", "c_custkey")).select("o_orderkey", "o_custkey")
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT p_partkey // 3 AS parent, p_partkey AS child FROM part WHERE p_partkey >= 3 UNION ALL SELECT 40, 1),
-r AS (SELECT 1::BIGINT AS id UNION SELECT e.child FROM r JOIN e ON e.parent = r.id WHERE e.child <= 200)
-SELECT id FROM r""")
-def share_closure(spark, sf_dir):
-    parts = t(spark, sf_dir, "part").filter("p_partkey >= 3 and p_partkey <= 200").select(F.expr("p_partkey div 3").alias("parent"), F.col("p_partkey").alias("child"))
-    cycle = spark.range(1).select(F.lit(40).cast("bigint").alias("parent"), F.lit(1).cast("bigint").alias("child"))
-    return access.closure(parts.unionByName(cycle), spark.range(1, 2))
-
-
 @query("""
 WITH RECURSIVE e AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_partkey // 2 ELSE 0 END AS parent, p_partkey AS child FROM part UNION ALL SELECT 48, 3),
 r AS (SELECT 3::BIGINT AS id UNION SELECT e.child FROM r JOIN e ON e.parent = r.id)
 SELECT id FROM r""")
-def share_closure_whole(spark, sf_dir):
+def share_closure(spark, sf_dir):
     """Over all parts: below part 3 are only its doublings, few in a table of any size."""
     parts = t(spark, sf_dir, "part").select(F.expr("case when p_partkey % 2 = 0 then p_partkey div 2 else 0 end").alias("parent"), F.col("p_partkey").alias("child"))
     cycle = spark.range(1).select(F.lit(48).cast("bigint").alias("parent"), F.lit(3).cast("bigint").alias("child"))
@@ -411,14 +399,8 @@ def partitions_per_node(spark, sf_dir):
     return spark.range(256).groupBy((F.col("id") % 3).cast("int").alias("node")).agg(F.count(F.lit(1)).alias("partitions"))
 
 
-@query("SELECT CAST(p AS INT) AS partition FROM (SELECT unnest(range(16)) AS p) WHERE p NOT IN (SELECT DISTINCT o_orderkey % 16 FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey < 60)")
-def missing_partitions(spark, sf_dir):
-    got = t(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0 and o_orderkey < 60").select((F.col("o_orderkey") % 16).alias("id")).distinct()
-    return spark.range(16).join(got, "id", "left_anti").select(F.col("id").cast("int").alias("partition"))
-
-
 @query("SELECT CAST(p AS INT) AS partition FROM (SELECT unnest(range(16)) AS p) WHERE p NOT IN (SELECT DISTINCT o_orderkey * o_orderkey % 16 FROM orders)")
-def missing_partitions_whole(spark, sf_dir):
+def missing_partitions(spark, sf_dir):
     """Over all orders: a square leaves 0, 1, 4 or 9."""
     got = t(spark, sf_dir, "orders").select((F.col("o_orderkey") * F.col("o_orderkey") % 16).alias("id")).distinct()
     return spark.range(16).join(got, "id", "left_anti").select(F.col("id").cast("int").alias("partition"))
@@ -450,6 +432,44 @@ def unique_first_claim(spark, sf_dir):
     return constraints.first_claims(t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_custkey", "won")
 
 
+_CLAIMS = "(SELECT 'v' || o_orderkey AS value, CAST(o_orderkey AS VARCHAR) AS record_id, 'q' || (o_orderkey % 3) AS request_id, CASE WHEN o_orderkey % 5 = 0 THEN 'committed' ELSE 'reserved' END AS state, o_orderkey % 100 AS expires_at FROM orders WHERE o_orderkey % 2 = 0)"
+_ASKED = "(SELECT 'v' || o_orderkey AS value, CAST(o_orderkey AS VARCHAR) AS record_id, 'q' || q AS request_id, 10::BIGINT AS ttl FROM orders, (VALUES (0), (1), (2)) t(q) WHERE o_orderkey % 7 <> q)"
+
+
+def _claims(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    k = F.col("o_orderkey")
+    rows = t(spark, sf_dir, "orders").select(k, F.concat(F.lit("v"), k).alias("value"), k.cast("string").alias("record_id"))
+    claims = rows.filter(k % 2 == 0).select("value", "record_id", F.concat(F.lit("q"), k % 3).alias("request_id"), F.when(k % 5 == 0, "committed").otherwise("reserved").alias("state"), (k % 100).alias("expires_at"))
+    asked = rows.select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("q")).filter(k % 7 != F.col("q"))
+    return claims, asked.select("value", "record_id", F.concat(F.lit("q"), "q").alias("request_id"), F.lit(10).cast("bigint").alias("ttl"))
+
+
+@query(f"""
+WITH c AS {_CLAIMS}, a AS {_ASKED},
+o AS (SELECT a.*, CASE WHEN c.state = 'committed' THEN 'conflict' WHEN c.request_id = a.request_id THEN 'held' WHEN (c.value IS NULL OR c.expires_at <= 50) AND row_number() OVER (PARTITION BY a.value ORDER BY a.request_id) = 1 THEN 'reserved' ELSE 'conflict' END AS outcome FROM a LEFT JOIN c ON c.value = a.value)
+SELECT value, request_id, outcome, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS BIGINT) AS expires_at FROM o
+UNION ALL SELECT value, request_id, 'claim', state, expires_at FROM c WHERE value NOT IN (SELECT value FROM o WHERE outcome = 'reserved') UNION ALL SELECT value, request_id, 'claim', 'reserved', 60 FROM o WHERE outcome = 'reserved'""")
+def unique_reserve(spark, sf_dir):
+    claims, outcomes = constraints.reserve(*_claims(spark, sf_dir), 50)
+    return outcomes.unionByName(claims.select("value", "request_id", F.lit("claim").alias("outcome"), "state", "expires_at"), allowMissingColumns=True)
+
+
+@query(f"""
+WITH c AS {_CLAIMS}, a AS {_ASKED},
+o AS (SELECT a.value, a.request_id, CASE WHEN c.value IS NULL THEN 'not_found' WHEN c.state = 'committed' THEN 'already_committed' WHEN c.request_id <> a.request_id THEN 'wrong_request' ELSE 'committed' END AS outcome FROM a LEFT JOIN c ON c.value = a.value)
+SELECT value, request_id, outcome FROM o UNION ALL SELECT value, request_id, CASE WHEN value IN (SELECT value FROM o WHERE outcome = 'committed') THEN 'claim committed' ELSE 'claim ' || state END FROM c""")
+def unique_commit(spark, sf_dir):
+    claims, outcomes = constraints.commit_claims(*_claims(spark, sf_dir))
+    return outcomes.unionByName(claims.select("value", "request_id", F.concat(F.lit("claim "), "state").alias("outcome")))
+
+
+@query(f"WITH c AS {_CLAIMS} SELECT value, request_id, state FROM c WHERE NOT EXISTS (SELECT 1 FROM {_ASKED} a WHERE a.value = c.value AND a.request_id = CASE c.state WHEN 'committed' THEN c.record_id ELSE c.request_id END) AND NOT (state = 'committed' AND record_id LIKE '%0')")
+def unique_release(spark, sf_dir):
+    claims, asked = _claims(spark, sf_dir)
+    by_record = claims.filter(F.col("record_id").endswith("0")).select("value", F.col("record_id").alias("request_id"))
+    return constraints.release_claims(claims, asked.select("value", "request_id").unionByName(by_record)).select("value", "request_id", "state")
+
+
 @query("""
 SELECT c_custkey, c_name, CASE WHEN c_custkey % 6 = 0 THEN 'established' WHEN c_custkey % 6 = 1 THEN 'already_committed' WHEN c_custkey % 6 = 2 THEN 'repaired' WHEN c_custkey % 6 = 3 THEN 'pending' ELSE 'conflict' END AS outcome FROM customer""")
 def unique_reconcile(spark, sf_dir):
@@ -524,6 +544,16 @@ def update_optimistic(spark, sf_dir):
     return mutate.update(state(spark, sf_dir), delta, "o_orderkey", expected="seen")
 
 
+@query(f"SELECT o_orderkey, o_orderstatus, o_totalprice, _version FROM {_STATE} WHERE o_orderkey % 10 NOT IN (0, 1) UNION ALL SELECT o_orderkey + CASE WHEN o_orderkey % 20 = 1 THEN 10000000 ELSE 0 END, 'B', o_totalprice, _version + 1 FROM {_STATE} WHERE o_orderkey % 10 = 1")
+def batch_commit(spark, sf_dir):
+    """A batch whose preconditions hold: rows as they are expected, new ids absent. Half of the puts are new ids."""
+    rows, k = state(spark, sf_dir), F.col("o_orderkey")
+    ones = rows.filter(k % 10 == 1)
+    puts = ones.select(F.when(k % 20 == 1, k + 10000000).otherwise(k).alias("o_orderkey"), F.lit("B").alias("o_orderstatus"), "o_totalprice", (F.col("_version") + 1).alias("_version"))
+    removes = rows.filter((k % 10 == 0) | (k % 20 == 1)).select("o_orderkey")
+    return mutate.batch(rows, "o_orderkey", puts, removes, equal=ones.select("o_orderkey", "_version", "o_orderstatus"), absent=puts.filter(k > 10000000))
+
+
 @query(f"SELECT * FROM {_STATE} WHERE o_orderkey % 10 <> 0")
 def delete_apply(spark, sf_dir):
     return mutate.delete(state(spark, sf_dir), t(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0"), "o_orderkey")
@@ -666,6 +696,21 @@ def idempotency(spark, sf_dir):
     return routing.idempotency(t(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("sequence"), F.col("event_type").alias("params"), F.col("event_id").alias("at")), 900, 600)
 
 
+@query("""
+WITH o AS (SELECT event_id % 8 AS partition, event_id AS k, event_type, CASE event_id % 3 WHEN 0 THEN 'processing' WHEN 1 THEN 'committed' ELSE 'expired' END AS status FROM events WHERE event_id % 4 = 0),
+n AS (SELECT event_id % 8 AS partition, event_id AS k, CASE WHEN event_id % 20 = 0 THEN 'other' ELSE event_type END AS event_type FROM events WHERE event_id % 4 <> 1),
+f AS (SELECT n.partition, n.k, row_number() OVER (PARTITION BY n.partition ORDER BY n.k) + coalesce(u, 0) > 60 AS full FROM n LEFT JOIN (SELECT partition, count(*) AS u FROM o GROUP BY 1) c USING (partition) WHERE n.k NOT IN (SELECT k FROM o))
+SELECT n.partition, CAST(n.k AS VARCHAR) AS request_key, n.k AS sequence, CASE WHEN o.event_type <> n.event_type THEN 'mismatch' WHEN o.status = 'committed' THEN 'cached' WHEN o.status IS NOT NULL THEN o.status WHEN f.full THEN 'full' ELSE 'proceed' END AS outcome,
+       CASE WHEN o.event_type = n.event_type AND o.status = 'committed' THEN 'r' || n.k END AS response FROM n LEFT JOIN o USING (partition, k) LEFT JOIN f USING (partition, k)""")
+def idempotency_states(spark, sf_dir):
+    k = F.col("event_id")
+    rows = t(spark, sf_dir, "events").select((k % 8).alias("partition"), k.cast("string").alias("request_key"), F.col("event_type").alias("entity"), k.cast("string").alias("id"), k.alias("sequence"))
+    at = F.col("sequence")
+    status = F.when(at % 3 == 0, "processing").when(at % 3 == 1, "committed").otherwise("expired")
+    records = rows.filter(at % 4 == 0).select("partition", "request_key", "entity", "id", status.alias("status"), F.concat(F.lit("r"), "id").alias("response"))
+    return routing.idempotency_check(records, rows.filter(at % 4 != 1).withColumn("entity", F.when(at % 20 == 0, "other").otherwise(F.col("entity"))), 60)
+
+
 @query("SELECT client, CAST(least(max(qos), 1) AS INT) AS qos FROM (SELECT user_id AS client, CAST(event_id % 3 AS INT) AS qos FROM events WHERE event_type = 'view' UNION ALL SELECT user_id, CAST(event_id % 2 AS INT) FROM events WHERE event_type <> 'click') GROUP BY 1")
 def route_max_qos(spark, sf_dir):
     events = t(spark, sf_dir, "events")
@@ -693,11 +738,26 @@ def topic_patterns(spark, sf_dir):
     return rows.select("topic", predicates.topic_match(F.col("topic"), "users/#").alias("under_users"), predicates.topic_match(F.col("topic"), "#", system=False).alias("any_level"), predicates.topic_match(F.col("topic"), "users/+/view").alias("one_level"))
 
 
-@query("SELECT topic, CASE WHEN regexp_full_match(topic, '\\$DB/p[0-9]+(/.*)?') OR topic LIKE '$DB/_idx/%' THEN 'block' WHEN regexp_full_match(topic, '\\$DB/[^/]*/events(/.*)?') THEN 'read_only' ELSE 'open' END AS tier FROM (SELECT CASE c_custkey % 4 WHEN 0 THEN '$DB/p' || c_custkey || '/x' WHEN 1 THEN '$DB/_idx/' || c_custkey WHEN 2 THEN '$DB/users/events/' || c_custkey ELSE '$DB/users/' || c_custkey END AS topic FROM customer)")
+#: Shapes of topics, {} is a number: every tier, its near misses and the exempt internal entities.
+_SHAPES = ("_quernel/x{}", "_quernel", "_quernelx/{}", "$DB/_idx/{}", "$DB/_unique/a/{}", "$DB/_fk/{}", "$DB/_query/{}", "$DB/p{}/x", "$DB/p/{}", "$DB/px{}/1", "$DB/users/events/{}", "$DB/users/event/{}", "$DB/u/{}/a", "$DB/_sub/{}", "$DB/_sub/events/{}",
+           "$SYS/quernel/cluster/{}", "$SYS/quernel/{}", "$SYS/broker/{}", "$DB/_verify/{}", "$DB/_health/{}", "$DB/_vault/{}", "$DB/_auth", "$DB/_admin/{}", "$DB/_oauth_tokens/{}", "$DB/_sessions", "$DB/users/{}", "plain/{}/events")
+_TIER = r"""CASE WHEN topic = '_quernel' OR topic LIKE '\_quernel/%' ESCAPE '\' THEN 'block' WHEN regexp_matches(topic, '^\$DB/(_idx|_unique|_fk|_query|p[0-9]+)(/|$)') THEN 'block' WHEN regexp_matches(topic, '^\$DB/[^/]*/events(/|$)') OR regexp_matches(topic, '^\$DB/u(/|$)') THEN 'read_only'
+WHEN regexp_matches(topic, '^\$DB/_sub(/|$)') THEN 'write_only' WHEN regexp_matches(topic, '^\$SYS/quernel/cluster(/|$)') THEN 'admin' WHEN topic LIKE '$SYS/%' OR topic = '$SYS' THEN 'read_only' WHEN regexp_matches(topic, '^\$DB/_verify(/|$)') THEN 'admin'
+WHEN starts_with(topic, '$DB/_') AND split_part(topic, '/', 2) NOT IN ('_health', '_vault', '_auth', '_verify') THEN 'internal' ELSE 'open' END"""
+
+
+@query(f"""
+WITH s AS (SELECT [{", ".join(f"'{x}'" for x in _SHAPES)}] AS shapes),
+r AS (SELECT c_custkey, replace(shapes[CAST(c_custkey % {len(_SHAPES)} AS INT) + 1], '{{}}', CAST(c_custkey AS VARCHAR)) AS topic, publish, admin FROM customer, s, (VALUES (true), (false)) p(publish), (VALUES (true), (false)) q(admin)),
+t AS (SELECT *, {_TIER} AS tier FROM r)
+SELECT c_custkey, topic, publish, admin, tier, CASE WHEN tier = 'block' THEN 'blocked' WHEN tier = 'read_only' AND publish THEN 'read_only' WHEN tier = 'write_only' AND NOT publish THEN 'write_only' WHEN tier IN ('admin', 'internal') AND NOT admin THEN tier END AS refused FROM t""")
 def topic_protection(spark, sf_dir):
+    """Every tier, both directions, with and without the admin role."""
     k = F.col("c_custkey")
-    topic = F.when(k % 4 == 0, F.concat(F.lit("$DB/p"), k, F.lit("/x"))).when(k % 4 == 1, F.concat(F.lit("$DB/_idx/"), k)).when(k % 4 == 2, F.concat(F.lit("$DB/users/events/"), k)).otherwise(F.concat(F.lit("$DB/users/"), k))
-    return access.protection(t(spark, sf_dir, "customer").select(topic.alias("topic")))
+    shape = F.element_at(F.array(*map(F.lit, _SHAPES)), (k % len(_SHAPES)).cast("int") + 1)
+    both = lambda name: F.explode(F.array(F.lit(True), F.lit(False))).alias(name)
+    rows = t(spark, sf_dir, "customer").select("c_custkey", F.replace(shape, F.lit("{}"), k.cast("string")).alias("topic"))
+    return access.topic_access(rows.select("*", both("publish")).select("*", both("admin")))
 
 
 # access
@@ -806,17 +866,61 @@ def record_keys(spark, sf_dir):
     return t(spark, sf_dir, "orders").select("o_orderkey", key.alias("data_key"), scalars.index_key("orders", "status", s, k).alias("index_key"), scalars.unique_key("orders", "status", s).alias("unique_key"), scalars.id_of_key(key).alias("id"))
 
 
-@query()
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a string's bytes, bit by bit."""
+    bit = "lambda c, b: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"lambda a, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], {bit}, xor(a, x))"
+    codes = f"list_transform(range(0, strlen({text})), lambda i: CAST(('0x' || substr(hex(encode({text})), 2 * i + 1, 2)) AS BIGINT))"
+    return f"xor(list_reduce({codes}, {byte}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+@query(f"SELECT o_orderkey, CAST({_crc_sql("('orders/' || o_orderkey)")} % 256 AS INT) AS data_partition, CAST({_crc_sql("('unique/orders/id/' || o_orderkey)")} % 256 AS INT) AS unique_partition FROM orders")
 def partition_crc32(spark, sf_dir):
     k = F.col("o_orderkey")
     return t(spark, sf_dir, "orders").select("o_orderkey", scalars.crc_partition(Config.partitions, "orders", k).alias("data_partition"), scalars.crc_partition(Config.partitions, "unique", "orders", "id", k).alias("unique_partition"))
 
 
-@query("SELECT o_orderkey, true AS intact, o_orderkey % 5 <> 0 AS other_intact FROM orders")
+@query(f"""
+SELECT o_orderkey, lower(printf('%08x', {_crc_sql("body")})) || lower(hex(encode(body))) AS stored, true AS intact, o_orderkey % 5 <> 0 AS other_intact
+FROM (SELECT o_orderkey, '{{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}}' AS body FROM orders)""")
 def record_integrity(spark, sf_dir):
-    rows = t(spark, sf_dir, "orders").select("o_orderkey", scalars.checksum(F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"))).alias("stored"))
-    other = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.col("stored"), F.lit("x").cast("binary"))).otherwise(F.col("stored"))
-    return rows.select("o_orderkey", scalars.verified(F.col("stored")).alias("intact"), scalars.verified(other).alias("other_intact"))
+    """Records behind their checksums, and whether they are intact; every fifth one has a byte more."""
+    rows = t(spark, sf_dir, "orders").select("o_orderkey", scalars.checksum(F.to_json(F.struct("o_orderkey", "o_orderstatus"))).alias("bytes"))
+    other = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.col("bytes"), F.lit("x").cast("binary"))).otherwise(F.col("bytes"))
+    return rows.select("o_orderkey", F.lower(F.hex("bytes")).alias("stored"), scalars.verified(F.col("bytes")).alias("intact"), scalars.verified(other).alias("other_intact"))
+
+
+def mixed(spark, sf_dir) -> DataFrame:
+    """event_id and v, JSON values of different types, as VARIANT."""
+    k = F.col("event_id")
+    text = F.when(k % 6 == 0, "null").when(k % 6 == 1, F.when(k % 4 == 1, "true").otherwise("false")).when(k % 6 == 2, (k % 50 - 20).cast("string")).when(k % 6 == 3, ((k % 40 - 20) / 4.0).cast("string")).when(k % 6 == 4, F.concat(F.lit('"t'), k % 30, F.lit('"'))).otherwise(F.concat(k.cast("string"), F.lit(".5")))
+    return t(spark, sf_dir, "events").select("event_id", F.parse_json(text).alias("v"))
+
+
+@query("""
+SELECT event_id, CAST(row_number() OVER (ORDER BY CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 4 THEN 3 ELSE 2 END, CASE k WHEN 1 THEN CASE WHEN event_id % 4 = 1 THEN 1 ELSE 0 END WHEN 2 THEN event_id % 50 - 20 WHEN 3 THEN (event_id % 40 - 20) / 4.0 WHEN 5 THEN event_id + 0.5 END NULLS FIRST, CASE k WHEN 4 THEN 't' || event_id % 30 END NULLS FIRST, event_id) AS BIGINT) AS place
+FROM (SELECT event_id, event_id % 6 AS k FROM events)""")
+def sort_mixed(spark, sf_dir):
+    """Places of values of different types: null, booleans, numbers, text."""
+    keys = [c.alias(f"k{i}") for i, c in enumerate(scalars.order_of(F.col("v")))]
+    rows = mixed(spark, sf_dir).select("event_id", *keys)
+    return mutate.sequenced(rows, [F.col("k0"), F.col("k1"), F.col("k2"), F.col("event_id")]).select("event_id", F.col("sequence").alias("place"))
+
+
+@query("""
+SELECT event_id, CASE k WHEN 0 THEN hex(encode('null')) WHEN 1 THEN hex(encode(CASE WHEN event_id % 4 = 1 THEN 'true' ELSE 'false' END)) WHEN 2 THEN printf('%016X', CAST(event_id % 50 - 20 + 9223372036854775808::HUGEINT AS UBIGINT)) WHEN 4 THEN hex(encode('t' || event_id % 30))
+  ELSE printf('%016X', CASE WHEN b >= 0 THEN CAST(b + 9223372036854775808::HUGEINT AS UBIGINT) ELSE CAST(-1 - b AS UBIGINT) END) END AS key
+FROM (SELECT event_id, event_id % 6 AS k, CAST(CAST(CAST(CASE event_id % 6 WHEN 3 THEN (event_id % 40 - 20) / 4.0 ELSE event_id + 0.5 END AS DOUBLE) AS BIT) AS BIGINT) AS b FROM events)""")
+def index_values(spark, sf_dir):
+    """Index keys of values of different types."""
+    rows = mixed(spark, sf_dir)
+    return rows.select("event_id", F.when(F.col("event_id") % 6 == 3, scalars.sortable_double(F.try_variant_get("v", "$", "double"))).otherwise(scalars.index_value(F.col("v"))).alias("key"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_custkey < 100")
+def index_backfill(spark, sf_dir):
+    """A filter on a copy that is sorted by the indexed field."""
+    return listing.where(listing.sorted_copy(t(spark, sf_dir, "orders"), ["o_custkey"]), predicates.parse_filters("o_orderstatus=F,o_custkey<100")).select("o_orderkey", "o_orderstatus")
 
 
 @query("SELECT s_suppkey, s_nationkey, CAST(row_number() OVER (ORDER BY s_suppkey - 5) AS BIGINT) AS place FROM supplier")

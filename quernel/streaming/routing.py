@@ -125,6 +125,24 @@ def idempotency(requests: DataFrame, now: int, keep_s: int) -> DataFrame:
     return rows.select("request_id", "sequence", outcome.alias("outcome"))
 
 
+def idempotency_check(records: DataFrame, requests: DataFrame, per_partition: int) -> DataFrame:
+    """requests with outcome against the records of earlier ones: mismatch (another entity or id under the key), cached
+    (committed; response is the old one), processing, expired, full (its partition has no room), or proceed.
+
+    records has partition, request_key, entity, id, status (processing, committed, expired) and response; requests has
+    partition, request_key, entity, id and sequence, a key once. New keys take the room that is left in order of sequence.
+    """
+    old = records.select("partition", "request_key", F.struct("entity", "id", "status", "response").alias("old"))
+    rows = requests.join(old, ["partition", "request_key"], "left")
+    used = records.groupBy("partition").agg(F.count(F.lit(1)).alias("used"))
+    fresh = sequenced(rows.filter(F.col("old").isNull()).select("partition", "request_key", F.col("sequence").alias("at")), [F.col("at")], per=["partition"])
+    fresh = fresh.join(used, "partition", "left").select("partition", "request_key", (F.col("sequence") + F.coalesce("used", F.lit(0)) > per_partition).alias("full"))
+    differs = (F.col("old.entity") != F.col("entity")) | (F.col("old.id") != F.col("id"))
+    outcome = F.when(differs, "mismatch").when(F.col("old.status") == "committed", "cached").when(F.col("old").isNotNull(), F.col("old.status")).when(F.col("full"), "full").otherwise("proceed")
+    joined = rows.join(fresh, ["partition", "request_key"], "left").withColumn("outcome", outcome)
+    return joined.select("partition", "request_key", "sequence", "outcome", F.when(F.col("outcome") == "cached", F.col("old.response")).alias("response"))
+
+
 def scoped(events: DataFrame, topic: Column) -> DataFrame:
     """One row per recipient with its topic; events without a recipient go nowhere."""
     return events.select("*", F.explode("recipients").alias("recipient")).withColumn("recipient_topic", F.concat_ws("/", F.lit("$USERS"), "recipient", topic))

@@ -203,3 +203,94 @@ def test_paged_cursor(spark):
     assert pages.has_more() and pages.next()["id"] == "000" and pages.next()["id"] == "002" and pages.count() == 25
     with pytest.raises(QuernelError):
         Engine(spark).add_entity("users", rows).pages(ListRequest("users").order("age"))
+
+
+def test_commit_is_all_or_nothing(spark, blog):
+    blog.add_constraint(Unique("users", ("email",))).add_constraint(ForeignKey("posts", "author_id", "users"))
+    user = lambda *r: spark.createDataFrame([r], "id string, name string, email string")
+    post = lambda *r: spark.createDataFrame([r], "id string, title string, author_id string")
+    key = lambda *k: spark.createDataFrame([(x,) for x in k], "id string")
+    blog.commit({"users": {"puts": user("u3", "Cid", "c@x"), "absent": key("u3")}, "posts": {"puts": post("p1", "One!", "u3"), "removes": key("p4"), "equal": blog.read("posts", "p1").select("id", "title")}})
+    assert ids(blog.list(ListRequest("users"))) == ["u1", "u2", "u3"] and ids(blog.list(ListRequest("posts"))) == ["p1", "p2", "p3"]
+    assert sorted((r.entity, r.id, r.operation) for e in blog.events for r in e.collect()) == [("posts", "p1", "Update"), ("posts", "p4", "Delete"), ("users", "u3", "Create")]
+    before = {n: sorted(map(tuple, df.collect())) for n, (df, _) in blog.tables.items()}
+    wrong = (
+        ({"users": {"puts": user("u4", "D", "d@x"), "absent": key("u1")}}, Conflict),
+        ({"users": {"puts": user("u4", "D", "d@x")}, "posts": {"removes": key("p1"), "equal": post("p1", "One", "u3")}}, Conflict),
+        ({"posts": {"removes": key("p1"), "equal": post("zz", "none", None)}}, Conflict),
+        ({"users": {"puts": user("u4", "D", "a@x")}, "posts": {"removes": key("p1")}}, UniqueViolation),
+        ({"posts": {"removes": key("p1")}, "users": {"removes": key("u2")}}, ForeignKeyViolation),
+    )
+    for batch, error in wrong:
+        with pytest.raises(error):
+            blog.commit(batch)
+    assert {n: sorted(map(tuple, df.collect())) for n, (df, _) in blog.tables.items()} == before and len(blog.events) == 2
+    blog.keep()
+    assert "Join" not in blog.tables["posts"][0]._jdf.queryExecution().toString()
+
+
+def test_senders_are_held_to_ownership_and_shares(spark, blog):
+    blog.owners, blog.derived, blog.admins = {"posts": "author_id"}, {"comments": ("post_id", "posts")}, frozenset({"root"})
+    ask = lambda op, entity, sender, **more: blog.execute({"op": op, "entity": entity, "sender": sender, **more})
+    for request in (("read", "posts", "u2", {"id": "p1"}), ("update", "posts", "u2", {"rows": [("p1", "x", None)]}), ("delete", "posts", "u2", {"id": "p1"}), ("share", "posts", "u2", {"id": "p1", "grantee": "u2", "permission": "edit", "by": "u2"}), ("read", "comments", "u2", {"id": "c1"}), ("create", "comments", "u2", {"rows": [("c9", "x", "p1")]}), ("backup", "", "u2", {"path": "x"})):
+        with pytest.raises(Forbidden):
+            ask(request[0], request[1], request[2], **request[3])
+    for request in (("read", "posts", "u1", {"id": "nope"}), ("update", "posts", None, {"rows": [("nope", "x", None)]}), ("delete", "posts", "u1", {"id": "nope"})):
+        with pytest.raises(NotFound):
+            ask(request[0], request[1], request[2], **request[3])
+    assert ask("count", "posts", "u1").first().n == 2 and ask("count", "posts", "root").first().n == 4 and ids(ask("list", "comments", "u2")) == ["c2"]
+    assert [r.id for r in blog.cursor(ListRequest("posts"), "u2")] == ["p3"] and len(blog.pages(ListRequest("posts"), "u1").next_batch(9)) == 2
+    ask("share", "posts", "u1", id="p1", grantee="u2", permission="view", by="u1")
+    assert ask("read", "posts", "u2", id="p1").first().title == "One" and ids(ask("list", "comments", "u2")) == ["c1", "c2"]
+    with pytest.raises(Forbidden):
+        ask("update", "posts", "u2", rows=[("p1", "mine", None)])
+    ask("share", "posts", "u1", id="p1", grantee="u2", permission="edit", by="u1")
+    assert {r.id: r.title for r in ask("update", "posts", "u2", rows=[("p1", "ours", None)]).collect()}["p1"] == "ours"
+    ask("create", "comments", "u2", rows=[("c9", "x", "p1")])
+    with pytest.raises(Forbidden):  # an editor does not delete
+        ask("delete", "posts", "u2", id="p1")
+    assert {r.id: r.author_id for r in ask("create", "posts", "u2", rows=[("p9", "new", "u1")]).collect()}["p9"] == "u2"  # owners are senders
+    ask("delete", "posts", "u1", id="p1")
+    with pytest.raises(NotFound):
+        ask("read", "posts", "root", id="p1")
+
+
+def test_catalog_and_registry(spark, blog):
+    blog.add_constraint(NotNull("users", "name"))
+    blog.owners, blog.scopes = {"posts": "author_id"}, {"posts": "author"}
+    blog.execute({"op": "schema_set", "entity": "users", "schema": Schema("users", {"name": scalars.field("string", True)})})
+    assert blog.execute({"op": "index_add", "entity": "users", "fields": ["name"]}) == ["name"]
+    rows = {r.entity: r for r in blog.execute({"op": "catalog"}).collect()}
+    assert rows["users"].record_count == 2 and '"required": true' in rows["users"].schema and rows["users"].indexes == ["name"] and "NotNull" in rows["users"].constraints[0]
+    assert rows["posts"].owner == "author_id" and rows["posts"].scope == "author" and rows["posts"].schema is None
+    assert blog.execute({"op": "schema", "entity": "users"}).version == 1 and blog.execute({"op": "constraints", "entity": "users"}) == [NotNull("users", "name")]
+    with pytest.raises(NotFound):
+        blog.execute({"op": "schema", "entity": "nope"})
+
+
+def test_cascade_work_is_limited(spark):
+    nodes = spark.range(60).select(F.col("id").cast("string").alias("id"), ((F.col("id") - 1) / 3).cast("bigint").cast("string").alias("parent")).withColumn("parent", F.when(F.col("id") != "0", F.col("parent")))
+    rule = ForeignKey("nodes", "parent", "nodes", on_delete=OnDelete.CASCADE)
+    root = nodes.filter("id = '0'")
+    assert constraints.cascade({"nodes": (nodes, "id")}, [rule], "nodes", root, work=59)["nodes"].count() == 60
+    with pytest.raises(LimitExceeded):
+        constraints.cascade({"nodes": (nodes, "id")}, [rule], "nodes", root, work=58)
+
+
+def test_a_null_is_told_in_events(spark):
+    old = spark.createDataFrame([("a", 1, "x"), ("b", None, "y"), ("c", 2, "z")], "id string, n int, s string")
+    new = old.withColumn("n", F.when(F.col("id") == "a", F.lit(None)).otherwise(F.col("n"))).filter("id != 'c'")
+    assert {r.id: (r.operation, r.data) for r in mutate.changes(old, new, "e").collect()} == {"a": ("Update", '{"id":"a","n":null,"s":"x"}'), "c": ("Delete", '{"id":"c","n":2,"s":"z"}')}
+    wider = new.withColumn("more", F.lit(None).cast("int"))
+    assert {r.id for r in mutate.changes(new, wider, "e").collect()} == {"a", "b"}
+
+
+def test_sortable_doubles_and_mixed_values(spark):
+    values = [float("-inf"), -1e300, -2.5, -1e-320, -0.0, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e9, float("inf"), float("nan")]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", scalars.sortable_double(F.col("v")).alias("k"))
+    assert [r.i for r in sorted(rows.collect(), key=lambda r: r.k)] == list(range(len(values)))
+    docs = ["null", "false", "true", "-3", "2.5", "10", '"a"', '"b"', "[1]", '{"a":1}']
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string").select("i", F.parse_json("d").alias("v"))
+    assert [r.i for r in df.orderBy(*scalars.order_of(F.col("v"))).collect()] == list(range(len(docs)))
+    with pytest.raises(Exception, match="cannot be indexed"):
+        df.select(scalars.index_value(F.col("v"))).collect()

@@ -47,5 +47,5 @@ def test_partitions_match_the_known_value(spark):
 
 def test_whole_tables(spark):
     found, path = catalog.queries(), "/root/testdata/sf0.01"
-    assert {r.id for r in found["share_closure_whole"](spark, path).collect()} == {3 << k for k in range(10)}
-    assert {r.partition for r in found["missing_partitions_whole"](spark, path).collect()} == set(range(16)) - {0, 1, 4, 9}
+    assert {r.id for r in found["share_closure"](spark, path).collect()} == {3 << k for k in range(10)}
+    assert {r.partition for r in found["missing_partitions"](spark, path).collect()} == set(range(16)) - {0, 1, 4, 9}
