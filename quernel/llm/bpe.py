@@ -92,8 +92,9 @@ def splitters(pattern: str):
 
 
 class TreeBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 40_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 100_000):
         self.ranks, self.tokens = ranks, {v: k for k, v in ranks.items()}
+        self.spelt = {str(v): k for k, v in ranks.items()}  # by the id as text
         self.any_text, self.plain = splitters(pattern)
         self.most, self.memo, self.older = memo, {}, {}
 
@@ -125,18 +126,17 @@ class TreeBpe:
         known = self.ranks.get(piece)
         return [known] if known is not None else self.reduce(piece)
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The bytes of ids, concatenated by halves."""
-        if len(ids) <= 64:
-            return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: list, tokens: dict | None = None) -> bytes:
+        """The bytes of ids (numbers; with tokens, its keys), concatenated by halves."""
+        if len(ids) <= 256:
+            return b"".join(map((tokens or self.tokens).__getitem__, ids))
         half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        return self.decode(ids[:half], tokens) + self.decode(ids[half:], tokens)
 
-    def known(self, match: str) -> tuple[str, tuple[int, ...]]:
-        """The ids of a match as text and as numbers; kept in a memo of two generations of `memo` short matches."""
+    def known(self, match: str) -> str:
+        """The ids of a match, joined by commas; kept in a memo of two generations of `memo` short matches."""
         if (out := self.older.get(match)) is None:
-            ids = self.piece(match.encode("utf-8"))
-            out = (",".join(map(str, ids)), tuple(ids))
+            out = ",".join(map(str, self.piece(match.encode("utf-8"))))
         if len(match) <= MEMO_LENGTH:
             if len(self.memo) >= self.most:
                 self.memo, self.older = {}, self.memo
@@ -174,21 +174,22 @@ class TreeBpe:
         half = len(text) // 2
         return self.join_matches(self.matches(text[:half]), self.matches(text[half:]))
 
+    def said(self, text: str) -> str:
+        """The ids of text, joined by commas."""
+        out, matches = [], self.matches(text)
+        for i in range(0, len(matches), 4096):  # known() may replace the memo
+            get, known = self.memo.get, self.known
+            out += [get(m) or known(m) for m in matches[i : i + 4096]]
+        return ",".join(out)
+
     def encode(self, text: str) -> list[int]:
-        get = self.memo.get
-        return [i for m in self.matches(text) for i in (get(m) or self.known(m))[1]]
+        return list(map(int, self.said(text).split(","))) if text else []
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of the ids joined by commas, SHA-256 of the bytes the ids decode to."""
-        said, ids = hashlib.sha256(), []
-        matches = self.matches(text)
-        for i in range(0, len(matches), 4096):  # known() may replace the memo
-            get, known = self.memo.get, self.known
-            got = [get(m) or known(m) for m in matches[i : i + 4096]]
-            said.update(("," * (i > 0) + ",".join([x[0] for x in got])).encode())
-            for x in got:
-                ids += x[1]
-        return len(ids), said.hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+        said = self.said(text)
+        ids = said.split(",") if said else []
+        return len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(self.decode(ids, self.spelt)).hexdigest()
 
 
 @lru_cache(maxsize=1)
