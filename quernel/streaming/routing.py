@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,22 +15,33 @@ from quernel.operators.mutate import sequenced
 from quernel.plans.model import Config, QuernelError
 
 
-def matches(events: DataFrame, subscriptions: DataFrame, topic: str = "topic") -> DataFrame:
+def _limited(subscriptions: DataFrame, config: Config) -> DataFrame:
+    """subscriptions, whose number is checked: they are broadcast."""
+    if subscriptions.limit(config.subscriptions + 1).count() > config.subscriptions:
+        raise QuernelError(f"more than {config.subscriptions} subscriptions")
+    return subscriptions
+
+
+def matches(events: DataFrame, subscriptions: DataFrame, topic: str = "topic", config: Config = Config()) -> DataFrame:
     """events x the subscriptions whose pattern and entity (if any) fit.
 
-    Few topics are matched with few patterns: the pairs are found on distinct (entity, topic) and joined back, so that
-    the expressions do not run per event.
+    The pairs are found on distinct (entity, topic) and joined back. Patterns without wildcards are joined on equality;
+    of the others only those that begin with one are tried on every topic, the rest on topics with the same first level.
     """
-    subs = subscriptions.withColumn("__regex", topic_regex_of(F.col("pattern")))
+    first = lambda c: F.substring_index(c, "/", 1)
+    subs = _limited(subscriptions, config).withColumnRenamed("entity", "__sub_entity").withColumns({"__regex": topic_regex_of(F.col("pattern")), "__first": first(F.col("pattern"))})
     places = events.select("entity", topic).distinct()
-    fit = F.rlike(F.concat(F.lit("/"), F.col(topic)), F.col("__regex")) & (F.col("__sub_entity").isNull() | (F.col("__sub_entity") == F.col("entity")))
-    pairs = places.join(F.broadcast(subs.withColumnRenamed("entity", "__sub_entity")), fit)  # a registry has 1,000 rows at most
-    return events.join(pairs.drop("__regex", "__sub_entity"), ["entity", topic])
+    wild, free = F.col("pattern").rlike("(^|/)[+#](/|$)"), F.col("__first").isin("+", "#")
+    mine = F.col("__sub_entity").isNull() | (F.col("__sub_entity") == F.col("entity"))
+    fit = F.rlike(F.concat(F.lit("/"), F.col(topic)), F.col("__regex")) & mine
+    sides = ((~wild, (F.col(topic) == F.col("pattern")) & mine), (wild & ~free, (first(F.col(topic)) == F.col("__first")) & fit), (free, fit))
+    pairs = reduce(DataFrame.unionByName, (places.join(F.broadcast(subs.filter(which)), on) for which, on in sides))
+    return events.join(pairs.drop("__regex", "__sub_entity", "__first"), ["entity", topic])
 
 
-def matches_stream(events: DataFrame, subscriptions: DataFrame, topic: str = "topic") -> DataFrame:
+def matches_stream(events: DataFrame, subscriptions: DataFrame, topic: str = "topic", config: Config = Config()) -> DataFrame:
     """matches() for a stream of events: a stream-static join."""
-    subs = subscriptions.select(F.col("entity").alias("__sub_entity"), topic_regex_of(F.col("pattern")).alias("__regex"), *(c for c in subscriptions.columns if c != "entity"))
+    subs = _limited(subscriptions, config).select(F.col("entity").alias("__sub_entity"), topic_regex_of(F.col("pattern")).alias("__regex"), *(c for c in subscriptions.columns if c != "entity"))
     fit = F.rlike(F.concat(F.lit("/"), F.col(topic)), F.col("__regex")) & (F.col("__sub_entity").isNull() | (F.col("__sub_entity") == F.col("entity")))
     return events.join(F.broadcast(subs), fit).drop("__regex", "__sub_entity")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quernel.plans.model import Config
 from quernel.streaming.routing import matches_stream
 
 
@@ -53,8 +55,9 @@ def to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def to_outbox(stream: DataFrame, deliver, dead_letters: str, checkpoint: str, retries: int = 10) -> None:
-    """Hands each batch to deliver(frame, batch_id); a batch that fails `retries` times goes to the dead letters.
+def to_outbox(stream: DataFrame, deliver, dead_letters: str, checkpoint: str, retries: int = Config.outbox_retries, pause_s: float = Config.outbox_interval_s) -> None:
+    """Hands each batch to deliver(frame, batch_id), again after a pause where that fails; a batch that fails `retries`
+    times goes to the dead letters.
 
     The checkpoint replays a batch that was cut short, so deliver must be idempotent per batch_id.
     """
@@ -64,7 +67,9 @@ def to_outbox(stream: DataFrame, deliver, dead_letters: str, checkpoint: str, re
             try:
                 return deliver(batch, batch_id)
             except Exception:  # noqa: BLE001 - whatever the sink raises counts as a failed attempt
-                if turn == retries - 1:
+                if turn < retries - 1:
+                    time.sleep(pause_s)
+                else:
                     batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(dead_letters)
 
     stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from quernel.functions import scalars
 from quernel.operators import access, constraints, mutate
 from quernel.plans.engine import Engine
-from quernel.plans.model import Conflict, Forbidden, ForeignKey, ForeignKeyViolation, LimitExceeded, ListRequest, NotFound, NotNull, NotNullViolation, OnDelete, QuernelError, Schema, SchemaViolation, Unique, UniqueViolation
+from quernel.plans.model import Config, Conflict, Forbidden, ForeignKey, ForeignKeyViolation, LimitExceeded, ListRequest, NotFound, NotNull, NotNullViolation, OnDelete, QuernelError, Schema, SchemaViolation, Unique, UniqueViolation
 from quernel.sources import export, stores
 from quernel.streaming import routing, streams
 
@@ -294,3 +294,36 @@ def test_sortable_doubles_and_mixed_values(spark):
     assert [r.i for r in df.orderBy(*scalars.order_of(F.col("v"))).collect()] == list(range(len(docs)))
     with pytest.raises(Exception, match="cannot be indexed"):
         df.select(scalars.index_value(F.col("v"))).collect()
+
+
+def test_document_source_writes(spark, tmp_path):
+    spark.dataSource.register(stores.DocumentSource)
+    path = f"file://{tmp_path}/store"
+    rows = spark.createDataFrame([(str(i), f"é{i}" if i % 3 else None) for i in range(20)], "id string, data string")
+    rows.write.format("quernel").mode("append").save(path)
+    rows.limit(2).withColumn("id", F.lit("x")).write.format("quernel").mode("append").save(path)
+    read = lambda: spark.read.format("quernel").load(path)
+    assert read().count() == 22 and sorted(map(tuple, read().filter("id != 'x'").collect())) == sorted(map(tuple, rows.collect()))
+    rows.limit(3).write.format("quernel").mode("overwrite").save(path)
+    assert read().count() == 3 and not list((tmp_path / "store").glob("*.part"))
+
+
+def test_matching_splits_patterns_by_their_wildcards(spark):
+    topics = ["a", "a/b", "a/b/c", "b", "b/c", "$s/x", "x/b", "a.b/c", "a//c", ""]
+    patterns = ["a", "a/b", "a/#", "+/b", "#", "b/+", "+", "a/+/c", "x/b/#", "a.b/c", "$s/#"]
+    events = spark.createDataFrame([(i, "e" if i % 2 else "f", t) for i, t in enumerate(topics)], "n int, entity string, topic string")
+    subs = spark.createDataFrame([(f"s{i}", p, "e" if i % 4 == 3 else None, None, "broadcast") for i, p in enumerate(patterns)], "subscription_id string, pattern string, entity string, share_group string, mode string")
+
+    def fits(t, p):
+        a, b = t.split("/"), p.split("/")
+        for i, x in enumerate(b):
+            if x == "#":
+                return True
+            if i >= len(a) or x not in ("+", a[i]):
+                return False
+        return len(a) == len(b)
+
+    want = {(i, f"s{j}") for i, t in enumerate(topics) for j, p in enumerate(patterns) if fits(t, p) and (j % 4 != 3 or i % 2)}
+    assert {(r.n, r.subscription_id) for r in routing.matches(events, subs).collect()} == want
+    with pytest.raises(QuernelError):
+        routing.matches(events, subs, config=Config(subscriptions=10))
