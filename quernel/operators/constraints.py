@@ -12,13 +12,27 @@ from quernel.functions.scalars import VARIANT_KINDS, is_kind
 from quernel.plans.model import MAX_CASCADE_DEPTH, ForeignKey, ForeignKeyViolation, LimitExceeded, NotNull, OnDelete, QuernelError, Schema, SchemaViolation, Unique
 
 
+#: Folders that this driver has written, until clear() deletes them.
+_MADE: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the folder that spark.checkpoint.dir names and read back, so that a lost executor changes nothing."""
     path = f"{shared_folder(df.sparkSession)}/quernel/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes what written() has written so far and returns the number of folders; frames that read them end with that."""
+    made, _MADE[:] = list(_MADE), []
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(made)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; without it there is no place that all executors see."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

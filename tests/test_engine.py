@@ -327,3 +327,12 @@ def test_matching_splits_patterns_by_their_wildcards(spark):
     assert {(r.n, r.subscription_id) for r in routing.matches(events, subs).collect()} == want
     with pytest.raises(QuernelError):
         routing.matches(events, subs, config=Config(subscriptions=10))
+
+
+def test_written_folders_can_be_cleared(spark):
+    constraints.clear(spark)
+    df = constraints.written(spark.range(5), "some")
+    (path,) = constraints._MADE
+    assert df.count() == 5 and constraints.clear(spark) == 1 and not constraints._MADE
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path).count()
