@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,28 +11,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernel.operators.constraints import written
+
+__all__ = ["BROADCAST_BYTES", "SPACE", "in_slices", "let", "release", "small", "table", "written"]
+
 #: The white space that separates words in every contract here: x20 and x09-x0D.
 SPACE = " \t\n\x0b\x0c\r"
 #: A side is broadcast only when its measured size stays below this.
 BROADCAST_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Without it there is no place that all executors see: an error."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back: a lineage cut that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quernel/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df, hinted for broadcast if its measured size is under BROADCAST_BYTES; else left to a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
