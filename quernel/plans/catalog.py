@@ -6,6 +6,7 @@ fixed rules that both engines can state.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from quernel.functions import predicates, scalars
 from quernel.operators import access, aggregate, constraints, listing, mutate
-from quernel.plans.model import Config, Filter, ForeignKey, ListRequest, Missing, NotNull, OnDelete, Relationship, Schema, Unique
+from quernel.plans.engine import Engine
+from quernel.plans.model import Config, Filter, ForeignKey, ListRequest, Missing, NotNull, OnDelete, QuernelError, Relationship, Schema, Unique, parse_derived, parse_pairs
 from quernel.sources import backup, export, stores
 from quernel.streaming import routing, streams
 
@@ -988,3 +990,178 @@ def retry_dedupe_stream(spark, sf_dir):
     events = streams.read_folder(spark, sf_dir, "events").select("event_id", "ts")
     twice = events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     return _streamed(spark, streams.deduplicated(twice, "event_id", "ts").select("event_id"), "dedupe")
+
+
+# requests, parsers, validators and registries
+
+_ALIAS_SQL = {"eq": "o_custkey = 10", "neq": "o_custkey <> 10", "lt": "o_custkey < 10", "lte": "o_custkey <= 10", "gt": "o_custkey > 10", "gte": "o_custkey >= 10", "in": "o_custkey IN (10, 11)", "like": "o_orderstatus = 'F'", "is_null": "o_orderstatus IS NULL", "is_not_null": "o_orderstatus IS NOT NULL"}
+_ALIAS_NAMES = (("", "eq"), ("eq", "eq"), ("=", "eq"), ("neq", "neq"), ("ne", "neq"), ("<>", "neq"), ("!=", "neq"), ("lt", "lt"), ("<", "lt"), ("lte", "lte"), ("<=", "lte"), ("gt", "gt"), (">", "gt"), ("gte", "gte"), (">=", "gte"), ("in", "in"), ("like", "like"), ("glob", "like"), ("~", "like"), ("is_null", "is_null"), ("null", "is_null"), ("?", "is_null"), ("is_not_null", "is_not_null"), ("not_null", "is_not_null"), ("!?", "is_not_null"))
+
+
+@query(f"""
+WITH n AS (SELECT {", ".join(f"count(*) FILTER (WHERE {c}) AS n_{k}" for k, c in _ALIAS_SQL.items())} FROM orders),
+a AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{o}')" for a, o in _ALIAS_NAMES)}) t(alias, op))
+SELECT alias, CASE op {" ".join(f"WHEN '{k}' THEN n_{k}" for k in _ALIAS_SQL)} END AS n FROM a, n""")
+def operator_aliases(spark, sf_dir):
+    """What each spelling of an operator counts."""
+    orders = t(spark, sf_dir, "orders")
+    parts = []
+    for alias, op in _ALIAS_NAMES:
+        field, value = ("o_orderstatus", "F") if op in ("like", "is_null", "is_not_null") else ("o_custkey", [10, 11] if op == "in" else 10)
+        parts.append(aggregate.count(orders, (Filter.of(field, alias, value),)).select(F.lit(alias).alias("alias"), "n"))
+    return mutate.union_all(parts)
+
+
+_LITERALS = ("12", "-3", "1.5", "1e3", "true", "false", "True", "text", "", "007", "null", "1.2.3")
+
+
+@query(f"""SELECT x AS text, CASE WHEN TRY_CAST(x AS BIGINT) IS NOT NULL AND NOT contains(x, '.') AND NOT contains(x, 'e') THEN 'int' WHEN TRY_CAST(x AS DOUBLE) IS NOT NULL AND x <> '' THEN 'float' WHEN x IN ('true', 'false') THEN 'bool' ELSE 'str' END AS kind FROM (SELECT unnest([{", ".join(f"'{x}'" for x in _LITERALS)}]) AS x)""")
+def literal_kinds(spark, sf_dir):
+    return spark.createDataFrame([(x, type(predicates.literal(x)).__name__) for x in _LITERALS], "text string, kind string")
+
+
+_PATTERNS_TO_CHECK = ("a", "a/b", "a/+/b", "+", "#", "a/#", "a/#/b", "a+/b", "a/b#", "", "+/+", "#/a", "/", "a//b")
+
+
+@query(f"""SELECT x AS pattern, x <> '' AND len(list_filter(string_split(x, '/'), lambda l: l NOT IN ('+', '#') AND (contains(l, '+') OR contains(l, '#')))) = 0 AND len(list_filter(string_split(x, '/')[:-2], lambda l: l = '#')) = 0 AS valid
+FROM (SELECT unnest([{", ".join(f"'{x}'" for x in _PATTERNS_TO_CHECK)}]) AS x)""")
+def pattern_validity(spark, sf_dir):
+    return spark.createDataFrame([(x, predicates.valid_pattern(x)) for x in _PATTERNS_TO_CHECK], "pattern string, valid boolean")
+
+
+def engine(spark, sf_dir) -> Engine:
+    """orders with owners and shares, and nation."""
+    e = Engine(spark, owners={"orders": "owner"}, shares=shares(spark, sf_dir), derived={"lineitem": ("l_orderkey", "orders")})
+    e.add_entity("orders", owned_orders(spark, sf_dir), "o_orderkey").add_entity("nation", t(spark, sf_dir, "nation"), "n_nationkey")
+    return e.add_entity("lineitem", t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey")
+
+
+_ERRORS = {
+    "too_many_filters": "LimitExceeded", "too_many_sorts": "LimitExceeded", "negative_offset": "QuernelError", "unknown_operator": "QuernelError", "malformed_filter": "QuernelError", "malformed_filter_text": "QuernelError", "unknown_field": "SchemaViolation", "internal_entity": "Forbidden",
+    "unknown_entity": "NotFound", "unknown_verb": "QuernelError", "bad_entity_name": "QuernelError", "absent_row": "NotFound", "denied_row": "Forbidden", "denied_update": "Forbidden", "denied_delete": "Forbidden", "needs_admin": "Forbidden", "null_into_typed": "SchemaViolation", "include_too_deep": "LimitExceeded", "bad_pattern": "QuernelError", "bad_setting": "QuernelError",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _ERRORS.items()) + ") t(request, error)")
+def request_errors(spark, sf_dir):
+    """Which error each wrong request meets."""
+    e = engine(spark, sf_dir)
+    e.add_schema(Schema("nation", {"n_name": scalars.field("string"), "n_regionkey": scalars.field("number")}))
+    ask = lambda **r: e.execute({"entity": "orders"} | r)
+    one = {"field": "o_custkey", "op": "=", "value": 1}
+    first = e.tables["orders"][0].filter("owner != 'u2'").join(e.accessible("orders", "u2").select("o_orderkey"), "o_orderkey", "left_anti").agg(F.min("o_orderkey")).first()[0]
+    wrong = {
+        "too_many_filters": lambda: ask(op="list", filters=[one] * 17),
+        "too_many_sorts": lambda: ask(op="list", sort=[{"field": "o_custkey"}] * 5),
+        "negative_offset": lambda: ask(op="list", offset=-1),
+        "unknown_operator": lambda: ask(op="list", filters=[one | {"op": "between"}]),
+        "malformed_filter": lambda: ask(op="list", filters=[{"value": 1}]),
+        "malformed_filter_text": lambda: predicates.parse_filters("=5"),
+        "unknown_field": lambda: e.list(ListRequest("nation").where("n_nothing", "=", 1)),
+        "internal_entity": lambda: ask(op="list", entity="_shares"),
+        "unknown_entity": lambda: ask(op="list", entity="nope"),
+        "unknown_verb": lambda: ask(op="dance"),
+        "bad_entity_name": lambda: e.add_entity("a/b", e.tables["nation"][0]),
+        "absent_row": lambda: ask(op="read", id=-1),
+        "denied_row": lambda: ask(op="read", id=first, sender="u2"),
+        "denied_update": lambda: ask(op="update", rows=[(first, 1, "u2")], sender="u2"),
+        "denied_delete": lambda: ask(op="delete", id=first, sender="u2"),
+        "needs_admin": lambda: ask(op="index_add", fields=["o_custkey"], sender="u2"),
+        "null_into_typed": lambda: e.add_constraint(ForeignKey("nation", "n_regionkey", "orders", "o_orderkey", OnDelete.SET_NULL)),
+        "include_too_deep": lambda: e.list(ListRequest("nation").include("a.b.c.d")),
+        "bad_pattern": lambda: e.subscribe("s", "a/#/b"),
+        "bad_setting": lambda: parse_pairs("orders"),
+    }
+
+    def met(request) -> str:
+        try:
+            request()
+        except QuernelError as error:
+            return type(error).__name__
+        return "none"
+
+    return spark.createDataFrame([(k, met(f)) for k, f in wrong.items()], "request string, error string")
+
+
+@query("SELECT o_orderkey, o_custkey FROM (SELECT * FROM orders WHERE o_custkey % 7 = 2 AND o_custkey > 20 ORDER BY o_custkey DESC, o_orderkey LIMIT 25 OFFSET 5)")
+def request_page(spark, sf_dir):
+    """A list request in its JSON form, held to its sender's own rows."""
+    request = {"op": "list", "entity": "orders", "sender": "u2", "filters": [{"field": "o_custkey", "op": ">", "value": 20}], "sort": [{"field": "o_custkey", "direction": "desc"}], "pagination": {"limit": 25, "offset": 5}, "projection": ["o_orderkey", "o_custkey"]}
+    return engine(spark, sf_dir).execute(request).select("o_orderkey", "o_custkey")
+
+
+_CAN = f"SELECT CAST(resource_id AS BIGINT) FROM {_SHARES} WHERE grantee = 'u2'"
+
+
+@query(f"SELECT o_orderkey FROM orders WHERE o_custkey % 7 <> 2 AND o_orderkey NOT IN ({_CAN})")
+def read_denied(spark, sf_dir):
+    """The rows that a sender may not view."""
+    e = engine(spark, sf_dir)
+    return e.tables["orders"][0].join(e.accessible("orders", "u2"), "o_orderkey", "left_anti").select("o_orderkey")
+
+
+@query(f"SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 7 <> 2 AND o_orderkey NOT IN ({_CAN} AND permission = 'edit')")
+def update_denied(spark, sf_dir):
+    """The children that a sender may not change, by their parents."""
+    e = engine(spark, sf_dir)
+    return e.tables["lineitem"][0].join(e.accessible("lineitem", "u2", "edit").select("l_orderkey").distinct(), "l_orderkey", "left_anti")
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS BIGINT) AS place FROM orders WHERE o_custkey < 300 ORDER BY 2 LIMIT 120")
+def agent_cursor(spark, sf_dir):
+    """The first rows of a cursor in an order of its own."""
+    e = Engine(spark).add_entity("orders", t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    rows = itertools.islice(e.cursor(ListRequest("orders").where("o_custkey", "<", 300).order("o_custkey", True)), 120)
+    return spark.createDataFrame([(r.o_orderkey, i) for i, r in enumerate(rows, 1)], "o_orderkey bigint, place bigint")
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS place FROM orders WHERE o_custkey < 300 ORDER BY 2 LIMIT 90")
+def paged_cursor(spark, sf_dir):
+    """Three batches of a cursor that pages by keys."""
+    e = Engine(spark).add_entity("orders", t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    pages = e.pages(ListRequest("orders", batch_size=40).where("o_custkey", "<", 300))
+    rows = [r for _ in range(3) for r in pages.next_batch(30)]
+    return spark.createDataFrame([(r.o_orderkey, i) for i, r in enumerate(rows, 1)], "o_orderkey bigint, place bigint")
+
+
+@query("SELECT * FROM (VALUES ('s1', 'orders/#', 'broadcast'), ('s3', 'users/+', 'ordered')) t(subscription_id, pattern, mode)")
+def subscription_registry(spark, sf_dir):
+    e = Engine(spark).subscribe("s1", "orders/#").subscribe("s2", "users/#", share_group="g", mode="ordered").subscribe("s3", "users/+", share_group="g", mode="ordered").unsubscribe("s2")
+    return e.subscriptions.select("subscription_id", "pattern", "mode")
+
+
+@query("SELECT * FROM (VALUES ('owner', 'orders', 'userId', NULL), ('owner', 'tasks', 'by', NULL), ('derived', 'lineitem', 'l_orderkey', 'orders')) t(setting, entity, field, parent)")
+def settings(spark, sf_dir):
+    rows = [("owner", k, v, None) for k, v in parse_pairs("orders=userId, tasks=by,").items()] + [("derived", k, *v) for k, v in parse_derived("lineitem=l_orderkey>orders").items()]
+    return spark.createDataFrame(rows, "setting string, entity string, field string, parent string")
+
+
+@query("SELECT entity, field FROM (VALUES ('nation', 'n_name'), ('nation', 'n_regionkey'), ('region', 'r_name')) t(entity, field)")
+def index_fields(spark, sf_dir):
+    """Indexes that are added one after the other are united."""
+    e = Engine(spark).add_entity("nation", t(spark, sf_dir, "nation"), "n_nationkey").add_entity("region", t(spark, sf_dir, "region"), "r_regionkey")
+    e.add_index("nation", "n_name").add_index("nation", "n_regionkey", "n_name").add_index("region", "r_name")
+    return spark.createDataFrame([(k, f) for k, fields in e.indexes.items() for f in fields], "entity string, field string")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name || ' \"é\"' AS data FROM customer")
+def document_source(spark, sf_dir):
+    """Documents written and read through the Python data source."""
+    spark.dataSource.register(stores.DocumentSource)
+    path = work_folder(spark, "documents")
+    t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.concat("c_name", F.lit(' "é"')).alias("data")).write.format("quernel").mode("append").save(path)
+    return spark.read.format("quernel").load(path)
+
+
+@query("SELECT event_id, event_type FROM events")
+def event_sink(spark, sf_dir):
+    """A stream of events handed to a sink a batch at a time."""
+    folder = work_folder(spark, "sink")
+    deliver = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")  # noqa: E731  a batch that comes again replaces itself
+    streams.to_outbox(streams.read_folder(spark, sf_dir, "events").select("event_id", "event_type"), deliver, f"{folder}/dead", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").select("event_id", "event_type")
+
+
+@query("""SELECT entity, count(*) AS record_count, any_value(owner) AS owner, any_value(parent) AS derived_from FROM (SELECT 'orders' AS entity, 'owner' AS owner, NULL::VARCHAR AS parent FROM orders UNION ALL SELECT 'nation', NULL, NULL FROM nation UNION ALL SELECT 'lineitem', NULL, 'orders' FROM lineitem) GROUP BY 1""")
+def catalog_metadata(spark, sf_dir):
+    return engine(spark, sf_dir).describe().select("entity", "record_count", "owner", "derived_from")
