@@ -33,10 +33,11 @@ class Params:
     ladder: tuple[tuple[str, int], ...] = ()
 
     def steps(self) -> tuple[tuple[str, int], ...]:
-        """The ladder: symbols first, as junk is full of them and prose has none; then the others in turn."""
+        """The ladder: symbols first, as junk is full of them and prose has none; then the others in turn, up to what prose
+        with a refrain or a long compound still stays below."""
         symbols = (400, 300, 200, 150, 100, 80, 60, 40, 20, 10)
-        others = {"long_word": (50000, 30000, 20000, 16000, 14000, 12000, 11000, 10000, 9000, 8000), "dup_line_rate": (800, 700, 600, 500, 400, 350, 300, 250, 200, 150), "repeat_rate": (200, 190, 180, 170, 160, 150, 140, 120, 100, 80)}
-        return self.ladder or (*(("symbol_rate", c) for c in symbols), *((f, cs[i]) for i in range(10) for f, cs in others.items()))
+        others = {"long_word": (50000, 30000, 20000, 16000, 14000, 12000, 11000, 10000), "dup_line_rate": (900, 800, 700, 600, 500, 450, 400, 350), "repeat_rate": (195, 190, 185, 180, 170, 160, 150, 140)}
+        return self.ladder or (*(("symbol_rate", c) for c in symbols), *((f, cs[i]) for i in range(8) for f, cs in others.items()))
 
 
 def words_of(text: Column) -> Column:
