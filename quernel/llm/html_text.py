@@ -229,11 +229,13 @@ def main_text(html: str | None, templates=(), params: Params = Params()) -> str:
     root = parse(html or "")
     inside = mains(root)
     drop = {h & ((1 << 64) - 1) for h in templates}
-    around, within = hash_page(root, inside) if drop else (set(), set())
     if not inside or not params.guard:
+        if drop:
+            hash_page(root, inside)
         return _text([root], drop, params.names)
     whole = _text(inside, names=params.names)
-    if drop.isdisjoint(within):
+    drop = {h for h in drop if h & 1}  # templates inside articles; those around them are left out anyway
+    if not drop or drop.isdisjoint(set().union(*(hash_subtrees(r, 1) for r in inside))):
         return whole
     rest = _text(inside, drop, params.names)
     return rest if 2 * len(rest) >= len(whole) else whole
