@@ -16,7 +16,7 @@ from quernel.functions import predicates, scalars
 from quernel.operators import access, aggregate, constraints, listing, mutate
 from quernel.plans.engine import Engine
 from quernel.plans.model import Config, Filter, ForeignKey, ListRequest, Missing, NotNull, OnDelete, QuernelError, Relationship, Schema, Unique, parse_derived, parse_pairs
-from quernel.sources import backup, export, stores
+from quernel.sources import backends, backup, export, stores
 from quernel.streaming import routing, streams
 
 _QUERIES: dict = {}
@@ -1165,3 +1165,17 @@ def event_sink(spark, sf_dir):
 @query("""SELECT entity, count(*) AS record_count, any_value(owner) AS owner, any_value(parent) AS derived_from FROM (SELECT 'orders' AS entity, 'owner' AS owner, NULL::VARCHAR AS parent FROM orders UNION ALL SELECT 'nation', NULL, NULL FROM nation UNION ALL SELECT 'lineitem', NULL, 'orders' FROM lineitem) GROUP BY 1""")
 def catalog_metadata(spark, sf_dir):
     return engine(spark, sf_dir).describe().select("entity", "record_count", "owner", "derived_from")
+
+
+@query("SELECT 'sealed' AS store, c_custkey, c_name, c_nationkey, c_acctbal, true AS hidden FROM customer UNION ALL SELECT 'parquet', c_custkey, c_name, c_nationkey, c_acctbal, false FROM customer UNION ALL SELECT 'memory', c_custkey, c_name, c_nationkey, c_acctbal, false FROM customer")
+def backend_roundtrip(spark, sf_dir):
+    """A table through each backend, and whether its names are hidden where it is stored."""
+    rows = t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    plain = backends.ParquetBackend(spark, work_folder(spark, "store"))
+    inner = backends.ParquetBackend(spark, work_folder(spark, "sealed"))
+    out = []
+    for name, store, at in (("sealed", backends.SealedBackend(inner, F.lit("0123456789abcdef").cast("binary")), inner), ("parquet", plain, plain), ("memory", m := backends.MemoryBackend(), m)):
+        store.write("customer", rows, "c_custkey")
+        stored = at.read("customer").select("c_custkey", (~F.col("c_name").startswith("Customer#")).alias("hidden"))
+        out.append(store.read("customer").join(stored, "c_custkey").select(F.lit(name).alias("store"), "c_custkey", "c_name", "c_nationkey", "c_acctbal", "hidden"))
+    return mutate.union_all(out)

@@ -5,7 +5,7 @@ from quernel.functions import scalars
 from quernel.operators import access, constraints, mutate
 from quernel.plans.engine import Engine
 from quernel.plans.model import Config, Conflict, Forbidden, ForeignKey, ForeignKeyViolation, LimitExceeded, ListRequest, NotFound, NotNull, NotNullViolation, OnDelete, QuernelError, Schema, SchemaViolation, Unique, UniqueViolation
-from quernel.sources import export, stores
+from quernel.sources import backends, export, stores
 from quernel.streaming import routing, streams
 
 
@@ -336,3 +336,19 @@ def test_written_folders_can_be_cleared(spark):
     assert df.count() == 5 and constraints.clear(spark) == 1 and not constraints._MADE
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(path).count()
+
+
+def test_backends(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "a", 1.5, True), ("2", None, None, None)], "id string, s string, x double, b boolean")
+    key = F.lit("0123456789abcdef").cast("binary")
+    for store in (backends.MemoryBackend(), backends.ParquetBackend(spark, f"file://{tmp_path}/p"), backends.SealedBackend(backends.ParquetBackend(spark, f"file://{tmp_path}/s"), key)):
+        assert store.names() == []
+        with pytest.raises(NotFound):
+            store.read("t")
+        store.write("t", rows)
+        store.write("t", store.read("t").unionByName(rows.filter("id = '1'").withColumn("id", F.lit("3"))))
+        assert store.names() == ["t"] and store.read("t").schema.simpleString() == rows.schema.simpleString()
+        assert sorted(map(tuple, store.read("t").collect())) == [("1", "a", 1.5, True), ("2", None, None, None), ("3", "a", 1.5, True)]
+    assert spark.read.parquet(f"file://{tmp_path}/s/t").filter("s = 'a'").count() == 0
+    with pytest.raises(Exception, match="AES|decrypt|tag|CRYPTO"):
+        backends.SealedBackend(store.inner, F.lit("fedcba9876543210").cast("binary")).read("t").collect()
