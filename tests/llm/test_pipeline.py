@@ -38,6 +38,17 @@ def test_stages_take_odd_rows(spark):
             assert stage(spark, frame, SF).count() <= frame.count()
 
 
+def test_stages_take_a_very_long_text(spark):
+    rng = random.Random(1)
+    text = "\n".join(" ".join(f"word{rng.randrange(9999)}" for _ in range(300)) for _ in range(800)) + "\n" + "y" * 1_000_000
+    docs = spark.createDataFrame([(i, f"the and of to in number {i} that with this {i}", "en") for i in range(9)] + [(50, text, "en")], "doc_id bigint, text string, lang string")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+        assert {r.doc_id: r.text for r in docs.collect()}[50] == text
+    row = pipeline.STAGES[-1][1](spark, docs, SF).filter("doc_id = 50").first()
+    assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
