@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quernel.operators.constraints import written
 
-__all__ = ["BROADCAST_BYTES", "SPACE", "in_slices", "let", "release", "small", "table", "written"]
+__all__ = ["BROADCAST_BYTES", "SPACE", "in_slices", "let", "release", "small", "spread", "table", "written"]
 
 #: The white space that separates words in every contract here: x20 and x09-x0D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -31,6 +31,13 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def spread(df: DataFrame, most: int = 64) -> DataFrame:
+    """A scan, dealt anew where it has fewer partitions than the session has cores (up to `most`): a small file is one row
+    group, and would be one task. Tables of some size have more partitions and are read as they lie, without a shuffle."""
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,6 +10,7 @@ import test_line_dedup
 import __spark_entry__
 import corpus_pipeline as pipeline
 from quernel.llm import bpe, decontaminate, jaccard, language_id, line_dedup
+from quernel.llm.shared import spread
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,3 +114,11 @@ def test_equals_a_brute_force_version(spark, tmp_path):
     assert got == want
     gone = {d for d, *_ in docs} - set(got)
     assert {200, 201, 202, 203, 204} <= gone and len(leaked) >= 4 and 40 <= len(got)
+
+
+def test_small_scans_are_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spread(spark.read.parquet(f"{tmp_path}/one"))
+    assert one.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and one.count() == 100
+    many = spark.range(0, 100, 1, 9)
+    assert spread(many) is many
