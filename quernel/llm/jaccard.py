@@ -32,6 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernel.llm.shared import in_slices, small, written
+from quernel.operators.mutate import sequenced
 
 SKETCH_BITS, BLOCKS = 22, 64
 LOOK = 64  #: rows back in a large tile that a row is first compared with
@@ -46,6 +47,7 @@ class Params:
     tile_rows: int = 4096  #: of a chunk of a tile, when rows are linked with near ones before them
     tile_shingles: int = 1 << 20  #: of a block of a tile, when its components are compared: 8 bytes each
     small_tile: int = 16
+    hot_rows: int = 1 << 20  #: shingles that may be in so many documents (and 64 times the mean) are placed in ranges
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -135,28 +137,47 @@ def _nid(node: bytes) -> int:
     return int.from_bytes(node[:8], "big", signed=True)
 
 
+def _hot_class(classes: np.ndarray, p: Params) -> int:
+    """The class of frequency from which on a shingle is very frequent."""
+    mean = float(np.exp2(classes / 6.0).mean()) - 1
+    return min(255, int(6 * np.log2(1 + max(p.hot_rows, 64 * mean))))
+
+
 def _keys(rows: DataFrame, classes: np.ndarray, p: Params) -> DataFrame:
-    """key, nid, n, pos: the prefix of each set, with the place of each key in it; copies within a task are given once."""
+    """key, nid, n, pos, hot: the prefix of each set, with the place of each key in it, and whether many sets may have it;
+    copies within a task are given once."""
+    limit = _hot_class(classes, p)
     shared = rows.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches):
         order, seen = shared.value, set()
         for b in in_slices(batches):
-            keys, nids, sizes, places = [], [], [], []
+            keys, nids, sizes, places, hot = [], [], [], [], []
             for t in b.column(0).to_pylist():
                 s = shingles(t, p.shingle)
                 if not len(s) or (nid := _nid(xxhash.xxh3_128_digest(s.tobytes()))) in seen:
                     continue
                 seen.add(nid)
                 n = len(s) + -(-p.num * len(s) // p.den) * -1 + 1
-                keys.append(s[np.argsort(order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:n]])
+                often = order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                first = np.argsort(often, kind="stable")[:n]
+                keys.append(s[first])
+                hot.append(often[first] >= limit)
                 nids.append(np.full(n, nid, np.int64))
                 sizes.append(np.full(n, len(s), np.int32))
                 places.append(np.arange(n, dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (nids, sizes, places))], names=["key", "nid", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (nids, sizes, places, hot))], names=["key", "nid", "n", "pos", "hot"])
+
+    return rows.select("text").mapInArrow(run, "key bigint, nid bigint, n int, pos int, hot boolean")
+
 
-    return rows.select("text").mapInArrow(run, "key bigint, nid bigint, n int, pos int")
+def _hot_members(keys: DataFrame) -> DataFrame:
+    """_members() for very frequent keys: all their rows."""
+    rows = keys.dropDuplicates(["key", "nid"])
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    placed = sequenced(rows, [F.col("n"), F.col("nid")], per=["key"]).withColumnRenamed("sequence", "idx")
+    return placed.join(written(sizes, "hot-keys"), "key").select("key", "nid", "n", "pos", F.col("idx").cast("int").alias("idx"), "rows").filter("rows > 1")
 
 
 def _members(keys: DataFrame, p: Params) -> DataFrame:
@@ -420,7 +441,11 @@ def components(docs: DataFrame, params: Params = Params()) -> DataFrame:
     sets = first.filter("block is null")
     nodes = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = written(nodes.select("*", F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("bigint").alias("nid")), "jaccard-nodes")
-    members = written(_members(_keys(docs, classes, p), p), "jaccard-members")
+    keys = _keys(docs, classes, p)
+    members = _members(keys.filter("not hot").drop("hot"), p)
+    if (classes >= _hot_class(classes, p)).any():
+        members = members.unionByName(_hot_members(keys.filter("hot").drop("hot")))
+    members = written(members, "jaccard-members")
     pairs = written(_first_pairs(members, nodes, p), "jaccard-pairs")
     links = _exact(pairs.filter("first").select("u", "v"), docs, nodes, p, "first")
     labels = connected(links)

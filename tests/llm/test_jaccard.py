@@ -105,7 +105,7 @@ def test_sql_says_the_same(spark):
     assert sorted(map(tuple, got)) == sorted(db.sql(J.COMPONENTS_SQL).fetchall())
 
 
-def test_look_alikes_in_many_components(spark):
+def test_look_alikes_in_many_components(spark, monkeypatch):
     """Tiles that hold several components, dealt in blocks; some of the look-alikes link and some do not."""
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
@@ -118,7 +118,8 @@ def test_look_alikes_in_many_components(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     want = brute(docs, 1, 90)
     assert 3 < len({c for _, _, c in want}) < 120
-    for p in (J.Params(shingle=1, num=90, tile_rows=10, tile_shingles=600, small_tile=2), J.Params(shingle=1, num=90)):
+    monkeypatch.setattr(J, "LOOK", 5)
+    for p in (J.Params(shingle=1, num=90, tile_rows=10, tile_shingles=600, small_tile=2), J.Params(shingle=1, num=90), J.Params(shingle=1, num=90, hot_rows=20, tile_rows=30, small_tile=4)):
         assert sorted(map(tuple, J.components(df, p).collect())) == want
 
 
