@@ -18,12 +18,17 @@ _MADE: list[str] = []
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the folder that spark.checkpoint.dir names and read back, so that a lost executor changes nothing."""
-    path = f"{shared_folder(df.sparkSession)}/quernel/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder that all executors see, until clear()."""
+    _MADE.append(f"{shared_folder(spark)}/quernel/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
 def clear(spark: SparkSession) -> int:
     """Deletes what written() has written so far and returns the number of folders; frames that read them end with that."""
     made, _MADE[:] = list(_MADE), []

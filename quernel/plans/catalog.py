@@ -7,7 +7,6 @@ fixed rules that both engines can state.
 from __future__ import annotations
 
 import itertools
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,11 +44,6 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where spark.checkpoint.dir says."""
-    return f"{constraints.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def text_id(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("id", F.col(key).cast("string"))
 
@@ -942,7 +936,7 @@ def vault_roundtrip(spark, sf_dir):
 @query("SELECT o_orderkey, status, o_totalprice, CAST(1 AS BIGINT) AS _version FROM (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS status FROM orders)")
 def backup_roundtrip(spark, sf_dir):
     rows = nulled(spark, sf_dir).select("o_orderkey", "status", "o_totalprice", F.lit(4).cast("bigint").alias("_version"))
-    path = work_folder(spark, "backup")
+    path = constraints.new_folder(spark, "backup")
     backup.backup({"orders": rows, "nation": t(spark, sf_dir, "nation")}, path)
     return backup.restore(spark, path, {"orders": rows.schema})["orders"]
 
@@ -962,7 +956,7 @@ def bench_records(spark, sf_dir):
 
 
 def _streamed(spark, stream: DataFrame, name: str) -> DataFrame:
-    folder = work_folder(spark, name)
+    folder = constraints.new_folder(spark, name)
     streams.to_table(stream, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
@@ -1148,7 +1142,7 @@ def index_fields(spark, sf_dir):
 def document_source(spark, sf_dir):
     """Documents written and read through the Python data source."""
     spark.dataSource.register(stores.DocumentSource)
-    path = work_folder(spark, "documents")
+    path = constraints.new_folder(spark, "documents")
     t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.concat("c_name", F.lit(' "é"')).alias("data")).write.format("quernel").mode("append").save(path)
     return spark.read.format("quernel").load(path)
 
@@ -1156,7 +1150,7 @@ def document_source(spark, sf_dir):
 @query("SELECT event_id, event_type FROM events")
 def event_sink(spark, sf_dir):
     """A stream of events handed to a sink a batch at a time."""
-    folder = work_folder(spark, "sink")
+    folder = constraints.new_folder(spark, "sink")
     deliver = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")  # noqa: E731  a batch that comes again replaces itself
     streams.to_outbox(streams.read_folder(spark, sf_dir, "events").select("event_id", "event_type"), deliver, f"{folder}/dead", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").select("event_id", "event_type")
@@ -1171,8 +1165,8 @@ def catalog_metadata(spark, sf_dir):
 def backend_roundtrip(spark, sf_dir):
     """A table through each backend, and whether its names are hidden where it is stored."""
     rows = t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
-    plain = backends.ParquetBackend(spark, work_folder(spark, "store"))
-    inner = backends.ParquetBackend(spark, work_folder(spark, "sealed"))
+    plain = backends.ParquetBackend(spark, constraints.new_folder(spark, "store"))
+    inner = backends.ParquetBackend(spark, constraints.new_folder(spark, "sealed"))
     out = []
     for name, store, at in (("sealed", backends.SealedBackend(inner, F.lit("0123456789abcdef").cast("binary")), inner), ("parquet", plain, plain), ("memory", m := backends.MemoryBackend(), m)):
         store.write("customer", rows, "c_custkey")
